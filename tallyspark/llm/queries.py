@@ -2,10 +2,18 @@
 
 from __future__ import annotations
 
-from . import minhash
+from . import decontaminate, language, minhash, pii, quality, rules, secrets, toxicity, urls
 
 QUERIES = {
+    "op2_url_templates": urls.op2,
+    "op3_toxic_instances": toxicity.op3,
+    "op4_secret_ledger": secrets.op4,
+    "op5_pii_bootstrap": pii.op5,
+    "op6_rule_bitmasks": rules.op6,
     "op7_minhash_near_dedup": minhash.op7,
+    "op8_quality_bayes": quality.op8,
+    "op9_language_gru": language.op9,
+    "op10_decontamination": decontaminate.op10,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op6_rule_bitmasks": rules.SQL, "op10_decontamination": decontaminate.SQL}
