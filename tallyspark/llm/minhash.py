@@ -9,10 +9,12 @@ fewer words is one shingle; no words: empty set, linked with nothing). Two texts
    chance in the first as many rounds as there are places, then place by place, which fills every one.
 2. Equal sets form classes; only their representatives (least doc_id) go on.
 3. Bands of the sketch make buckets. A bucket of at most ``SMALL`` representatives gives all its pairs, so a row
-   gives at most BANDS * SMALL of them. A larger one gives pairs with a few hubs, its members that meet most others.
-4. Whole sets confirm the links. What a large bucket's hubs left in different components is then joined exactly, by
-   prefixes of the rarest shingles (for each size class of the partner, two sets that meet the threshold share one);
-   no pair within a component is made.
+   gives at most BANDS * SMALL of them. A larger one gives a pair of each with its hub, the member that meets most.
+4. Whole sets confirm the links. Members that the hub left in different components are then joined exactly, by their
+   differences from the hub: with k = (1 - t) / (1 + t) two sets x and y link only if their differences X and Y have
+   |X & Y| >= (f(x) + f(y)) / 2, where f(x) = |X| - k|x|. If that isn't positive both link with the hub; else they
+   share one of their rarest |X| - need + 1 differences, for each class of f that the partner may have. So near copies
+   of one text, which share nearly all shingles but few differences, meet rarely. No pair within a component is made.
 
 Null texts count as empty. A null doc_id links with nothing: its component is null and it is kept. Repeated rows
 give repeated results. Other columns are ignored.
@@ -30,7 +32,7 @@ from pyspark.sql import functions as F
 
 from . import common
 
-BANDS, ROWS, SMALL, HUBS, SHINGLE = 24, 5, 48, 4, 5
+BANDS, ROWS, SMALL, SHINGLE, CLASS = 24, 5, 48, 5, 5
 PLACES = BANDS * ROWS
 _rng = np.random.default_rng(7)
 _ORDER = _rng.integers(1, 1 << 63, SHINGLE, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -121,62 +123,66 @@ def _confirm(percent: int):
     return run
 
 
-def _links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (u, v) whose whole sets meet the threshold. A hub's many rows are dealt by their other document first."""
+def _with_sets(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Pairs (u, v) with their sets x and y; a hub's many rows are dealt by their other document first."""
     one = pairs.join(sets.select(F.col("id").alias("u"), F.col("s").alias("x")), "u")
-    two = one.join(sets.select(F.col("id").alias("v"), F.col("s").alias("y")), "v")
-    return two.select("u", "v", "x", "y").mapInArrow(_confirm(percent), "u long, v long")
+    return one.join(sets.select(F.col("id").alias("v"), F.col("s").alias("y")), "v").select("u", "v", "x", "y")
+
+
+def _links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (u, v) whose whole sets meet the threshold."""
+    return _with_sets(pairs, sets).mapInArrow(_confirm(percent), "u long, v long")
+
+
+def _differences(batches):
+    """(hub, id, n, e): the elements in which a set differs from its hub's; u, v, x, y are document, hub and their sets."""
+    for batch in batches:
+        hub, doc, n, diff = [], [], [], []
+        for i in range(batch.num_rows):
+            a, b = (np.frombuffer(batch.column(k)[i].as_buffer(), np.int64) for k in (2, 3))
+            d = np.setxor1d(a, b, assume_unique=True)
+            hub.append(np.full(len(d), batch.column(1)[i].as_py()))
+            doc.append(np.full(len(d), batch.column(0)[i].as_py()))
+            n.append(np.full(len(d), len(a)))
+            diff.append(d)
+        if hub:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x), pa.int64()) for x in (hub, doc, n, diff)], ["hub", "id", "n", "e"])
 
 
 def _prefixes(percent: int):
-    """(bin, shingle, comp, n, id, low): the rarest shingles of a set that a partner of each size class must share."""
-    t = percent / 100
-    width = math.log(1.02)
+    """(key, comp, id) of the rarest differences of a set that a partner of each class of f must share.
 
-    def size_class(n: int) -> int:
-        return int(math.log(n) / width)
+    ``hc`` has the differences with how many sets of the hub have each; ``n`` is the set's size.
+    """
+    t = percent / 100
+    k = (1 - t) / (1 + t)
 
     def run(batches):
         for batch in batches:
-            rows: list[list] = [[], [], [], []]
+            keys, comps, ids = [], [], []
             for i in range(batch.num_rows):
-                doc, comp, n = (batch.column(k)[i].as_py() for k in range(3))
-                ranked = np.frombuffer(batch.column(3)[i].as_buffer(), np.int64)
-                own = size_class(n)
-                for c in range(size_class(max(1, math.ceil(n * t - 1e-9))), size_class(math.floor(n / t + 1e-9)) + 1):
-                    least = max(math.exp(c * width) - 1e-6, n * t)  # sizes of a class are at least this
-                    share = max(1, math.ceil(t / (1 + t) * (n + least) - 1e-6))
-                    top = n - share + 1
-                    if top <= 0:
+                hub, doc, n, comp = (batch.column(c)[i].as_py() for c in range(4))
+                e, count = (np.asarray(batch.column(4)[i].values.field(c)) for c in (0, 1))
+                ranked = e[np.lexsort((e, count))].view(np.uint64)
+                size = len(ranked)
+                f, most = size - k * n, k * (n + n / t)  # two linked sets differ in no more than ``most``
+                own = math.floor(f / CLASS)
+                for c in range(math.floor((size - most - k * n / t) / CLASS), math.floor((size + most - k * n * t) / CLASS) + 1):
+                    if f + (c + 1) * CLASS <= 0:
                         continue
-                    key = min(own, c) * 100_000 + max(own, c)
-                    for h in ranked[:top].tolist():
-                        rows[0].append(key)
-                        rows[1].append(h)
-                        rows[2].append(comp)
-                        rows[3].append(doc)
-            yield pa.RecordBatch.from_arrays([pa.array(r, pa.int64()) for r in rows], ["bin", "h", "comp", "id"])
+                    top = size + 1 - max(1, math.ceil((f + c * CLASS) / 2 - 1e-6))
+                    if top > 0:
+                        pair = (min(own, c) * 1_000_003 + max(own, c)) & (2**64 - 1)
+                        made = common.mix(ranked[:top] ^ common.mix(np.array([hub & (2**64 - 1)], np.uint64) ^ common.mix(np.array([pair], np.uint64))))
+                        keys.append(made.view(np.int64))
+                        comps.append(np.full(top, comp))
+                        ids.append(np.full(top, doc))
+            if keys:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x), pa.int64()) for x in (keys, comps, ids)], ["key", "comp", "id"])
 
     return run
 
 
-def _by_rarity(batches):
-    """Each set with its shingles from rare to frequent, by the counts that came along."""
-    for batch in batches:
-        out = []
-        for i in range(batch.num_rows):
-            h, n = (np.asarray(batch.column(3)[i].values.field(k)) for k in (0, 1))
-            out.append(h[np.lexsort((h, n))].astype(np.int64).tobytes())
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(out, pa.binary())], ["id", "comp", "n", "ranked"])
-
-
-def _explode(batches):
-    for batch in batches:
-        sets = [np.frombuffer(batch.column(1)[i].as_buffer(), np.int64) for i in range(batch.num_rows)]
-        ids = np.repeat(np.asarray(batch.column(0)), [len(s) for s in sets])
-        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(np.concatenate(sets) if sets else [], pa.int64())], ["id", "h"])
-
-
 def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for each row of ``docs`` (doc_id, text)."""
     common.prepare(docs.sparkSession)
@@ -195,17 +201,16 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
 
     large = shared.filter(F.col("size") > SMALL)
     met = large.groupBy("rep").agg(F.sum("size").alias("met"))
-    hubs = large.join(met, "rep").groupBy("key", (F.xxhash64("rep") % HUBS).alias("part")).agg(F.max(F.struct("met", "rep")).alias("hub")).select("key", F.col("hub.rep").alias("v"))
-    hubbed = large.select("key", F.col("rep").alias("u")).join(hubs, "key").filter("u <> v").select("u", "v")
+    hubs = large.join(met, "rep").groupBy("key").agg(F.max(F.struct("met", "rep")).alias("hub")).select("key", F.col("hub.rep").alias("v"))
+    hubbed = common.cut(large.select("key", F.col("rep").alias("u")).join(hubs, "key").filter("u <> v").select("u", "v").distinct())
     first = common.cut(pairs.unionByName(hubbed).distinct())
 
-    wanted = first.select(F.col("u").alias("doc_id")).union(first.select("v")).union(large.select("rep")).distinct()
+    wanted = first.select(F.col("u").alias("doc_id")).union(first.select("v")).distinct()
     sets = common.cut(base.join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id"]).mapInArrow(_sets, "id long, s binary"))
     links = common.cut(_links(first, sets, percent))
 
-    hot = large.select(F.col("rep").alias("id"), "n").distinct()
-    if not hot.isEmpty():
-        links = links.unionByName(common.cut(_rest(hot, sets, links, percent)))
+    if not hubbed.isEmpty():
+        links = links.unionByName(common.cut(_rest(hubbed, sets, links, percent)))
     found = common.components(links)
 
     named = seen.join(classes.select("n", "p", "q", "rep"), ["n", "p", "q"], "left").join(found.withColumnRenamed("node", "rep"), "rep", "left")
@@ -213,21 +218,19 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     return named.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
 
-def _rest(hot: DataFrame, sets: DataFrame, links: DataFrame, percent: int) -> DataFrame:
-    """Links between members of large buckets that the hubs left in different components, exactly."""
-    found = common.components(links)
-    placed = hot.join(found.withColumnRenamed("node", "id"), "id", "left").select("id", F.coalesce("component", "id").alias("comp"), "n")
-    own = sets.join(hot.select("id"), "id", "left_semi")
-    each = own.mapInArrow(_explode, "id long, h long")
-    counts = each.groupBy("h").agg(F.count("*").alias("c"))
-    ranked = each.join(counts, "h").groupBy("id").agg(F.collect_list(F.struct("h", "c")).alias("hc"))  # one document's own set
-    ranked = placed.join(ranked, "id").select("id", "comp", "n", "hc").mapInArrow(_by_rarity, "id long, comp long, n long, ranked binary")
-    keys = common.cut(ranked.mapInArrow(_prefixes(percent), "bin long, h long, comp long, id long"))
-    mixed = keys.groupBy("bin", "h").agg(F.min("comp").alias("a"), F.max("comp").alias("b")).filter("a <> b").select("bin", "h")
-    left = keys.join(mixed, ["bin", "h"], "left_semi")
-    right = left.select("bin", "h", F.col("comp").alias("comp2"), F.col("id").alias("id2"))
-    pairs = left.join(right, ["bin", "h"]).filter("comp < comp2").select(F.col("id").alias("u"), F.col("id2").alias("v")).distinct()
-    return _links(pairs, sets, percent)
+def _rest(hubbed: DataFrame, sets: DataFrame, links: DataFrame, percent: int) -> DataFrame:
+    """Links between documents (u) of one hub (v) that lie in different components, exactly."""
+    found = common.components(links).withColumnRenamed("node", "id")
+    each = common.cut(_with_sets(hubbed, sets).mapInArrow(_differences, "hub long, id long, n long, e long"))
+    counts = each.groupBy("hub", "e").agg(F.count("*").alias("c"))
+    ranked = each.join(counts, ["hub", "e"]).groupBy("hub", "id", "n").agg(F.collect_list(F.struct("e", "c")).alias("hc"))  # of one document
+    placed = ranked.join(found, "id", "left").select("hub", "id", "n", F.coalesce("component", "id").alias("comp"), "hc")
+    keys = common.cut(placed.mapInArrow(_prefixes(percent), "key long, comp long, id long"))
+    mixed = keys.groupBy("key").agg(F.min("comp").alias("a"), F.max("comp").alias("b")).filter("a <> b").select("key")
+    left = common.cut(keys.join(mixed, "key", "left_semi"))
+    right = left.select("key", F.col("comp").alias("comp2"), F.col("id").alias("id2"))
+    pairs = left.join(right, "key").filter("comp < comp2").select(F.col("id").alias("u"), F.col("id2").alias("v")).distinct()
+    return _links(common.cut(pairs), sets, percent)
 
 
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:

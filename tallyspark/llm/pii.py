@@ -153,8 +153,10 @@ def mask(docs: DataFrame) -> DataFrame:
     """``docs`` with each entity of the text replaced by its kind in brackets; where entities meet, by the first's."""
     common.prepare(docs.sparkSession)
     names = docs.columns
-    d = common.cut(base(docs.select(F.struct(*names).alias("_row"), "text")).withColumn("rid", F.monotonically_increasing_id()))
-    more = discovered(d, d)
+    key = F.xxhash64("text").alias("rid")  # equal texts have equal places
+    found = docs.select(key, "text")
+    more = discovered(found, common.cut(base(found).drop("text")))
+    d = base(docs.select(F.struct(*names).alias("_row"), "text", key), occurrences=False)
     of = lambda spans, kind: F.transform(spans, lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), F.lit(kind).alias("k")))
     spans = [of(k, k) for k in KINDS]
     if not more.isEmpty():

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from . import decontaminate, language, minhash, pii, quality, rules, secrets, toxicity, urls
+import corpus_pipeline
+
+from . import decontaminate, language, minhash, packing, pii, quality, rules, secrets, toxicity, urls
 
 QUERIES = {
+    "op1_best_fit_packing": packing.op1,
     "op2_url_templates": urls.op2,
     "op3_toxic_instances": toxicity.op3,
     "op4_secret_ledger": secrets.op4,
@@ -14,6 +17,7 @@ QUERIES = {
     "op8_quality_bayes": quality.op8,
     "op9_language_gru": language.op9,
     "op10_decontamination": decontaminate.op10,
+    "pipeline": corpus_pipeline.run,
 }
 
 ORACLES: dict[str, str] = {"op6_rule_bitmasks": rules.SQL, "op10_decontamination": decontaminate.SQL}
