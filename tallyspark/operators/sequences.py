@@ -50,6 +50,5 @@ def roots(nodes: DataFrame) -> DataFrame:
         at, reach = step.drop("moved"), reach * 2
         if step.filter("moved").isEmpty():
             break
-    top = at.join(nodes.select("id", "parent"), "id")
-    ends = at.filter("up = id").select(F.col("id").alias("up"), F.lit(True).alias("ends"))
-    return top.join(ends, "up", "left").select("id", F.when(F.col("ends"), F.col("up")).alias("root"), F.when(F.col("ends"), F.col("depth")).alias("depth"))
+    ends = nodes.join(have, nodes.parent == F.col("_p"), "left_anti").select(F.col("id").alias("up"), F.lit(True).alias("ends"))
+    return at.join(ends, "up", "left").select("id", F.when(F.col("ends"), F.col("up")).alias("root"), F.when(F.col("ends"), F.col("depth")).alias("depth"))
