@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from . import common
 
 TOXIC, CLEAN, LEAST, EPOCHS, CUT = 1200, 2400, 3, 120, 0.3
-STEP, SHRINK, HOLD = 0.6, 0.035, 0.05
+STEP, SHRINK, HOLD = 0.6, 0.03, 0.05
 PARTS, PART = 4, 2
 GAP = np.ones(256, bool)
 GAP[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = False
