@@ -41,9 +41,9 @@ def levels(intervals: DataFrame, keys: list[str], lane: list[str]) -> DataFrame:
     """(keys, lanes, ms): for how long how many lanes ran at once within each key; idle time has no row."""
     one = union(intervals, *keys, *lane)
     steps = one.select(*keys, F.explode(F.array(F.struct(F.col("start_ms").alias("t"), F.lit(1).alias("d")), F.struct(F.col("end_ms").alias("t"), F.lit(-1).alias("d")))).alias("x")).select(*keys, "x.*")
-    steps = steps.groupBy(*keys, "t").agg(F.sum("d").alias("d"))
+    # A range frame gives all steps of one instant the level after them; only the last has time before the next.
     order = Window.partitionBy(*keys).orderBy("t")
-    swept = steps.select(*keys, F.sum("d").over(order.rowsBetween(Window.unboundedPreceding, 0)).alias("lanes"), (F.lead("t").over(order) - F.col("t")).alias("ms"))
+    swept = steps.select(*keys, F.sum("d").over(order.rangeBetween(Window.unboundedPreceding, 0)).alias("lanes"), (F.lead("t").over(order) - F.col("t")).alias("ms"))
     return swept.filter("lanes > 0 and ms > 0").groupBy(*keys, "lanes").agg(F.sum("ms").alias("ms"))
 
 
