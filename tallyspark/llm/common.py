@@ -32,6 +32,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def small(df: DataFrame, rows: int) -> DataFrame:
+    """Marked for broadcast if it has at most so many rows; else Spark joins by shuffle."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
 def held_out(doc_id: Column, parts: int, part: int) -> Column:
     """Whether a document belongs to the held-out fold; false for a null id."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % parts == part, F.lit(False))

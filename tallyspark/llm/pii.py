@@ -97,11 +97,6 @@ def base(docs: DataFrame, occurrences: bool = True) -> DataFrame:
     return d.drop("t")
 
 
-def _small(df: DataFrame) -> DataFrame:
-    """Marked for broadcast if it has at most BROADCAST_ROWS rows; else Spark joins by shuffle."""
-    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
-
-
 def discovered(docs: DataFrame, found: DataFrame) -> DataFrame:
     """(rid, added): places of instances that high-confidence patterns discovered. ``found``: base() with rid."""
     known = F.concat(*KINDS)
@@ -113,7 +108,7 @@ def discovered(docs: DataFrame, found: DataFrame) -> DataFrame:
         return found.select("rid").limit(0).withColumn("added", F.array().cast(SPAN))
     # How often the patterns occur at all, before whatever word.
     words = docs.select(F.explode(F.split(F.lower(F.coalesce("text", F.lit(""))), r"[\x20\x09-\x0D]+")).alias("before"))
-    totals = common.cut(words.join(_small(able), "before", "left_semi").groupBy("before").agg(F.count("*").alias("total")))
+    totals = common.cut(words.join(common.small(able, BROADCAST_ROWS), "before", "left_semi").groupBy("before").agg(F.count("*").alias("total")))
     graph = common.cut(edges.join(totals, "before"))
     values = graph.groupBy("value").agg(F.max(F.col("seed").cast("double")).alias("score"))
     for _ in range(ROUNDS):
@@ -122,7 +117,7 @@ def discovered(docs: DataFrame, found: DataFrame) -> DataFrame:
         reached = graph.join(patterns, "before").groupBy("value").agg((1 - F.exp(F.sum(F.log(F.greatest(F.lit(1e-9), 1 - F.least(F.lit(1.0), "p")))))).alias("now"))
         values = common.cut(values.join(reached, "value", "left").select("value", F.greatest("score", F.coalesce("now", F.lit(0.0))).alias("score")))
     new = values.join(graph.groupBy("value").agg(F.max("seed").alias("seed")).filter("not seed"), "value", "left_semi").filter(F.col("score") >= TRUST).select("value")
-    places = each.filter("not seed").join(_small(new), "value", "left_semi")
+    places = each.filter("not seed").join(common.small(new, BROADCAST_ROWS), "value", "left_semi")
     return places.groupBy("rid").agg(F.sort_array(F.collect_set(F.struct("s", "e"))).alias("added"))  # places of one text
 
 
