@@ -1,0 +1,30 @@
+"""Provenance claims about inputs: kept for ever, matched anew whenever either side grows."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+KEY = ["agent", "native_session", "native_input"]
+
+
+def matched(inputs: DataFrame, claims: DataFrame) -> DataFrame:
+    """Inputs with origin, evidence and controller as claims and native evidence settle them.
+
+    Claims of one origin settle an input; of several, or against the source's own evidence, they conflict and leave it
+    unknown. A key that several inputs share is ambiguous and settles none.
+    """
+    said = claims.dropDuplicates([*KEY, "origin", "controller"]).groupBy(*KEY).agg(
+        F.count_distinct("origin").alias("_n"), F.min("origin").alias("_origin"), F.when(F.count_distinct("controller") == 1, F.min("controller")).alias("_controller"))
+    shared = inputs.filter(F.col("native_input").isNotNull()).groupBy(*KEY).agg((F.count("*") > 1).alias("_shared"))
+    j = inputs.join(said, KEY, "left").join(shared, KEY, "left")
+    own = F.col("native_origin")
+    clash = (F.col("_n") > 1) | F.coalesce(own != F.col("_origin"), F.lit(False))
+    state = F.when(F.col("_n").isNull(), F.when(own.isNotNull(), "source").otherwise("none")).when(F.col("_shared"), "ambiguous").when(clash, "conflict").otherwise("claim")
+    origin = F.when(state == "claim", F.col("_origin")).when(state == "source", own).otherwise("unknown")
+    return j.withColumns({"evidence": state, "origin_kind": origin, "controller": F.when(state == "claim", F.col("_controller"))}).drop("_n", "_origin", "_controller", "_shared")
+
+
+def pending(inputs: DataFrame, claims: DataFrame) -> DataFrame:
+    """Claims whose input hasn't come yet."""
+    return claims.join(inputs.select(*KEY).distinct(), KEY, "left_anti")
