@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from . import common
 
 RULES = (("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/"))
-DEPTH, SHARE, FEW, Z, WEIGHT, REJECT = 3, 0.01, 5, 2.0, 4.0, 0.5
+DEPTH, SHARE, FEW, Z, WEIGHT, REJECT = 3, 0.01, 5, 2.0, 4.0, 0.8
 
 
 def located(pages: DataFrame) -> DataFrame:
