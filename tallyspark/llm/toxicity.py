@@ -1,7 +1,7 @@
 """Toxicity by multiple-instance learning.
 
 A document is a bag of sentences (cut at . ! ? and line ends). A sentence's features are its words and the first
-four, five and six bytes of them, hashed; its probability is logistic in their weights. A document's is the noisy-or
+four and six bytes of them, hashed; its probability is logistic in their weights. A document's is the noisy-or
 of its sentences, 1 - prod(1 - p), and the weights are learned through it from document labels alone, by adaptive
 proximal gradients: an L1 shrinkage first chooses few features, a second pass weighs those without it. The same weights then locate the offending sentences.
 
@@ -22,9 +22,9 @@ from pyspark.sql import functions as F
 
 from . import common
 
-TOXIC, CLEAN, LEAST, EPOCHS, CUT = 1200, 2400, 3, 120, 0.3
+TOXIC, CLEAN, LEAST, EPOCHS, CUT = 1000, 2400, 3, 120, 0.3
 STEP, SHRINK, HOLD = 0.6, 0.03, 0.05
-PARTS, PART = 4, 2
+PARTS, PART, PREFIXES = 4, 2, (0, 4, 6)  # 0: the whole word
 GAP = np.ones(256, bool)
 GAP[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = False
 END = np.zeros(256, np.int64)
@@ -34,7 +34,7 @@ _MASK = np.uint64((1 << 20) - 1)
 
 
 def features(data: np.ndarray, at: np.ndarray):
-    """Words of some rows as (row, sentence, hashes of four kinds; 0: none), and the rows' sentence counts.
+    """Words of some rows as (row, sentence, hashes of each kind; 0: none), and the rows' sentence counts.
 
     Sentences are numbered through all rows; only those with a word count.
     """
@@ -45,9 +45,9 @@ def features(data: np.ndarray, at: np.ndarray):
     new[1:] = (place[1:] != place[:-1]) | (row[1:] != row[:-1])
     sentence = np.cumsum(new) - 1
     low = common.LOWER[data]
-    out = np.zeros((4, len(starts)), np.uint64)
+    out = np.zeros((len(PREFIXES), len(starts)), np.uint64)
     size = ends - starts
-    for k, n in enumerate((0, 4, 5, 6)):
+    for k, n in enumerate(PREFIXES):
         fit = size >= max(1, n)
         out[k, fit] = common.mix(common.span_hashes(low, starts[fit], starts[fit] + n if n else ends[fit]) ^ _KIND[k])
     return row, sentence, out, np.bincount(row[new], minlength=len(at) - 1), starts, ends
@@ -63,7 +63,7 @@ def _sample(batches):
             bags, feats = [], []
             for i in range(b - a):
                 own = row == i
-                s, f = np.repeat(sentence[own] - first[i], 4), h[:, own].T.ravel()
+                s, f = np.repeat(sentence[own] - first[i], len(PREFIXES)), h[:, own].T.ravel()
                 pair = np.unique(np.stack([s[f != 0].astype(np.uint64), f[f != 0]]), axis=1)
                 bags.append(pair[0].astype(np.int32))
                 feats.append(pair[1].view(np.int64))
@@ -115,6 +115,12 @@ def learn(y: np.ndarray, count: np.ndarray, s: list[np.ndarray], f: list[np.ndar
 
     ``rate`` is the share of toxic documents among all labelled ones, to which the sample is weighted.
     """
+    cells = np.zeros(1 << 22, np.uint16)  # documents of each feature, by its last bits: no fewer than it has
+    low = np.uint64(len(cells) - 1)
+    for x in f:
+        cells[np.unique(x.view(np.uint64) & low)] += 1
+    may = [cells[x.view(np.uint64) & low] >= LEAST for x in f]
+    s, f = [x[k] for x, k in zip(s, may)], [x[k] for x, k in zip(f, may)]
     doc = np.repeat(np.arange(len(y)), [len(x) for x in f])
     every = np.concatenate([*f, np.zeros(0, np.int64)]).view(np.uint64)
     keys, at = np.unique(every, return_inverse=True)
@@ -123,7 +129,8 @@ def learn(y: np.ndarray, count: np.ndarray, s: list[np.ndarray], f: list[np.ndar
     number = np.cumsum(keep) - 1
     bag = np.concatenate([*s, np.zeros(0, np.int32)]) + np.repeat(np.cumsum(count) - count, [len(x) for x in f])
     use = keep[at]
-    bag, at, keys = bag[use].astype(np.int64), number[at[use]], keys[keep]
+    bag, at, keys = bag[use].astype(np.int32), number[at[use]].astype(np.int32), keys[keep]
+    del every, doc, use, seen, s, f
     n_bags, share = int(count.sum()), np.where(y == 1, rate / max(1, (y == 1).sum()), (1 - rate) / max(1, (y != 1).sum()))
     if not n_bags or not (y == 1).any():
         return Model(keys[:0], np.zeros(0), -12.0)
@@ -157,8 +164,9 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     some = [known.filter(c).orderBy("o", "doc_id").limit(n) for c, n in (("toxic = 1", TOXIC), ("toxic <> 1", CLEAN))]
     ids = F.broadcast(some[0].union(some[1]).select(F.col("doc_id").alias("_id"), "toxic"))  # TOXIC + CLEAN rows at most
     rows = docs.select("doc_id", "text").join(ids, F.col("doc_id") == F.col("_id")).select("toxic", "text").mapInArrow(_sample, "toxic long, n long, s array<int>, f array<long>").toArrow()
-    cols = [c.combine_chunks() for c in rows.columns]
-    return learn(np.asarray(cols[0]), np.asarray(cols[1]), [np.asarray(x.values) for x in cols[2]], [np.asarray(x.values) for x in cols[3]], rate)
+    toxic, count = (np.asarray(rows.column(k)) for k in (0, 1))
+    s, f = ([np.asarray(x.values) for x in rows.column(k)] for k in (2, 3))
+    return learn(toxic, count, s, f, rate)
 
 
 def _score(model):
