@@ -15,6 +15,7 @@ fewer words is one shingle; no words: empty set, linked with nothing). Two texts
    |X & Y| >= (f(x) + f(y)) / 2, where f(x) = |X| - k|x|. If that isn't positive both link with the hub; else they
    share one of their rarest |X| - need + 1 differences, for each class of f that the partner may have. So near copies
    of one text, which share nearly all shingles but few differences, meet rarely. No pair within a component is made.
+   Any one order of differences is right; rarity comes from ``CELLS`` hashed counters, the only thing broadcast.
 
 Null texts count as empty. A null doc_id links with nothing: its component is null and it is kept. Repeated rows
 give repeated results. Other columns are ignored.
@@ -32,7 +33,7 @@ from pyspark.sql import functions as F
 
 from . import common
 
-BANDS, ROWS, SMALL, SHINGLE, CLASS = 24, 5, 48, 5, 5
+BANDS, ROWS, SMALL, SHINGLE, CLASS, CELLS = 24, 5, 48, 5, 5, 1 << 20
 PLACES = BANDS * ROWS
 _rng = np.random.default_rng(7)
 _ORDER = _rng.integers(1, 1 << 63, SHINGLE, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -135,25 +136,31 @@ def _links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def _differences(batches):
-    """(hub, id, n, e): the elements in which a set differs from its hub's; u, v, x, y are document, hub and their sets."""
+    """(hub, id, n, d): the elements in which a set differs from its hub's; u, v, x, y are document, hub and their sets."""
     for batch in batches:
-        hub, doc, n, diff = [], [], [], []
+        n, diff = [], []
         for i in range(batch.num_rows):
-            a, b = (np.frombuffer(batch.column(k)[i].as_buffer(), np.int64) for k in (2, 3))
-            d = np.setxor1d(a, b, assume_unique=True)
-            hub.append(np.full(len(d), batch.column(1)[i].as_py()))
-            doc.append(np.full(len(d), batch.column(0)[i].as_py()))
-            n.append(np.full(len(d), len(a)))
-            diff.append(d)
-        if hub:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x), pa.int64()) for x in (hub, doc, n, diff)], ["hub", "id", "n", "e"])
+            a, b = (np.frombuffer(batch.column(k)[i].as_buffer(), np.uint64) for k in (2, 3))
+            n.append(len(a))
+            diff.append(np.setxor1d(a, b, assume_unique=True).tobytes())
+        yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(0), pa.array(n, pa.int64()), pa.array(diff, pa.binary())], ["hub", "id", "n", "d"])
 
 
-def _prefixes(percent: int):
-    """(key, comp, id) of the rarest differences of a set that a partner of each class of f must share.
+def _cells(hub: int, elements: np.ndarray) -> np.ndarray:
+    return (common.mix(elements ^ common.mix(np.array([hub & (2**64 - 1)], np.uint64))) % np.uint64(CELLS)).astype(np.int64)
 
-    ``hc`` has the differences with how many sets of the hub have each; ``n`` is the set's size.
-    """
+
+def _tally(batches):
+    counts = np.zeros(CELLS, np.int64)
+    for batch in batches:
+        for i in range(batch.num_rows):
+            np.add.at(counts, _cells(batch.column(0)[i].as_py(), np.frombuffer(batch.column(3)[i].as_buffer(), np.uint64)), 1)
+    some = np.flatnonzero(counts)
+    yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array(counts[some], pa.int64())], ["cell", "c"])
+
+
+def _prefixes(percent: int, counts):
+    """(key, comp, id) of the rarest differences ``d`` of a set of size ``n`` that a partner of each class of f must share."""
     t = percent / 100
     k = (1 - t) / (1 + t)
 
@@ -162,8 +169,8 @@ def _prefixes(percent: int):
             keys, comps, ids = [], [], []
             for i in range(batch.num_rows):
                 hub, doc, n, comp = (batch.column(c)[i].as_py() for c in range(4))
-                e, count = (np.asarray(batch.column(4)[i].values.field(c)) for c in (0, 1))
-                ranked = e[np.lexsort((e, count))].view(np.uint64)
+                e = np.frombuffer(batch.column(4)[i].as_buffer(), np.uint64)
+                ranked = e[np.lexsort((e, counts.value[_cells(hub, e)]))]
                 size = len(ranked)
                 f, most = size - k * n, k * (n + n / t)  # two linked sets differ in no more than ``most``
                 own = math.floor(f / CLASS)
@@ -221,11 +228,13 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
 def _rest(hubbed: DataFrame, sets: DataFrame, links: DataFrame, percent: int) -> DataFrame:
     """Links between documents (u) of one hub (v) that lie in different components, exactly."""
     found = common.components(links).withColumnRenamed("node", "id")
-    each = common.cut(_with_sets(hubbed, sets).mapInArrow(_differences, "hub long, id long, n long, e long"))
-    counts = each.groupBy("hub", "e").agg(F.count("*").alias("c"))
-    ranked = each.join(counts, ["hub", "e"]).groupBy("hub", "id", "n").agg(F.collect_list(F.struct("e", "c")).alias("hc"))  # of one document
-    placed = ranked.join(found, "id", "left").select("hub", "id", "n", F.coalesce("component", "id").alias("comp"), "hc")
-    keys = common.cut(placed.mapInArrow(_prefixes(percent), "key long, comp long, id long"))
+    each = common.cut(_with_sets(hubbed, sets).mapInArrow(_differences, "hub long, id long, n long, d binary"))
+    told = each.mapInArrow(_tally, "cell long, c long").groupBy("cell").agg(F.sum("c").alias("c")).toArrow()  # CELLS rows at most
+    counts = np.zeros(CELLS, np.int64)
+    counts[np.asarray(told.column(0))] = np.asarray(told.column(1))
+    shared = each.sparkSession.sparkContext.broadcast(counts)
+    placed = each.join(found, "id", "left").select("hub", "id", "n", F.coalesce("component", "id").alias("comp"), "d")
+    keys = common.cut(placed.mapInArrow(_prefixes(percent, shared), "key long, comp long, id long"))
     mixed = keys.groupBy("key").agg(F.min("comp").alias("a"), F.max("comp").alias("b")).filter("a <> b").select("key")
     left = common.cut(keys.join(mixed, "key", "left_semi"))
     right = left.select("key", F.col("comp").alias("comp2"), F.col("id").alias("id2"))
