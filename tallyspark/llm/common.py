@@ -42,7 +42,7 @@ def held_out(doc_id: Column, parts: int, part: int) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % parts == part, F.lit(False))
 
 
-def slices(texts: pa.Array, most: int = 1 << 20) -> Iterator[tuple[int, int]]:
+def slices(texts: pa.Array, most: int = (1 << 20) - 2) -> Iterator[tuple[int, int]]:
     """Row ranges of about ``most`` bytes of text; a longer text stands alone."""
     sizes = np.diff(np.frombuffer(texts.buffers()[1], np.int32, len(texts) + 1, texts.offset * 4).astype(np.int64)) if len(texts) else np.zeros(0, np.int64)
     start, held = 0, 0

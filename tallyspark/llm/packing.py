@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from . import common
 
-CAPACITY, END, UNIT, FILLERS, ROUNDS, FALL, KEPT = 4096, 1, 8, 256, 600, 0.1, 800_000
+CAPACITY, END, UNIT, FILLERS, ROUNDS, FALL, KEPT = 4096, 1, 8, 256, 600, 0.1, 300_000
 VOCABULARY = "word_bpe_49k.json"
 
 _cat = {b: unicodedata.category(chr(b)) for b in range(256)}
