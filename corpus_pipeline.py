@@ -15,6 +15,9 @@ from pyspark.sql import functions as F
 
 from tallyspark.llm import common, decontaminate, minhash, packing, pii, toxicity
 
+#: Near copies share so many in a hundred of their five-word shingles; op7 has its own threshold.
+SIMILAR = 80
+
 ORACLE_SQL = None  # a learned model, hashing and masking: not SQL; tests hold the stages against brute force
 
 
@@ -29,7 +32,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies."""
-    gone = minhash.near_duplicates(docs).filter(~F.col("kept")).select("doc_id").distinct()
+    gone = minhash.near_duplicates(docs, SIMILAR).filter(~F.col("kept")).select("doc_id").distinct()
     return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
 
 

@@ -8,8 +8,9 @@ fewer words is one shingle; no words: empty set, linked with nothing). Two texts
    falls into one hashed place; the least (round, value) stays, and rounds go on until no place is empty - by
    chance in the first as many rounds as there are places, then place by place, which fills every one.
 2. Equal sets form classes; only their representatives (least doc_id) go on.
-3. Bands of the sketch make buckets. A bucket of at most ``SMALL`` representatives gives all its pairs, so a row
-   gives at most BANDS * SMALL of them. A larger one gives a pair of each with its hub, the member that meets most.
+3. Bands of the sketch make buckets; a lower threshold takes bands of fewer places, so that two texts at it miss each
+   other with a probability of at most ``MISS``. A bucket of at most ``SMALL`` representatives gives all its pairs, so a row
+   gives at most SMALL of them a band. A larger one gives a pair of each with its hub, the member that meets most.
 4. Whole sets confirm the links. Members that the hub left in different components are then joined exactly, by their
    differences from the hub: with k = (1 - t) / (1 + t) two sets x and y link only if their differences X and Y have
    |X & Y| >= (f(x) + f(y)) / 2, where f(x) = |X| - k|x|. If that isn't positive both link with the hub; else they
@@ -40,6 +41,13 @@ _ORDER = _rng.integers(1, 1 << 63, SHINGLE, dtype=np.uint64) * np.uint64(2) + np
 _ROUND = _rng.integers(1, 1 << 63, 2 * PLACES, dtype=np.uint64)
 _BAND = _rng.integers(1, 1 << 63, (BANDS, ROWS), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _NONE = np.uint64(2**64 - 1)
+MISS = 1e-6
+
+
+def rows_of(percent: int) -> int:
+    """The most places a band may have, up to ROWS, for two texts at the threshold to miss each other in all bands that rarely."""
+    able = (r for r in range(ROWS, 0, -1) if PLACES % r == 0 and (1 - (percent / 100) ** r) ** (PLACES // r) <= MISS)
+    return next(able, 1)
 
 
 def shingle_sets(data: np.ndarray, at: np.ndarray) -> list[np.ndarray]:
@@ -83,23 +91,26 @@ def sketches(sets: list[np.ndarray]) -> np.ndarray:
     return places.reshape(-1, PLACES)
 
 
-def band_keys(places: np.ndarray) -> np.ndarray:
-    parts = places.reshape(-1, BANDS, ROWS) * _BAND
-    return common.mix(parts.sum(axis=2, dtype=np.uint64) + np.arange(1, BANDS + 1, dtype=np.uint64)).view(np.int64)
+def band_keys(places: np.ndarray, rows: int = ROWS) -> np.ndarray:
+    parts = places.reshape(-1, PLACES // rows, rows) * _BAND.reshape(-1, rows)
+    return common.mix(parts.sum(axis=2, dtype=np.uint64) + np.arange(1, PLACES // rows + 1, dtype=np.uint64)).view(np.int64)
 
 
-def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        texts = common.as_strings(batch.column(1))
-        for a, b in common.slices(texts):
-            sets = shingle_sets(*common.text_bytes(texts, a, b))
-            full = [i for i, s in enumerate(sets) if len(s)]
-            keys: list = [None] * len(sets)
-            if full:
-                for i, row in zip(full, band_keys(sketches([sets[i] for i in full]))):
-                    keys[i] = row
-            print_ = [[int(common.mix(s ^ k).sum(dtype=np.uint64).view(np.int64)) if len(s) else 0 for s in sets] for k in (_ROUND[0], _ROUND[1])]
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array([len(s) for s in sets], pa.int64()), pa.array(print_[0], pa.int64()), pa.array(print_[1], pa.int64()), pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "n", "p", "q", "keys"])
+def _sketch(rows: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = common.as_strings(batch.column(1))
+            for a, b in common.slices(texts):
+                sets = shingle_sets(*common.text_bytes(texts, a, b))
+                full = [i for i, s in enumerate(sets) if len(s)]
+                keys: list = [None] * len(sets)
+                if full:
+                    for i, row in zip(full, band_keys(sketches([sets[i] for i in full]), rows)):
+                        keys[i] = row
+                print_ = [[int(common.mix(s ^ k).sum(dtype=np.uint64).view(np.int64)) if len(s) else 0 for s in sets] for k in (_ROUND[0], _ROUND[1])]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array([len(s) for s in sets], pa.int64()), pa.array(print_[0], pa.int64()), pa.array(print_[1], pa.int64()), pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "n", "p", "q", "keys"])
+
+    return run
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -194,7 +205,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for each row of ``docs`` (doc_id, text)."""
     common.prepare(docs.sparkSession)
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    seen = common.cut(base.mapInArrow(_sketch, "doc_id long, n long, p long, q long, keys array<long>"))
+    seen = common.cut(base.mapInArrow(_sketch(rows_of(percent)), "doc_id long, n long, p long, q long, keys array<long>"))
     whole = seen.filter("n > 0 and doc_id is not null")
     classes = whole.groupBy("n", "p", "q").agg(F.min("doc_id").alias("rep"), F.first("keys").alias("keys"))
     rows = common.cut(classes.select("rep", "n", F.explode("keys").alias("key")))

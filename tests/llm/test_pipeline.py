@@ -32,3 +32,11 @@ def test_stages_on_the_whole_table(spark, sf, tmp_path):
 
 def test_run(spark):
     assert corpus_pipeline.run(spark, "/root/testdata/sf0.001").count() > 100
+
+
+def test_near_copies_from_four_fifths_go(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    rows = [(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()]
+    want = {d for d, (_, _, kept) in brute(rows, 80).items() if kept}
+    assert want < {d for d, (_, _, kept) in brute(rows, 85).items() if kept}
+    assert {r.doc_id for r in corpus_pipeline.drop_near_duplicates(spark, docs, sf).collect()} == want
