@@ -12,6 +12,9 @@ passes over the documents, which carry the hits found so far. Nothing is shuffle
 Null texts and items have no words. Items of equal id count once; an item of null id hits but isn't listed. An
 empty benchmark hits nothing. Rows, repeated ones too, are handled one by one; other columns are ignored by the
 digest and kept by ``remove``.
+
+``remove`` cuts every hit span, those of items shorter than a window too, so an item of one word takes that word
+out of all texts; ``long`` spares spans of fewer words.
 """
 
 from __future__ import annotations
@@ -30,7 +33,7 @@ from . import common
 
 WINDOW, MOST_WORDS = 10, 100_000
 #: A span of at least so many hit words is cut; a text with more than this share of hit words goes.
-LONG, COVERED = WINDOW, 0.5
+LONG, COVERED = 1, 0.5
 _TO_WORDS = bytes(b + 32 if 65 <= b < 91 else b if b >= 128 or 48 <= b < 58 or 97 <= b < 123 else 32 for b in range(256))
 _WORD = re.compile(rb"[^ ]+")
 

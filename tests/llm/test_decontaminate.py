@@ -59,3 +59,11 @@ def test_remove(spark):
     docs = spark.createDataFrame([(1, f"Clean start. {item}! And " + "more " * 20, 5), (2, item, 6), (3, "all é clean\n", 7), (4, None, None)], "doc_id long, text string, k int")
     out = {x.doc_id: (x.text, x.k) for x in decontaminate.remove(docs, spark.createDataFrame([(1, item)], "item_id long, text string")).collect()}
     assert out == {1: ("Clean start. ! And " + "more " * 20, 5), 3: ("all é clean\n", 7), 4: (None, None)}
+
+
+def test_remove_cuts_short_items(spark):
+    items = spark.createDataFrame([(1, "One two three four five six seven"), (2, "eight nine")], "item_id long, text string")
+    docs = spark.createDataFrame([(1, "Before, one two three FOUR five six seven! " + "more " * 20), (2, "eight nine " + "more " * 20), (3, "one two three " * 9)], "doc_id long, text string")
+    out = decontaminate.remove(docs, items)
+    assert {r.doc_id: r.text for r in out.collect()} == {1: "Before, ! " + "more " * 20, 2: " " + "more " * 20, 3: "one two three " * 9}
+    assert decontaminate.contamination(out, items).filter("contaminated").count() == 0
