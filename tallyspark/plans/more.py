@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import clock, fields, quality
+from ..functions import clock, fields, pricing, quality
 from ..operators import dedup, intervals, scope, usage
 from ..sources import normalise
 from . import catalog, store, views
@@ -218,6 +220,31 @@ def m9_fingerprint(spark, sf):
     return u.groupBy("agent").agg(F.md5(told.cast("binary")).alias("fingerprint"))
 
 
+_VERSION, _RATED = 1, json.dumps(pricing.RATES, separators=(",", ":"))
+
+
+@query(f"""WITH {USAGE_SQL}, {COMMITS_SQL}, {_SRC[len(EVENTS_SQL) + 2:]}, st AS (
+  SELECT string_agg(agent || '|' || quality || '|' || n || '|' || scanned, ',' ORDER BY agent, quality, scanned) AS states FROM (
+    SELECT agent, quality, CAST(good_ms IS NOT NULL AS VARCHAR) AS scanned, count(*) AS n FROM sr GROUP BY ALL)),
+fu AS (SELECT CAST(min({_D}) AS VARCHAR) AS first FROM us), sh AS (SELECT CAST(bool_or(repository % 5 = 0 AND committer_ms <= {CUTOFF_MS}) AS VARCHAR) AS shallow FROM cm)
+SELECT states, first, shallow, sha256(concat_ws(';', '{_VERSION}', '{",".join(views.AGENTS)}', states, first, shallow, '{_RATED}')) AS version FROM st, fu, sh""")
+def m9_rollup_version(spark, sf):
+    """The version of rollups: agents, states of all sources, earliest date, shallow history and prices, hashed."""
+    return rollup_version(_sources(spark, sf), views.usage(spark, sf), views.commits(spark, sf).withColumn("shallow", F.col("repository") % 5 == 0))
+
+
+def rollup_version(sources: DataFrame, facts: DataFrame, history: DataFrame) -> DataFrame:
+    # Sources are counted by state before they are listed, so a task gets a few rows an agent.
+    kinds = sources.groupBy("agent", "quality", F.col("good_ms").isNotNull().cast("string").alias("scanned")).agg(F.count("*").alias("n"))
+    told = F.transform(F.array_sort(F.collect_list(F.struct("agent", "quality", "scanned", "n"))), lambda x: F.concat_ws("|", x["agent"], x["quality"], x["n"].cast("string"), x["scanned"]))
+    states = kinds.agg(F.array_join(told, ",").alias("states"))
+    first = facts.agg(F.min(clock.local_date("at_ms", ZONE)).cast("string").alias("first"))
+    shallow = history.agg(F.bool_or(F.col("shallow") & (F.col("committer_ms") <= CUTOFF_MS)).cast("string").alias("shallow"))
+    one = states.crossJoin(F.broadcast(first)).crossJoin(F.broadcast(shallow))  # one row each
+    parts = [F.lit(str(_VERSION)), F.lit(",".join(views.AGENTS)), F.col("states"), F.col("first"), F.col("shallow"), F.lit(_RATED)]
+    return one.withColumn("version", F.sha2(F.concat_ws(";", *parts).cast("binary"), 256))
+
+
 @query(f"WITH {INPUTS_SQL}, g AS (SELECT origin // 4 AS key, origin, at_ms, kind, session FROM inp) SELECT key, CASE WHEN count(DISTINCT at_ms) > 1 OR bool_or(kind = 'unknown') THEN 'unknown' ELSE max(kind) END AS kind, arg_min(session, origin) AS owner, count(*) AS copies FROM g GROUP BY key")
 def d9_platform_inputs(spark, sf):
     g = views.inputs(spark, sf).withColumn("key", F.expr("origin div 4"))
