@@ -160,9 +160,9 @@ def _words(batches):
 def fit(docs: DataFrame, steps: int = STEPS) -> Network:
     common.prepare(docs.sparkSession)
     able = docs.filter(F.col("text").isNotNull() & F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~common.held_out(F.col("doc_id"), PARTS, PART))
-    able = able.withColumn("o", F.xxhash64("doc_id"))
+    able = able.select("doc_id", "lang").distinct().withColumn("o", F.xxhash64("doc_id"))  # an id counts once, however many its rows
     counts = common.small(able.groupBy("lang").agg(F.count("*").alias("n")), 10_000)
-    # About twice the wanted rows of each language by hash, so the ranking below sees few rows however many there are.
+    # About twice the wanted ids of each language by hash, so the ranking below sees few however many there are.
     part = (F.col("o").bitwiseAND((1 << 30) - 1)) / float(1 << 30)
     few = able.select("doc_id", "lang", "o").join(counts, "lang").filter(part * F.col("n") <= 2 * DOCS + 100)
     ranked = few.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy("o", "doc_id"))).filter(F.col("k") <= DOCS)

@@ -54,3 +54,12 @@ def test_edges_and_pooling(spark, monkeypatch):
     nothing = language.fit(docs.selectExpr("doc_id", "text", "cast(null as string) as lang"))
     assert {r.lang_pred for r in language.label(docs, nothing).collect()} == {"und"}
     assert language.label(docs.limit(0), net).count() == 0
+
+
+def test_few_ids_of_many_rows_are_learned(spark, monkeypatch):
+    monkeypatch.setattr(language, "DOCS", 10)
+    able = spark.range(1000).withColumnRenamed("id", "doc_id").filter(~language.common.held_out(language.F.col("doc_id"), language.PARTS, language.PART))
+    late = able.filter("(xxhash64(doc_id) & ((1 << 30) - 1)) / (1 << 30) > 0.7").limit(3)
+    docs = late.selectExpr("doc_id", "'some words here' as text", "'xx' as lang", "explode(sequence(1, 100)) as n")
+    assert docs.count() == 300
+    assert language.fit(docs, 1).langs == ["xx"]
