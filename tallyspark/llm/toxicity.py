@@ -5,24 +5,29 @@ four and six bytes of them, hashed; its probability is logistic in their weights
 of its sentences, 1 - prod(1 - p), and the weights are learned through it from document labels alone, by adaptive
 proximal gradients: an L1 shrinkage first chooses few features, a second pass weighs those without it. The same weights then locate the offending sentences.
 
-Training reads a documented, bounded sample: of the labelled rows outside the held-out fold, the first
-``TOXIC`` and ``CLEAN`` by a hash of the id, whole texts. Features seen in fewer than ``LEAST`` of them are left out,
-so the model stays within tens of thousands of weights. Scoring is one Arrow pass over whole texts, no shuffle.
+Training reads a documented, bounded sample: of the labelled rows outside the held-out fold, the first ``TOXIC`` and
+``CLEAN`` by a hash of the id, whole texts of at most ``LONGEST`` characters, and of these the first that together have
+at most ``CHARS``. Spark counts in how many sampled documents of each label a feature is; of those in ``LEAST`` or more
+the ``FEATURES`` whose shares differ most go into the model, and only their places in sentences come to the driver, as
+32-bit numbers. So neither the sample nor the model grows with the corpus or with a text. Scoring is one Arrow pass
+over whole texts, no shuffle.
 
 An empty or null text has no sentence: score 0. Without labels every score is near 0. Labels that disagree about a
-document count as toxic; null labels are ignored. Repeated rows are scored one by one, null ids too (never held out).
+document count as toxic; null labels are ignored. Repeated rows are scored one by one, null ids too (never held out);
+in the sample an id of several texts has the least one.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import common
 
 TOXIC, CLEAN, LEAST, EPOCHS, CUT = 1000, 2400, 3, 120, 0.3
+LONGEST, CHARS, FEATURES = 200_000, 40_000_000, 20_000
 STEP, SHRINK, HOLD = 0.6, 0.03, 0.05
 PARTS, PART, PREFIXES = 4, 2, (0, 4, 6)  # 0: the whole word
 GAP = np.ones(256, bool)
@@ -54,11 +59,11 @@ def features(data: np.ndarray, at: np.ndarray):
 
 
 def _sample(batches):
+    """(toxic, n, s, f): of each text its label, its sentences, and distinct pairs of sentence and feature."""
     for batch in batches:
         texts = common.as_strings(batch.column(1))
         for a, b in common.slices(texts):
-            data, at = common.text_bytes(texts, a, b)
-            row, sentence, h, count, *_ = features(data, at)
+            row, sentence, h, count, *_ = features(*common.text_bytes(texts, a, b))
             first = np.concatenate([[0], np.cumsum(count)])
             bags, feats = [], []
             for i in range(b - a):
@@ -70,6 +75,24 @@ def _sample(batches):
             yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(count, pa.int64()), pa.array(bags, pa.list_(pa.int32())), pa.array(feats, pa.list_(pa.int64()))], ["toxic", "n", "s", "f"])
 
 
+def _numbered(keys):
+    """The pairs whose feature is among ``keys`` (sorted), the feature by its number."""
+
+    def run(batches):
+        own = keys.value
+        for batch in batches:
+            bags, feats = [], []
+            for i in range(batch.num_rows):
+                s, f = (np.asarray(batch.column(k)[i].values) for k in (2, 3))
+                at = np.minimum(np.searchsorted(own, f), max(0, len(own) - 1))
+                use = own[at] == f if len(own) else np.zeros(len(f), bool)
+                bags.append(s[use])
+                feats.append(at[use].astype(np.int32))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(bags, pa.list_(pa.int32())), pa.array(feats, pa.list_(pa.int32()))], ["toxic", "n", "s", "f"])
+
+    return run
+
+
 def _logistic(z: np.ndarray) -> np.ndarray:
     return 0.5 * (1 + np.tanh(0.5 * z))
 
@@ -110,27 +133,24 @@ class Model:
         return 1 - np.exp(-total), worst
 
 
-def learn(y: np.ndarray, count: np.ndarray, s: list[np.ndarray], f: list[np.ndarray], rate: float, epochs: int = EPOCHS) -> Model:
+def noisy_or(y: np.ndarray, owner: np.ndarray, bag: np.ndarray, at: np.ndarray, share: np.ndarray, w: np.ndarray, b: float) -> tuple[np.ndarray, float]:
+    """Slopes of the weighted log loss of the noisy-or by the weights ``w`` and the bias ``b``.
+
+    Sentence ``bag[i]`` has the feature ``at[i]``, document ``owner[k]`` the sentence ``k``.
+    """
+    z = b + np.bincount(bag, w[at], minlength=len(owner))
+    clear = np.exp(-np.bincount(owner, np.logaddexp(0, z), minlength=len(y)))  # prod(1 - p)
+    slope = np.where(y == 1, -clear / np.maximum(1 - clear, 1e-9), 1.0) * share
+    gz = slope[owner] * _logistic(z)
+    return np.bincount(at, gz[bag], minlength=len(w)), float(gz.sum())
+
+
+def learn(y: np.ndarray, count: np.ndarray, bag: np.ndarray, at: np.ndarray, keys: np.ndarray, rate: float, epochs: int = EPOCHS) -> Model:
     """Weights by adaptive proximal gradients on the mean log loss of the noisy-or, with L1 shrinkage of all but the bias.
 
-    ``rate`` is the share of toxic documents among all labelled ones, to which the sample is weighted.
+    Document ``i`` has the label ``y[i]`` and ``count[i]`` sentences, numbered through; sentence ``bag[j]`` has the
+    feature ``keys[at[j]]``. ``rate`` is the share of toxic documents among all labelled ones, to which the sample is weighted.
     """
-    cells = np.zeros(1 << 22, np.uint16)  # documents of each feature, by its last bits: no fewer than it has
-    low = np.uint64(len(cells) - 1)
-    for x in f:
-        cells[np.unique(x.view(np.uint64) & low)] += 1
-    may = [cells[x.view(np.uint64) & low] >= LEAST for x in f]
-    s, f = [x[k] for x, k in zip(s, may)], [x[k] for x, k in zip(f, may)]
-    doc = np.repeat(np.arange(len(y)), [len(x) for x in f])
-    every = np.concatenate([*f, np.zeros(0, np.int64)]).view(np.uint64)
-    keys, at = np.unique(every, return_inverse=True)
-    seen = np.bincount(np.unique(doc * len(keys) + at) % max(1, len(keys)), minlength=len(keys))
-    keep = seen >= LEAST
-    number = np.cumsum(keep) - 1
-    bag = np.concatenate([*s, np.zeros(0, np.int32)]) + np.repeat(np.cumsum(count) - count, [len(x) for x in f])
-    use = keep[at]
-    bag, at, keys = bag[use].astype(np.int32), number[at[use]].astype(np.int32), keys[keep]
-    del every, doc, use, seen, s, f
     n_bags, share = int(count.sum()), np.where(y == 1, rate / max(1, (y == 1).sum()), (1 - rate) / max(1, (y != 1).sum()))
     if not n_bags or not (y == 1).any():
         return Model(keys[:0], np.zeros(0), -12.0)
@@ -139,12 +159,8 @@ def learn(y: np.ndarray, count: np.ndarray, s: list[np.ndarray], f: list[np.ndar
     for shrink, hold in ((SHRINK / np.sqrt(len(y)), 0.0), (0.0, HOLD / len(y))):  # first choose features, then weigh those few
         past = np.full(len(keys) + 1, 1e-8)
         for _ in range(epochs):
-            z = b + np.bincount(bag, w[at], minlength=n_bags)
-            p = _logistic(z)
-            clear = np.exp(-np.bincount(owner, np.logaddexp(0, z), minlength=len(y)))  # prod(1 - p)
-            slope = np.where(y == 1, -clear / np.maximum(1 - clear, 1e-9), 1.0) * share
-            gz = slope[owner] * p
-            g = np.append(np.bincount(at, gz[bag], minlength=len(keys)) + hold * w, gz.sum())
+            gw, gb = noisy_or(y, owner, bag, at, share, w, b)
+            g = np.append(gw + hold * w, gb)
             past += g * g
             step = STEP / np.sqrt(past)
             w, b = w - (step * g)[:-1], b - step[-1] * g[-1]
@@ -162,11 +178,32 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     known = known.filter(~common.held_out(F.col("doc_id"), PARTS, PART)).withColumn("o", F.xxhash64("doc_id"))
     rate = known.agg(F.avg("toxic")).first()[0] or 0.0
     some = [known.filter(c).orderBy("o", "doc_id").limit(n) for c, n in (("toxic = 1", TOXIC), ("toxic <> 1", CLEAN))]
-    ids = F.broadcast(some[0].union(some[1]).select(F.col("doc_id").alias("_id"), "toxic"))  # TOXIC + CLEAN rows at most
-    rows = docs.select("doc_id", "text").join(ids, F.col("doc_id") == F.col("_id")).select("toxic", "text").mapInArrow(_sample, "toxic long, n long, s array<int>, f array<long>").toArrow()
-    toxic, count = (np.asarray(rows.column(k)) for k in (0, 1))
-    s, f = ([np.asarray(x.values) for x in rows.column(k)] for k in (2, 3))
-    return learn(toxic, count, s, f, rate)
+    ids = F.broadcast(some[0].union(some[1]).select(F.col("doc_id").alias("_id"), "toxic", "o"))  # TOXIC + CLEAN rows at most
+    rows = docs.select("doc_id", "text").filter(F.length("text") <= LONGEST).join(ids, F.col("doc_id") == F.col("_id"))
+    rows = common.cut(rows.groupBy("_id", "toxic", "o").agg(F.min("text").alias("text")))
+    size = rows.select("_id", F.sum(F.length("text")).over(Window.orderBy("o", "_id")).alias("before")).filter(F.col("before") <= CHARS).select("_id")
+    told = common.cut(rows.join(F.broadcast(size), "_id").select("toxic", "text").mapInArrow(_sample, "toxic long, n long, s array<int>, f array<long>"))
+    keys = _chosen(told)
+    shared = docs.sparkSession.sparkContext.broadcast(keys)
+    got = told.mapInArrow(_numbered(shared), "toxic long, n long, s array<int>, f array<int>").toArrow().combine_chunks()
+    toxic, count = (np.asarray(got.column(k)) for k in (0, 1))
+    sizes = np.array([len(x) for x in got.column("s")], np.int64)
+    bag, at = (np.concatenate([np.asarray(c.flatten()) for c in got.column(k).chunks] + [np.zeros(0, np.int32)]) for k in ("s", "f"))
+    bag = bag + np.repeat(np.cumsum(count) - count, sizes).astype(np.int32)
+    shared.destroy()
+    return learn(toxic, count, bag, at, keys.view(np.uint64), rate)
+
+
+def _chosen(told: DataFrame) -> np.ndarray:
+    """The features that go into the model, sorted: at most FEATURES, by how far their shares of the two labels differ."""
+    totals = told.agg(F.sum(F.when(F.col("toxic") == 1, 1).otherwise(0)).alias("t"), F.count("*").alias("n")).first()
+    t, c = totals["t"] or 0, (totals["n"] or 0) - (totals["t"] or 0)
+    each = told.select((F.col("toxic") == 1).cast("int").alias("toxic"), F.explode(F.array_distinct("f")).alias("f"))
+    each = each.groupBy("f").agg(F.sum("toxic").alias("a"), F.count("*").alias("n")).filter(F.col("n") >= LEAST)
+    share = (F.col("n") + 1) / (t + c + 2)
+    far = F.abs((F.col("a") + 0.5) / (t + 1) - (F.col("n") - F.col("a") + 0.5) / (c + 1)) / F.sqrt(share * (1 - share))
+    best = each.orderBy(far.desc(), "f").limit(FEATURES).select("f").toArrow()
+    return np.sort(np.asarray(best.column(0).combine_chunks()).astype(np.int64))
 
 
 def _score(model):
