@@ -37,6 +37,29 @@ def small(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+#: A key that meets more rows is hot; so many hot keys, or bytes of what they carry, may be broadcast; beyond that rows are salted.
+HOT, HOT_KEYS, HOT_BYTES, SALTS = 256, 20_000, 16 << 20, 16
+
+
+def spread(rows: DataFrame, groups: DataFrame, keys: list[str], weight: Column | None = None) -> DataFrame:
+    """``rows`` joined with ``groups``, which has one row for each key and in ``size`` how many rows meet it.
+
+    No task gets all rows of a hot key: hot groups are broadcast where their number and bytes are small (``weight``: bytes
+    of one), else every group stands once for each salt. Give ``groups`` cut, as it is read more than once.
+    """
+    hot = groups.filter(F.col("size") > HOT)
+    n, held = hot.agg(F.count("*"), F.coalesce(F.sum(F.lit(64) if weight is None else weight), F.lit(0))).first()
+    if not n:
+        return rows.join(groups.drop("size"), keys)
+    if n <= HOT_KEYS and held <= HOT_BYTES:
+        few = F.broadcast(hot.drop("size"))
+        cold = rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(groups.filter(F.col("size") <= HOT).drop("size"), keys)
+        return cold.unionByName(rows.join(few, keys))
+    salted = rows.withColumn("_salt", F.pmod(F.xxhash64(*rows.columns), F.lit(SALTS)))
+    each = groups.drop("size").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)).cast("array<long>")))
+    return salted.join(each, [*keys, "_salt"]).drop("_salt")
+
+
 def held_out(doc_id: Column, parts: int, part: int) -> Column:
     """Whether a document belongs to the held-out fold; false for a null id."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % parts == part, F.lit(False))

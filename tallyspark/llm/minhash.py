@@ -7,15 +7,19 @@ fewer words is one shingle; no words: empty set, linked with nothing). Two texts
 1. One Arrow pass hashes whole texts and fills a sketch of ``BANDS * ROWS`` places: in each round every element
    falls into one hashed place; the least (round, value) stays, and rounds go on until no place is empty - by
    chance in the first as many rounds as there are places, then place by place, which fills every one.
-2. Equal sets form classes; only their representatives (least doc_id) go on.
+2. Equal sets form classes; only one row of each, known by its doc_id and a hash of its text, goes on. An id with
+   several texts is in several classes, and links them.
 3. Bands of the sketch make buckets; a lower threshold takes bands of fewer places, so that two texts at it miss each
    other with a probability of at most ``MISS``. A bucket of at most ``SMALL`` representatives gives all its pairs, so a row
    gives at most SMALL of them a band. A larger one gives a pair of each with its hub, the member that meets most.
+   Joins on buckets, classes and hubs spread those with many rows over all tasks.
 4. Whole sets confirm the links. Members that the hub left in different components are then joined exactly, by their
    differences from the hub: with k = (1 - t) / (1 + t) two sets x and y link only if their differences X and Y have
    |X & Y| >= (f(x) + f(y)) / 2, where f(x) = |X| - k|x|. If that isn't positive both link with the hub; else they
    share one of their rarest |X| - need + 1 differences, for each class of f that the partner may have. So near copies
    of one text, which share nearly all shingles but few differences, meet rarely. No pair within a component is made.
+   Where more than ``SMALL`` meet in one difference, one of them becomes their hub in turn, in which that difference is
+   none any more, and the same join goes on among them, ``DEEPEST`` times at most before all pairs of the rest are made.
    Any one order of differences is right; rarity comes from ``CELLS`` hashed counters, the only thing broadcast.
 
 Null texts count as empty. A null doc_id links with nothing: its component is null and it is kept. Repeated rows
@@ -34,7 +38,7 @@ from pyspark.sql import functions as F
 
 from . import common
 
-BANDS, ROWS, SMALL, SHINGLE, CLASS, CELLS = 24, 5, 48, 5, 5, 1 << 20
+BANDS, ROWS, SMALL, SHINGLE, CLASS, CELLS, DEEPEST = 24, 5, 48, 5, 5, 1 << 20, 8
 PLACES = BANDS * ROWS
 _rng = np.random.default_rng(7)
 _ORDER = _rng.integers(1, 1 << 63, SHINGLE, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -108,7 +112,7 @@ def _sketch(rows: int):
                     for i, row in zip(full, band_keys(sketches([sets[i] for i in full]), rows)):
                         keys[i] = row
                 print_ = [[int(common.mix(s ^ k).sum(dtype=np.uint64).view(np.int64)) if len(s) else 0 for s in sets] for k in (_ROUND[0], _ROUND[1])]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array([len(s) for s in sets], pa.int64()), pa.array(print_[0], pa.int64()), pa.array(print_[1], pa.int64()), pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "n", "p", "q", "keys"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array([len(s) for s in sets], pa.int64()), pa.array(print_[0], pa.int64()), pa.array(print_[1], pa.int64()), pa.array(keys, pa.list_(pa.int64())), batch.column(2).slice(a, b - a)], ["doc_id", "n", "p", "q", "keys", "h"])
 
     return run
 
@@ -136,9 +140,11 @@ def _confirm(percent: int):
 
 
 def _with_sets(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Pairs (u, v) with their sets x and y; a hub's many rows are dealt by their other document first."""
+    """Pairs (u, v) with their sets x and y; a hub's many rows, and its set, go to many tasks."""
     one = pairs.join(sets.select(F.col("id").alias("u"), F.col("s").alias("x")), "u")
-    return one.join(sets.select(F.col("id").alias("v"), F.col("s").alias("y")), "v").select("u", "v", "x", "y")
+    hubs = pairs.groupBy("v").agg(F.count("*").alias("size"))
+    theirs = common.cut(sets.select(F.col("id").alias("v"), F.col("s").alias("y")).join(hubs, "v"))
+    return common.spread(one, theirs, ["v"], F.length("y")).select("u", "v", "x", "y")
 
 
 def _links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -201,43 +207,64 @@ def _prefixes(percent: int, counts):
     return run
 
 
-def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
+def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for each row of ``docs`` (doc_id, text)."""
     common.prepare(docs.sparkSession)
-    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    seen = common.cut(base.mapInArrow(_sketch(rows_of(percent)), "doc_id long, n long, p long, q long, keys array<long>"))
+    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("h", F.xxhash64("text"))
+    seen = common.cut(base.mapInArrow(_sketch(rows_of(percent)), "doc_id long, n long, p long, q long, keys array<long>, h long"))
     whole = seen.filter("n > 0 and doc_id is not null")
-    classes = whole.groupBy("n", "p", "q").agg(F.min("doc_id").alias("rep"), F.first("keys").alias("keys"))
-    rows = common.cut(classes.select("rep", "n", F.explode("keys").alias("key")))
-    sizes = rows.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1")
-    shared = common.cut(rows.join(sizes, "key"))
-
-    small = shared.filter(F.col("size") <= SMALL).select("key", "rep", "n")
-    other = small.select("key", F.col("rep").alias("rep2"), F.col("n").alias("n2"))
-    pairs = small.join(other, "key").filter((F.col("rep") < F.col("rep2")) & (100 * F.least("n", "n2") >= percent * F.greatest("n", "n2")))
-    pairs = pairs.select(F.col("rep").alias("u"), F.col("rep2").alias("v"))
-
-    large = shared.filter(F.col("size") > SMALL)
-    met = large.groupBy("rep").agg(F.sum("size").alias("met"))
-    hubs = large.join(met, "rep").groupBy("key").agg(F.max(F.struct("met", "rep")).alias("hub")).select("key", F.col("hub.rep").alias("v"))
-    hubbed = common.cut(large.select("key", F.col("rep").alias("u")).join(hubs, "key").filter("u <> v").select("u", "v").distinct())
+    classes = whole.groupBy("n", "p", "q").agg(F.min(F.struct("doc_id", "h")).alias("rep"), F.count("*").alias("size"), F.first("keys").alias("keys"))
+    classes = common.cut(classes.withColumn("id", F.monotonically_increasing_id()))
+
+    rows = common.cut(classes.select("id", "n", F.explode("keys").alias("key")))
+    buckets = common.cut(rows.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1"))
+    shared = common.cut(common.spread(rows, buckets.withColumn("met", F.col("size")), ["key"]))
+
+    small = shared.filter(F.col("met") <= SMALL).select("key", "id", "n")
+    other = small.select("key", F.col("id").alias("id2"), F.col("n").alias("n2"))
+    pairs = small.join(other, "key").filter((F.col("id") < F.col("id2")) & (100 * F.least("n", "n2") >= percent * F.greatest("n", "n2")))
+    pairs = pairs.select(F.col("id").alias("u"), F.col("id2").alias("v"))
+
+    large = shared.filter(F.col("met") > SMALL)
+    most = large.groupBy("id").agg(F.sum("met").alias("all"))
+    hubs = large.join(most, "id").groupBy("key").agg(F.max(F.struct("all", "id")).alias("hub"), F.count("*").alias("size"))
+    hubs = common.cut(hubs.select("key", F.col("hub.id").alias("v"), "size"))
+    hubbed = common.cut(common.spread(large.select("key", F.col("id").alias("u")), hubs, ["key"]).filter("u <> v").select("u", "v").distinct())
     first = common.cut(pairs.unionByName(hubbed).distinct())
 
-    wanted = first.select(F.col("u").alias("doc_id")).union(first.select("v")).distinct()
-    sets = common.cut(base.join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id"]).mapInArrow(_sets, "id long, s binary"))
+    wanted = first.select(F.col("u").alias("id")).union(first.select("v")).distinct()
+    wanted = wanted.join(classes.select("id", "rep.*"), "id")
+    sets = common.cut(base.join(wanted, ["doc_id", "h"]).dropDuplicates(["doc_id", "h"]).select("id", "text").mapInArrow(_sets, "id long, s binary"))
     links = common.cut(_links(first, sets, percent))
-
-    if not hubbed.isEmpty():
-        links = links.unionByName(common.cut(_rest(hubbed, sets, links, percent)))
-    found = common.components(links)
-
-    named = seen.join(classes.select("n", "p", "q", "rep"), ["n", "p", "q"], "left").join(found.withColumnRenamed("node", "rep"), "rep", "left")
-    component = F.when(F.col("n") > 0, F.coalesce("component", "rep")).otherwise(F.col("doc_id"))
-    return named.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
-
-
-def _rest(hubbed: DataFrame, sets: DataFrame, links: DataFrame, percent: int) -> DataFrame:
-    """Links between documents (u) of one hub (v) that lie in different components, exactly."""
+    links = _rest(hubbed, sets, links, percent)
+
+    edges = links.unionByName(_several(whole, classes))
+    found = common.components(edges)
+    members = found.unionByName(found.select(F.col("component").alias("node"), "component")).distinct()
+    least = members.join(classes.select(F.col("id").alias("node"), "rep.doc_id"), "node").groupBy("component").agg(F.min("doc_id").alias("root"))
+    rooted = members.join(least, "component").select(F.col("node").alias("id"), "root")
+    told = common.cut(classes.join(rooted, "id", "left").select("n", "p", "q", "size", F.coalesce("root", "rep.doc_id").alias("root")))
+
+    named = common.spread(whole.select("doc_id", "n", "p", "q"), told, ["n", "p", "q"]).select("doc_id", "n", "root")
+    alone = seen.filter("n = 0 or doc_id is null").select("doc_id", "n", F.col("doc_id").alias("root"))
+    return named.unionByName(alone).select("doc_id", F.col("n").alias("n_shingles"), F.col("root").alias("component_id"), F.coalesce(F.col("doc_id") == F.col("root"), F.lit(True)).alias("kept"))
+
+
+def _several(whole: DataFrame, classes: DataFrame) -> DataFrame:
+    """Links (u, v) between the classes of the texts of one id."""
+    differ = " or ".join(f"min({c}) <> max({c})" for c in "npq")
+    ids = common.cut(whole.groupBy("doc_id").agg(F.expr(differ).alias("several")).filter("several").select("doc_id"))
+    if ids.isEmpty():
+        return whole.sparkSession.createDataFrame([], "u long, v long")
+    each = whole.join(ids, "doc_id", "left_semi").select("doc_id", "n", "p", "q").distinct().join(classes.select("n", "p", "q", "id"), ["n", "p", "q"])
+    least = each.groupBy("doc_id").agg(F.min("id").alias("v"))
+    return common.cut(each.join(least, "doc_id").filter("id <> v").select(F.col("id").alias("u"), "v").distinct())
+
+
+def _rest(hubbed: DataFrame, sets: DataFrame, links: DataFrame, percent: int, depth: int = 0) -> DataFrame:
+    """``links`` and all others between documents (u) of one hub (v), as far as components need them, exactly."""
+    if hubbed.isEmpty():
+        return links
     found = common.components(links).withColumnRenamed("node", "id")
     each = common.cut(_with_sets(hubbed, sets).mapInArrow(_differences, "hub long, id long, n long, d binary"))
     told = each.mapInArrow(_tally, "cell long, c long").groupBy("cell").agg(F.sum("c").alias("c")).toArrow()  # CELLS rows at most
@@ -246,12 +273,18 @@ def _rest(hubbed: DataFrame, sets: DataFrame, links: DataFrame, percent: int) ->
     shared = each.sparkSession.sparkContext.broadcast(counts)
     placed = each.join(found, "id", "left").select("hub", "id", "n", F.coalesce("component", "id").alias("comp"), "d")
     keys = common.cut(placed.mapInArrow(_prefixes(percent, shared), "key long, comp long, id long"))
-    mixed = keys.groupBy("key").agg(F.min("comp").alias("a"), F.max("comp").alias("b")).filter("a <> b").select("key")
-    left = common.cut(keys.join(mixed, "key", "left_semi"))
-    right = left.select("key", F.col("comp").alias("comp2"), F.col("id").alias("id2"))
-    pairs = left.join(right, "key").filter("comp < comp2").select(F.col("id").alias("u"), F.col("id2").alias("v")).distinct()
-    return _links(common.cut(pairs), sets, percent)
+    shared.destroy()
+    mixed = keys.groupBy("key").agg(F.min("comp").alias("a"), F.max("comp").alias("b"), F.count("*").alias("size"), F.min("id").alias("hub")).filter("a <> b")
+    mixed = common.cut(mixed.select("key", "size", F.col("size").alias("met"), "hub"))
+    left = common.cut(common.spread(keys, mixed, ["key"]))
+    few = left.filter(F.col("met") <= SMALL) if depth < DEEPEST else left
+    right = few.select("key", F.col("comp").alias("comp2"), F.col("id").alias("id2"))
+    pairs = few.join(right, "key").filter("comp < comp2").select(F.col("id").alias("u"), F.col("id2").alias("v"))
+    many = common.cut(left.filter(F.col("met") > SMALL).filter("id <> hub").select(F.col("id").alias("u"), F.col("hub").alias("v")).distinct())
+    more = common.cut(_links(common.cut(pairs.unionByName(many).distinct()), sets, percent))
+    links = links.unionByName(more)
+    return links if depth >= DEEPEST else _rest(many, sets, links, percent, depth + 1)
 
 
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(common.table(spark, sf_dir, "documents"))
+    return near_duplicates(common.table(spark, sf_dir, "documents"), 85)

@@ -42,7 +42,7 @@ def test_whole_table_against_brute_force(spark, sf):
 
 def test_edge_cases(spark):
     rows = [(1, None), (2, ""), (3, " \n\t"), (4, "a b"), (5, "A\tB"), (6, "a b c d e"), (7, "a b c d e"), (8, "x " * 3000), (9, "x " * 4000), (10, "é è"), (None, "a b")]
-    out = minhash.near_duplicates(spark.createDataFrame([(d, t, 0, "q") for d, t in rows], "doc_id long, text string, n int, key string")).collect()
+    out = minhash.near_duplicates(spark.createDataFrame([(d, t, 0, "q") for d, t in rows], "doc_id long, text string, n int, key string"), 85).collect()
     assert len(out) == len(rows)
     want = brute([r for r in rows if r[0] is not None])
     assert {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in out if r.doc_id is not None} == want
@@ -60,4 +60,16 @@ def test_large_bucket_of_near_copies_loses_no_link(spark, monkeypatch):
         for _ in range(r.randint(0, 9)):
             words[r.randrange(150)] = f"e{r.randrange(40)}"
         rows.append((d, " ".join(words)))
-    assert got(minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))) == brute(rows)
+    assert got(minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 85)) == brute(rows)
+    monkeypatch.setattr(minhash.common, "HOT", 3)
+    assert got(minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 80)) == brute(rows, 80)
+    monkeypatch.setattr(minhash.common, "HOT_KEYS", 0)  # all joins salted
+    assert got(minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 85)) == brute(rows)
+
+
+def test_id_with_several_texts_links_them(spark):
+    w, v = (" ".join(f"{c}{i}" for i in range(60)) for c in "wv")
+    rows = [(1, w), (1, v), (1, v), (2, w), (3, v + " end"), (5, "other words of some text here"), (4, v.upper())]
+    out = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 85).collect()
+    assert len(out) == len(rows) and {(r.doc_id, r.component_id) for r in out} == {(1, 1), (2, 1), (3, 1), (4, 1), (5, 5)}
+    assert sorted(r.n_shingles for r in out) == [2, 56, 56, 56, 56, 56, 57]
