@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 
 from . import common
 
-BANDS, ROWS, SMALL, SHINGLE, CLASS, CELLS, DEEPEST = 24, 5, 48, 5, 5, 1 << 20, 8
+BANDS, ROWS, SMALL, SHINGLE, CLASS, CELLS, MANY, DEEPEST = 24, 5, 48, 5, 5, 1 << 20, 1 << 14, 8
 PLACES = BANDS * ROWS
 _rng = np.random.default_rng(7)
 _ORDER = _rng.integers(1, 1 << 63, SHINGLE, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -177,13 +177,16 @@ def _tally(batches):
 
 
 def _prefixes(percent: int, counts):
-    """(key, comp, id) of the rarest differences ``d`` of a set of size ``n`` that a partner of each class of f must share."""
+    """(key, comp, id, side, f, after) of the rarest differences ``d`` of a set of size ``n`` that a partner of each class of f must share.
+
+    ``side``: 0 in the lower class of the two, 1 in the higher, 2 if they are one; ``after``: how many differences are less rare.
+    """
     t = percent / 100
     k = (1 - t) / (1 + t)
 
     def run(batches):
         for batch in batches:
-            keys, comps, ids = [], [], []
+            keys, after, per = [], [], []
             for i in range(batch.num_rows):
                 hub, doc, n, comp = (batch.column(c)[i].as_py() for c in range(4))
                 e = np.frombuffer(batch.column(4)[i].as_buffer(), np.uint64)
@@ -199,10 +202,15 @@ def _prefixes(percent: int, counts):
                         pair = (min(own, c) * 1_000_003 + max(own, c)) & (2**64 - 1)
                         made = common.mix(ranked[:top] ^ common.mix(np.array([hub & (2**64 - 1)], np.uint64) ^ common.mix(np.array([pair], np.uint64))))
                         keys.append(made.view(np.int64))
-                        comps.append(np.full(top, comp))
-                        ids.append(np.full(top, doc))
+                        after.append(np.arange(size - 1, size - 1 - top, -1))
+                        per.append((comp, doc, 2 if own == c else int(own > c), f, top))
             if keys:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x), pa.int64()) for x in (keys, comps, ids)], ["key", "comp", "id"])
+                comp, doc, side, f, top = (np.array(x) for x in zip(*per))
+                many = lambda x: np.repeat(x, top)
+                yield pa.RecordBatch.from_arrays([
+                    pa.array(np.concatenate(keys), pa.int64()), pa.array(many(comp), pa.int64()), pa.array(many(doc), pa.int64()),
+                    pa.array(many(side).astype(np.int8)), pa.array(many(f), pa.float64()), pa.array(np.concatenate(after).astype(np.int32)),
+                ], ["key", "comp", "id", "side", "f", "after"])
 
     return run
 
@@ -216,7 +224,7 @@ def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
     classes = whole.groupBy("n", "p", "q").agg(F.min(F.struct("doc_id", "h")).alias("rep"), F.count("*").alias("size"), F.first("keys").alias("keys"))
     classes = common.cut(classes.withColumn("id", F.monotonically_increasing_id()))
 
-    rows = common.cut(classes.select("id", "n", F.explode("keys").alias("key")))
+    rows = classes.select("id", "n", F.explode("keys").alias("key"))
     buckets = common.cut(rows.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1"))
     shared = common.cut(common.spread(rows, buckets.withColumn("met", F.col("size")), ["key"]))
 
@@ -272,15 +280,19 @@ def _rest(hubbed: DataFrame, sets: DataFrame, links: DataFrame, percent: int, de
     counts[np.asarray(told.column(0))] = np.asarray(told.column(1))
     shared = each.sparkSession.sparkContext.broadcast(counts)
     placed = each.join(found, "id", "left").select("hub", "id", "n", F.coalesce("component", "id").alias("comp"), "d")
-    keys = common.cut(placed.mapInArrow(_prefixes(percent, shared), "key long, comp long, id long"))
+    keys = common.cut(placed.mapInArrow(_prefixes(percent, shared), "key long, comp long, id long, side byte, f double, after int"))
     shared.destroy()
-    mixed = keys.groupBy("key").agg(F.min("comp").alias("a"), F.max("comp").alias("b"), F.count("*").alias("size"), F.min("id").alias("hub")).filter("a <> b")
-    mixed = common.cut(mixed.select("key", "size", F.col("size").alias("met"), "hub"))
+    low, high, alike = (F.count(F.when(F.col("side") == x, 1)) for x in (0, 1, 2))
+    mixed = keys.groupBy("key").agg(F.min("comp").alias("a"), F.max("comp").alias("b"), F.count("*").alias("size"), (low * high + alike * alike / 2).alias("meet"), F.min("id").alias("hub"))
+    mixed = common.cut(mixed.filter("a <> b and meet > 0").select("key", "size", "meet", "hub"))
     left = common.cut(common.spread(keys, mixed, ["key"]))
-    few = left.filter(F.col("met") <= SMALL) if depth < DEEPEST else left
-    right = few.select("key", F.col("comp").alias("comp2"), F.col("id").alias("id2"))
-    pairs = few.join(right, "key").filter("comp < comp2").select(F.col("id").alias("u"), F.col("id2").alias("v"))
-    many = common.cut(left.filter(F.col("met") > SMALL).filter("id <> hub").select(F.col("id").alias("u"), F.col("hub").alias("v")).distinct())
+    few = left.filter(F.col("meet") < MANY) if depth < DEEPEST else left
+    few = few.select("key", "comp", "id", "side", "f", "after")
+    right = few.select("key", *[F.col(c).alias(f"{c}2") for c in few.columns[1:]])
+    sides = ((F.col("side") == 2) & (F.col("side2") == 2) & (F.col("comp") < F.col("comp2"))) | ((F.col("side") == 0) & (F.col("side2") == 1) & (F.col("comp") != F.col("comp2")))
+    enough = 1 + F.least("after", "after2") >= (F.col("f") + F.col("f2")) / 2 - 1e-6
+    pairs = few.join(right, "key").filter(sides & enough).select(F.least("id", "id2").alias("u"), F.greatest("id", "id2").alias("v"))
+    many = common.cut(left.filter(F.col("meet") >= MANY).filter("id <> hub").select(F.col("id").alias("u"), F.col("hub").alias("v")).distinct())
     more = common.cut(_links(common.cut(pairs.unionByName(many).distinct()), sets, percent))
     links = links.unionByName(more)
     return links if depth >= DEEPEST else _rest(many, sets, links, percent, depth + 1)
