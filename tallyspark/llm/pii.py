@@ -2,10 +2,15 @@
 
 Base entities (email, ip, card, phone) are found by pattern: a replacement marks the leftmost matches, and the
 lengths of the pieces between the marks give code-point places. They are the seeds. Every identifier-like word (six
-characters or more with a digit or @) is an instance, the word before it a lexical pattern. Spark scores the graph of
-patterns and instances in ``ROUNDS`` rounds: a pattern by the share of all its occurrences in the corpus that known
-instances follow, if at least ``SUPPORT`` different ones do; an instance by the noisy-or of its patterns. Instances
-that reach ``TRUST`` become known, and their places in all texts are added as kind ``context``.
+characters or more with a digit or @; punctuation around it doesn't count) is an instance. Its lexical patterns are the
+one to three words before it, the one to three after it, both neighbours together, its shape (letters as a, digits as 9,
+runs of mixed ones as ~), and its shape with either neighbour. Spark scores the graph of patterns and instances in ``ROUNDS``
+rounds: a pattern by the share of known instances among all its occurrences; an instance by the noisy-or of the patterns
+that count. A pattern counts with a share of ``TRUST`` or more, ``SUPPORT`` different known instances, and a share above
+that of seeds among all identifier-like words by ``SURE`` standard errors, so that words which stand before anything tell
+nothing. Instances that reach ``TRUST`` become known, and their places in all texts are added as kind ``context``.
+
+Neighbours are looked for within ``NEAR`` characters, up to the next word with a digit or @.
 
 Patterns are made linear for Java: possessive runs, which can't change these matches as what follows a run is never
 in its class, and starts only where a run begins or the last match ended.
@@ -22,7 +27,7 @@ from pyspark.sql import functions as F
 from . import common
 
 KINDS = ("email", "ip", "card", "phone")
-SUPPORT, TRUST, ROUNDS, BROADCAST_ROWS = 5, 0.5, 2, 20_000
+SUPPORT, TRUST, SURE, ROUNDS, BROADCAST_ROWS, NEAR = 5, 0.6, 3.0, 2, 20_000, 120
 MARK, PLAIN, WHITE = "\u0001", "\u0002", "\t\n\x0b\f\r"
 _LOCAL = r"[A-Za-z0-9._%+-]"
 _FIND = {
@@ -34,8 +39,10 @@ _FIND = {
 #: A text without a match of this has none of the entity.
 _HINT = {"email": r"@[A-Za-z0-9-]++\.", "ip": r"[0-9]\.[0-9]", "card": r"[0-9](?:[\x20-]?[0-9]){12}", "phone": r"\+[0-9]"}
 _IDENTIFIER = r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D0-9@]*+[0-9@][^\x20\x09-\x0D]*+"
+_LEADING = r"^[^\p{L}\p{N}@]+"
+_AROUND = _LEADING + r"|[^\p{L}\p{N}@]+$"
 SPAN = "array<struct<s:int,e:int>>"
-OCCURRENCE = "array<struct<s:int,e:int,value:string,before:string>>"
+OCCURRENCE = "array<struct<s:int,e:int,value:string,l:array<string>,r:array<string>>>"
 
 
 def _starts(lengths: Column) -> Column:
@@ -90,34 +97,54 @@ def base(docs: DataFrame, occurrences: bool = True) -> DataFrame:
         d = d.withColumn(kind, F.coalesce(spans, F.array().cast(SPAN))).drop("m", "m_n", "m_at")
     if occurrences:
         d = _marked(d, "m", _IDENTIFIER, "[0-9@]")
-        last = lambda i: F.lower(F.substring_index(F.rtrim(F.translate(F.get("m", i - 1), WHITE, " " * len(WHITE))), " ", -1))
-        long = F.filter(_odd("m"), lambda i: F.get("m_n", i) >= 6)
-        found = F.transform(long, lambda i: F.struct(F.get("m_at", i).alias("s"), (F.get("m_at", i) + F.get("m_n", i)).alias("e"), F.lower(F.get("m", i)).alias("value"), last(i).alias("before")))
+        words = lambda x: F.filter(F.split(F.lower(F.translate(x, WHITE, " " * len(WHITE))), " "), lambda w: w != "")
+        left = lambda i: words(F.right(F.get("m", i - 1), F.lit(NEAR)))
+        right = lambda i: words(F.left(F.get("m", i + 1), F.lit(NEAR)))
+        tail = lambda w: F.slice(w, F.greatest(F.size(w) - 2, F.lit(1)), F.lit(3))
+        lead = lambda i: F.length(F.get("m", i)) - F.length(F.regexp_replace(F.get("m", i), _LEADING, ""))
+        core = lambda i: F.regexp_replace(F.get("m", i), _AROUND, "")
+        # Both ends name m_at: what a lambda names once is worked out in it anew for each of its elements.
+        found = F.transform(_odd("m"), lambda i: F.struct((F.get("m_at", i) + lead(i)).alias("s"), (F.get("m_at", i) + lead(i) + F.length(core(i))).alias("e"), F.lower(core(i)).alias("value"), tail(left(i)).alias("l"), F.slice(right(i), 1, 3).alias("r")))
+        found = F.filter(found, lambda o: o["e"] - o["s"] >= 6)
         d = d.withColumn("occ", F.coalesce(found, F.array().cast(OCCURRENCE))).drop("m", "m_n", "m_at")
     return d.drop("t")
 
 
-def discovered(docs: DataFrame, found: DataFrame) -> DataFrame:
+def patterns(o: Column) -> Column:
+    """The lexical patterns of an occurrence."""
+    left, right = o["l"], o["r"]
+    shape = F.regexp_replace(F.regexp_replace(F.left(o["value"], F.lit(64)), r"\p{L}+", "a"), "[0-9]", "9")
+    shape = F.left(F.regexp_replace(shape, "a?(?:9++a){3,}+9*+", "~"), F.lit(40))
+    before = [F.when(F.size(left) >= k, F.concat(F.lit("L "), F.array_join(F.slice(left, -k, k), " "))) for k in (1, 2, 3)]
+    after = [F.when(F.size(right) >= k, F.concat(F.lit("R "), F.array_join(F.slice(right, 1, k), " "))) for k in (1, 2, 3)]
+    both = F.concat(before[0], F.lit(" "), after[0])
+    return F.array_compact(F.array(*before, *after, both, F.concat(F.lit("S "), shape), F.concat(before[0], F.lit(" S "), shape), F.concat(after[0], F.lit(" S "), shape)))
+
+
+def discovered(found: DataFrame) -> DataFrame:
     """(rid, added): places of instances that high-confidence patterns discovered. ``found``: base() with rid."""
     known = F.concat(*KINDS)
-    each = found.select("rid", F.explode(F.transform("occ", lambda o: F.struct("rid", o["s"].alias("s"), o["e"].alias("e"), o["value"].alias("value"), o["before"].alias("before"), F.exists(known, lambda k: (k["s"] < o["e"]) & (o["s"] < k["e"])).alias("seed")))).alias("o")).select("o.*")
-    each = each.filter((F.col("before") != "") & ~F.col("before").rlike("[0-9@]"))
-    edges = common.cut(each.groupBy("before", "value").agg(F.count("*").alias("n"), F.max("seed").alias("seed")))
-    able = edges.filter("seed").groupBy("before").agg(F.count("*").alias("k")).filter(F.col("k") >= SUPPORT).select("before")
+    seed = lambda o: F.exists(known, lambda k: (k["s"] < o["e"]) & (o["s"] < k["e"]))
+    each = found.select("rid", F.explode(F.transform("occ", lambda o: F.struct(o["s"].alias("s"), o["e"].alias("e"), o["value"].alias("value"), seed(o).alias("seed"), patterns(o).alias("patterns")))).alias("o")).select("rid", "o.*")
+    edges = common.cut(each.select("value", "seed", F.explode("patterns").alias("pattern")).groupBy("pattern", "value").agg(F.count("*").alias("n"), F.max("seed").alias("seed")))
+    able = edges.groupBy("pattern").agg(F.count("*").alias("size"), F.sum("n").alias("total"), F.max("seed").alias("seed")).filter(F.col("seed") & (F.col("size") >= SUPPORT))
+    able = common.cut(able.select("pattern", "size", "total", F.col("size").alias("k")))
     if able.isEmpty():
         return found.select("rid").limit(0).withColumn("added", F.array().cast(SPAN))
-    # How often the patterns occur at all, before whatever word.
-    words = docs.select(F.explode(F.split(F.lower(F.coalesce("text", F.lit(""))), r"[\x20\x09-\x0D]+")).alias("before"))
-    totals = common.cut(words.join(common.small(able, BROADCAST_ROWS), "before", "left_semi").groupBy("before").agg(F.count("*").alias("total")))
-    graph = common.cut(edges.join(totals, "before"))
-    values = graph.groupBy("value").agg(F.max(F.col("seed").cast("double")).alias("score"))
+    graph = common.cut(common.spread(edges, able, ["pattern"]))
+    values = common.cut(graph.groupBy("value").agg(F.max(F.col("seed").cast("double")).alias("score"), F.max("seed").alias("seed"), F.count("*").alias("size")))
+    all_, seeds = each.agg(F.count("*"), F.sum(F.col("seed").cast("long"))).first()
+    usual = (seeds + 1) / (all_ + 2)
+    enough = F.greatest(F.lit(TRUST), usual + SURE * F.sqrt(usual * (1 - usual) / F.col("size")))
     for _ in range(ROUNDS):
-        known_ = values.filter(F.col("score") >= TRUST)
-        patterns = graph.join(known_, "value").groupBy("before").agg((F.sum(F.col("n") * F.col("score")) / (F.first("total") + 2)).alias("p"), F.count("*").alias("k")).filter((F.col("k") >= SUPPORT) & (F.col("p") >= TRUST))
-        reached = graph.join(patterns, "before").groupBy("value").agg((1 - F.exp(F.sum(F.log(F.greatest(F.lit(1e-9), 1 - F.least(F.lit(1.0), "p")))))).alias("now"))
-        values = common.cut(values.join(reached, "value", "left").select("value", F.greatest("score", F.coalesce("now", F.lit(0.0))).alias("score")))
-    new = values.join(graph.groupBy("value").agg(F.max("seed").alias("seed")).filter("not seed"), "value", "left_semi").filter(F.col("score") >= TRUST).select("value")
-    places = each.filter("not seed").join(common.small(new, BROADCAST_ROWS), "value", "left_semi")
+        sure = common.cut(values.filter(F.col("score") >= TRUST).select("value", "score", "size"))
+        share = F.sum(F.col("n") * F.col("score")) / (F.first("total") + 2)
+        trusted = common.spread(graph, sure, ["value"]).groupBy("pattern").agg(share.alias("p"), F.count("*").alias("seen"), F.first("k").alias("size"))
+        trusted = common.cut(trusted.filter((F.col("seen") >= SUPPORT) & (F.col("p") >= enough)).select("pattern", "p", "size"))
+        reached = common.spread(graph.select("pattern", "value"), trusted, ["pattern"]).groupBy("value").agg((1 - F.exp(F.sum(F.log(1 - F.col("p"))))).alias("now"))
+        values = common.cut(values.join(reached, "value", "left").select("value", F.greatest("score", F.coalesce("now", F.lit(0.0))).alias("score"), "seed", "size"))
+    new = values.filter(~F.col("seed") & (F.col("score") >= TRUST)).select("value")
+    places = each.filter("not seed").select("rid", "s", "e", "value").join(common.small(new, BROADCAST_ROWS), "value", "left_semi")
     return places.groupBy("rid").agg(F.sort_array(F.collect_set(F.struct("s", "e"))).alias("added"))  # places of one text
 
 
@@ -130,27 +157,26 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def digest(docs: DataFrame) -> DataFrame:
-    """doc_id, counts of the base kinds, the digest of their spans, and all spans."""
+    """doc_id, counts of the base kinds, the digest of their spans, all spans, how many the method added, and whether there is any."""
     common.prepare(docs.sparkSession)
     d = docs.select("doc_id", "text").withColumn("rid", F.monotonically_increasing_id())
     found = common.cut(base(d).drop("text"))
-    more = discovered(d, found)
+    more = common.cut(discovered(found))
     told = F.concat(*[_told(k, k) for k in KINDS])
     out = found.withColumn("told", told)
     if more.isEmpty():
-        out = out.withColumn("all", F.col("told"))
+        out = out.withColumns({"all": F.col("told"), "n_context": F.lit(0)})
     else:
-        out = out.join(more, "rid", "left").withColumn("all", F.concat("told", F.coalesce(_told("context", "added"), F.array().cast("array<string>"))))
-    return out.select("doc_id", *[F.size(k).cast("long").alias(f"n_{k}") for k in KINDS], F.sha2(F.array_join("told", ","), 256).alias("base_sha256"), F.array_join("all", ",").alias("spans"))
+        out = out.join(more, "rid", "left").withColumns({"all": F.concat("told", F.coalesce(_told("context", "added"), F.array().cast("array<string>"))), "n_context": F.coalesce(F.size("added"), F.lit(0))})
+    return out.select("doc_id", *[F.size(k).cast("long").alias(f"n_{k}") for k in KINDS], F.sha2(F.array_join("told", ","), 256).alias("base_sha256"), F.array_join("all", ",").alias("spans"), F.col("n_context").cast("long").alias("n_context"), (F.size("all") > 0).alias("found"))
 
 
 def mask(docs: DataFrame) -> DataFrame:
     """``docs`` with each entity of the text replaced by its kind in brackets; where entities meet, by the first's."""
     common.prepare(docs.sparkSession)
     names = docs.columns
-    key = F.xxhash64("text").alias("rid")  # equal texts have equal places
-    found = docs.select(key, "text")
-    more = discovered(found, common.cut(base(found).drop("text")))
+    key = F.sha2("text", 256).alias("rid")  # equal texts have equal places
+    more = common.cut(discovered(common.cut(base(docs.select(key, "text")).drop("text"))))
     d = base(docs.select(F.struct(*names).alias("_row"), "text", key), occurrences=False)
     of = lambda spans, kind: F.transform(spans, lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), F.lit(kind).alias("k")))
     spans = [of(k, k) for k in KINDS]

@@ -1,4 +1,5 @@
 import hashlib
+import random
 import re
 
 from tallyspark.llm import pii
@@ -50,12 +51,40 @@ def test_edges(spark):
 
 def bootstrap_rows():
     rows = [(i, f"words here Mail: u{i}@host.example and of more text") for i in range(20)]
-    return rows + [(100, "hidden Mail: user77_at_host stays, of user88_at_host too"), (101, "again id user77_at_host here"), (102, "of of of 123456x")]
+    rows += [(50 + i, f"some release{i}x of it") for i in range(20)]
+    return rows + [(100, "hidden Mail: user77_at_host stays, of user88_at_host too"), (101, "again id <user77_at_host>. here"), (102, "of of of 123456x")]
 
 
 def test_patterns_discover_unseen_identifiers(spark):
-    out = {r.doc_id: r.spans for r in pii.digest(spark.createDataFrame(bootstrap_rows(), "doc_id long, text string")).collect()}
-    assert out[100] == "context:13:27" and out[101] == "context:9:23" and out[102] == "" and out[3].startswith("email:17:")
+    out = {r.doc_id: r for r in pii.digest(spark.createDataFrame(bootstrap_rows(), "doc_id long, text string")).collect()}
+    assert out[100].spans == "context:13:27" and out[101].spans == "context:10:24" and out[102].spans == "" and out[3].spans.startswith("email:17:")
+    assert out[100].n_context == 1 and out[100].found and not out[102].found and not out[55].found
+
+
+def test_planted_identifiers_are_found_and_others_are_not(spark):
+    """Identifiers that no base pattern holds, in the contexts of seeds: left words, right words, both, and shape."""
+    r = random.Random(11)
+    filler = [f"{a}{b}" for a in "ban cor del fim gus".split() for b in "ta lo mi ne".split()]
+    some = lambda n: " ".join(r.choice(filler) for _ in range(n))
+    seeds = [lambda: f"{some(1)}{r.randrange(99)}@{r.choice(filler)}.example", lambda: f"+49 171 {r.randrange(10**6, 10**7)}", lambda: ".".join(str(r.randrange(256)) for _ in range(4))]
+    unseen = [lambda: f"{some(1)}{r.randrange(99)}_at_{r.choice(filler)}", lambda: f"cust-{r.randrange(10**5, 10**6)}", lambda: f"ID/{r.randrange(10**6, 10**7)}/x"]
+    decoys = [lambda: f"release-{r.randrange(10**5)}", lambda: f"chapter{r.randrange(1000):03d}"]
+    frames = ["{} please contact {} for details {}", "{} reach me at {} {}", "{} user name is {} over there {}"]
+    rows, planted = [], {}
+    for d in range(900):
+        kind = 0 if d % 3 == 0 else 2 if d % 9 == 1 else 1
+        frame = r.choice(frames) if kind else r.choice(["{} see {} {}", "{} in {} we read {}"])
+        inner = r.choice((decoys, seeds, unseen)[kind])()
+        text = frame.format(some(r.randrange(1, 20)), inner, some(r.randrange(1, 20)))
+        if kind == 2:
+            planted[d] = (text.index(inner), text.index(inner) + len(inner))
+        rows.append((d, text))
+    out = pii.digest(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    added = {(o.doc_id, *map(int, x.split(":")[1:])) for o in out for x in o.spans.split(",") if x.startswith("context")}
+    want = {(d, *at) for d, at in planted.items()}
+    print(len(want), len(want & added) / len(want), len(want & added) / max(1, len(added)))
+    assert len(want & added) >= 0.95 * len(want) and len(want & added) >= 0.95 * len(added)
+    assert all(o.found == bool(o.spans) and o.n_context == o.spans.count("context") for o in out)
 
 
 def test_mask(spark):
