@@ -1,3 +1,6 @@
+import math
+import re
+
 from tallyspark.llm import urls
 
 
@@ -36,9 +39,109 @@ def test_edges(spark):
     assert urls.judged(pages.limit(0)).count() == 0
 
 
-def test_templates_spread_labelled_purity(spark):
-    rules = (("block", "bad.test", "/ads/1"), ("allow", "bad.test", "/news/1"))
-    rows = [(f"http://bad.test/{s}/{n}") for s in ("ads", "news") for n in range(100, 300)] + ["http://bad.test/news", "http://other.test/ads/7"]
-    out = {r.page_id: r for r in urls.judged(spark.createDataFrame(list(enumerate(rows)), "page_id long, url string"), rules).collect()}
-    assert all(r.verdict == ("block" if r.path.startswith("/ads/") else "allow") for r in out.values() if r.host == "bad.test")
-    assert out[0].template == "bad.test/ads/~" and out[401].rule is None
+def tree(located):
+    """Template and purity of each (host, path, says), by plain recursion over a tree."""
+    W = urls.WEIGHT
+    rate = lambda us: (sum(u[2] == "block" for u in us) + 0.5) / (sum(u[2] is not None for u in us) + 1)
+    labelled = lambda us: any(u[2] is not None for u in us)
+
+    def groups(us, key):
+        out = {}
+        for u in us:
+            out.setdefault(key(u), []).append(u)
+        return out
+
+    def prior(branches, above):
+        rates = [rate(us) for us in branches if labelled(us)]
+        return (sum(rates) + W * above) / (len(rates) + W)
+
+    def entropy(counts):
+        n = sum(counts)
+        return math.log(max(n, 1)) - sum(c * math.log(c) for c in counts) / max(n, 1)
+
+    out = {}
+
+    def close(us, template, above):
+        n, b = sum(u[2] is not None for u in us), sum(u[2] == "block" for u in us)
+        for u in us:
+            out[u] = (template, (b + W * above) / (n + W))
+
+    def walk(us, node, depth, above):
+        ends = [u for u in us if len(u[1]) == depth]
+        on = [u for u in us if len(u[1]) > depth]
+        if len(us) < urls.FEW or not on or depth == urls.DEEPEST:
+            close(ends, node, above)
+            close(on, f"{node}/**", above)
+            return
+        by = groups(on, lambda u: u[1][depth])
+        varied = len(by) >= 2 * urls.FEW and entropy([len(x) for x in by.values()]) / max(math.log(len(on)), 1e-9) >= urls.SPREAD
+        names, looks = {}, {}
+        for s, x in by.items():
+            names[s] = "*"
+            if not varied and len(x) >= urls.FEW and len(x) >= urls.SHARE * len(us):
+                last = sum(len(u[1]) == depth + 1 for u in x)
+                below = groups([u for u in x if len(u[1]) > depth + 1], lambda u: u[1][depth + 1])
+                through = max(1, len(x) - last)
+                h = math.log(through) - sum(len(v) * math.log(len(v)) for v in below.values()) / through
+                long = sum(len(k) * len(v) for k, v in below.items()) / through
+                steps = (2 * last / len(x) + 0.5, math.log1p(len(below)), h, math.log2(1 + long))
+                looks.setdefault((labelled(x), *(math.floor(v + 1e-9) for v in steps)), []).append(s)
+        for look, same in looks.items():
+            joint = rate([u for s in same for u in by[s]])
+            lone = set()
+            for s in same:
+                n = sum(u[2] is not None for u in by[s])
+                if n and abs(rate(by[s]) - joint) > urls.Z * math.sqrt(joint * (1 - joint) / n):
+                    lone.add(s)
+            for part in (lone, set(same) - lone):
+                for s in part:
+                    names[s] = s if part is lone or len(part) == 1 else "~" + min(part)
+        branches = groups(on, lambda u: names[u[1][depth]])
+        own = prior(branches.values(), above)
+        close(ends, node, own)
+        for name, x in branches.items():
+            walk(x, f"{node}/{name}", depth + 1, own)
+
+    every = [(h, tuple(re.sub("[0-9]+", "#", s) for s in p.split("/") if s), says, i) for i, (h, p, says) in enumerate(located)]
+    tops = groups(every, lambda u: u[0].split(".")[-1])
+    rates = [rate(us) for us in tops.values() if labelled(us)]
+    root = (sum(rates) + 1) / (len(rates) + 2)
+    for us in tops.values():
+        hosts = groups(us, lambda u: u[0])
+        above = prior(hosts.values(), root)
+        for h, own in hosts.items():
+            walk(own, h, 0, above)
+    return {u[3]: got for u, got in out.items()}
+
+
+def same_as_tree(rows, rules):
+    located = [(r.host, r.path, None if r.rule is None else next(s for s, h, p in rules if h + p == r.rule)) for r in rows]
+    for i, (template, purity) in tree(located).items():
+        r = rows[i]
+        assert r.template == template and abs(r.purity - purity) < 1e-9, (r, template, purity)
+        assert r.verdict == (located[i][2] or ("block" if purity >= urls.REJECT else "allow"))
+
+
+def test_whole_table_equals_a_plain_tree(spark, monkeypatch):
+    rows = urls.op2(spark, "/root/testdata/sf0.1").collect()
+    same_as_tree(rows, urls.RULES)
+    print(len({r.template for r in rows}), sum(r.rule is None and r.verdict == "block" for r in rows))
+
+
+def test_templates(spark, monkeypatch):
+    rules = (("block", "bad.test", "/ads/1"), ("allow", "bad.test", "/news/1"), ("block", "spam.test", "/a/1"), ("block", "spam.test", "/b/1"), ("block", "spam.test", "/c/1"))
+    rows = [f"http://bad.test/{s}/{n}" for s in ("ads", "news") for n in range(100, 300)] + ["http://bad.test/news", "http://other.test/ads/7"]
+    rows += [f"http://bad.test/{s}/{n}" for s in ("en", "es") for n in range(20)]  # no labels: alike, so merged, and not blocked by their siblings
+    rows += [f"http://bad.test/posts/{a}-{b}/view" for a in "abcdefgh" for b in "uvwxyz"]  # slugs
+    rows += [f"http://spam.test/{s}/{n}/x" for s in "abc" for n in range(100, 150)] + ["http://spam.test/*/1/x"] * 6 + ["http://deep.test" + "/d" * 6] * 9
+    pages = spark.createDataFrame(list(enumerate(rows)), "page_id long, url string")
+    monkeypatch.setattr(urls, "DEEPEST", 3)
+    for hot, keys in ((2, 1000), (2, 0)):
+        monkeypatch.setattr(urls.common, "HOT", hot)
+        monkeypatch.setattr(urls.common, "HOT_KEYS", keys)
+        out = sorted(urls.judged(pages, rules).collect(), key=lambda r: r.page_id)
+        same_as_tree(out, rules)
+        by = {r.path: r for r in out if r.host == "bad.test"}
+        assert all(by[f"/{s}/{n}"].verdict == v for s, v in (("ads", "block"), ("news", "allow"), ("en", "allow"), ("es", "allow")) for n in ((100, 250) if s in ("ads", "news") else (1,)))
+        assert by["/en/1"].template == by["/es/1"].template == "bad.test/~en/#" and by["/posts/a-u/view"].template == "bad.test/posts/*/view"
+        assert next(r for r in out if r.host == "deep.test").template.endswith("/d/d/**")
