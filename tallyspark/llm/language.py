@@ -1,16 +1,15 @@
 """Language identification by a bidirectional gated recurrent network over bytes, in numpy.
 
-A word's bytes (A-Z lower-cased; words are runs of letters, longer ones go in pieces of ``LONGEST`` bytes) run through
-a GRU in each direction; a softmax labels every byte, and a document's probabilities are the mean over all its bytes.
-Training is backpropagation through time with Adam on the mean log loss of all positions.
-
-A word's labels depend on its bytes alone, so each different word of a block is computed once, and a worker keeps
-the sums of up to ``KEPT`` words; that changes nothing in the result. Whole texts are read in one Arrow pass.
-
-Training reads a bounded, documented sample: up to ``DOCS`` documents of each language outside the held-out fold, by
-a hash of the id, whole texts, and of their words up to ``WORDS`` a language. A language is learned if any of its
-documents qualifies. A text without a letter, or a null one, is ``und`` with score 0; so is every text if nothing
-could be learned. Ties go to the first language by name. Repeated rows and null ids are labelled one by one.
+A text's bytes (A-Z lower-cased), whatever they are, run through a GRU in each direction; a softmax labels every byte,
+and a document's probabilities are the mean over all its bytes. Texts go in windows of ``WINDOW`` bytes with ``AROUND``
+more on each side, through which the state comes from the neighbours without being labelled again; so states pass from
+word to word, a very long text is as many rows of a batch as windows, and memory is bounded by ``ROWS`` windows.
+Training is backpropagation through time with Adam on the mean log loss of all positions of random windows.
+
+Training reads a bounded, documented sample, whole texts: of each language up to ``DOCS`` documents outside the
+held-out fold, or ``MOST`` divided by the languages, by a hash of the id, of at most ``LONGEST`` characters. A language is
+learned if any of its documents qualifies. A text without a letter, or a null one, is ``und`` with score 0; so is every
+text if nothing could be learned. Ties go to the first language by name. Repeated rows and null ids are labelled one by one.
 """
 
 from __future__ import annotations
@@ -23,8 +22,9 @@ from pyspark.sql import functions as F
 from . import common
 
 PARTS, PART = 3, 1
-DOCS, WORDS, HIDDEN, INPUT, LONGEST, KEPT = 150, 8000, 16, 12, 24, 400_000
-STEPS, BATCH, RATE = 500, 384, 0.02
+DOCS, MOST, LONGEST, HIDDEN, INPUT = 150, 3000, 20_000, 16, 12
+WINDOW, AROUND, ROWS = 112, 8, 1024
+STEPS, BATCH, LENGTH, RATE = 240, 128, 48, 0.02
 GAP = np.ones(256, bool)
 GAP[[*range(65, 91), *range(97, 123), *range(128, 256)]] = False
 
@@ -44,11 +44,11 @@ class Network:
         for d in "fb":
             self.p |= {f"x{d}": new(INPUT, 3 * HIDDEN), f"h{d}": new(HIDDEN, 2 * HIDDEN), f"c{d}": new(HIDDEN, HIDDEN), f"b{d}": np.zeros(3 * HIDDEN, np.float32)}
 
-    def _run(self, d: str, gates: np.ndarray, code: np.ndarray, keep: list | None = None) -> list[np.ndarray]:
-        """States after each byte of words of one length; ``gates`` has each byte's part of the gates."""
+    def _run(self, d: str, gates: np.ndarray, code: np.ndarray, keep: list | None = None, onward: bool = True) -> list[np.ndarray]:
+        """States after each byte of windows of one length; ``gates`` has each byte's part of the gates."""
         p, h = self.p, np.zeros((len(code), HIDDEN), np.float32)
         out = [h] * code.shape[1]
-        for t in range(code.shape[1]) if d == "f" else range(code.shape[1] - 1, -1, -1):
+        for t in range(code.shape[1]) if onward else range(code.shape[1] - 1, -1, -1):
             x = gates[code[:, t]]
             zr = _logistic(x[:, : 2 * HIDDEN] + h @ p[f"h{d}"])
             z, r = zr[:, :HIDDEN], zr[:, HIDDEN:]
@@ -62,31 +62,33 @@ class Network:
     def gates(self) -> dict[str, np.ndarray]:
         return {d: self.p["bytes"] @ self.p[f"x{d}"] + self.p[f"b{d}"] for d in "fb"}
 
-    def labels(self, code: np.ndarray, gates: dict[str, np.ndarray]) -> np.ndarray:
-        """For words of one length (a row of bytes each): sums over their bytes of the labels' probabilities."""
-        f, b = (self._run(d, gates[d], code) for d in "fb")
-        total = np.zeros((len(code), len(self.langs)), np.float32)
-        top, low = self.p["out"][:HIDDEN], self.p["out"][HIDDEN:]
-        for t in range(code.shape[1]):
-            q = f[t] @ top + b[t] @ low + self.p["out_b"]
-            q = np.exp(q - q.max(axis=1, keepdims=True))
-            total += q / q.sum(axis=1, keepdims=True)
-        return total
+    def labels(self, code: np.ndarray, back: np.ndarray, size: np.ndarray, first: np.ndarray, last: np.ndarray, gates: dict[str, np.ndarray]) -> np.ndarray:
+        """Sums of the labels' probabilities over the bytes from ``first`` to before ``last`` of each window.
+
+        ``code`` has the windows' bytes, ``back`` those from the last to the first; what lies beyond a window's ``size`` has no effect.
+        """
+        f, b = (np.stack(self._run(d, gates[d], x)) for d, x in (("f", code), ("b", back)))
+        there, n = np.arange(code.shape[1])[:, None], len(self.langs)
+        q = (b.reshape(-1, HIDDEN) @ self.p["out"][HIDDEN:]).reshape(*b.shape[:2], n)[np.maximum(size - 1 - there, 0), np.arange(len(code))]
+        q += (f.reshape(-1, HIDDEN) @ self.p["out"][:HIDDEN]).reshape(q.shape) + self.p["out_b"]
+        q = np.exp(q - q.max(axis=2, keepdims=True))
+        q *= (((first <= there) & (there < last)) / q.sum(axis=2))[:, :, None]
+        return q.sum(axis=0)
 
     def slopes(self, code: np.ndarray, y: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
-        """Mean loss over all positions, and its gradients by backpropagation through time."""
+        """Mean loss over all positions (``y``: their languages), and its gradients by backpropagation through time."""
         p, n = self.p, code.size
         g = {k: np.zeros_like(v) for k, v in p.items()}
         gates, kept, loss = self.gates(), {"f": [], "b": []}, 0.0
-        states = {d: self._run(d, gates[d], code, kept[d]) for d in "fb"}
+        states = {d: self._run(d, gates[d], code, kept[d], d == "f") for d in "fb"}
         back = {"f": {}, "b": {}}
         for t in range(code.shape[1]):
             both = np.concatenate([states["f"][t], states["b"][t]], axis=1)
             q = both @ p["out"] + p["out_b"]
             q = np.exp(q - q.max(axis=1, keepdims=True))
             q /= q.sum(axis=1, keepdims=True)
-            loss -= float(np.log(np.maximum(q[np.arange(len(y)), y], 1e-9)).sum()) / n
-            q[np.arange(len(y)), y] -= 1
+            loss -= float(np.log(np.maximum(q[np.arange(len(y)), y[:, t]], 1e-9)).sum()) / n
+            q[np.arange(len(y)), y[:, t]] -= 1
             q /= n
             g["out"] += both.T @ q
             g["out_b"] += q.sum(axis=0)
@@ -111,21 +113,24 @@ class Network:
         return loss, g
 
 
-def train(words: list[tuple[bytes, int]], langs: list[str], steps: int = STEPS) -> Network:
-    """A network that labels the bytes of each word with its language. Batches hold words of one length."""
+def train(texts: list[tuple[bytes, int]], langs: list[str], steps: int = STEPS) -> Network:
+    """A network that labels the bytes of each text with its language, from random windows; every language weighs the same."""
     net, r = Network(langs), np.random.default_rng(1)
-    by: dict[int, list] = {}
-    for w, y in words:
-        by.setdefault(min(len(w), LONGEST), []).append((w[:LONGEST], y))
-    packs = {n: (np.frombuffer(b"".join(w for w, _ in ws), np.uint8).reshape(-1, n), np.array([y for _, y in ws])) for n, ws in by.items()}
-    sizes = sorted(packs)
-    odds = np.array([len(packs[n][1]) for n in sizes], float)
+    texts = [(np.frombuffer(w, np.uint8), y) for w, y in texts if w]
+    data = np.concatenate([np.zeros(0, np.uint8), *(w for w, _ in texts)])
+    of, size = (np.array(x, np.int64) for x in ([y for _, y in texts], [len(w) for w, _ in texts]))
+    at = np.cumsum(size) - size
+    own = {y: np.flatnonzero(of == y) for y in set(of.tolist())}  # a language's texts, drawn by their lengths
+    share = {y: np.cumsum(size[k]) for y, k in own.items()}
     m = {k: np.zeros_like(v) for k, v in net.p.items()}
     v = {k: np.zeros_like(x) for k, x in net.p.items()}
-    for t in range(1, steps + 1 if sizes else 1):
-        code, y = packs[sizes[r.choice(len(sizes), p=odds / odds.sum())]]
-        pick = r.integers(0, len(y), BATCH)
-        _, g = net.slopes(code[pick], y[pick])
+    for t in range(1, steps + 1 if texts else 1):
+        begin = np.zeros(BATCH, np.int64)
+        for i, y in enumerate(r.choice(sorted(own), BATCH)):
+            k = own[y][np.searchsorted(share[y], r.integers(0, share[y][-1]), "right")]
+            begin[i] = at[k] + r.integers(0, max(1, size[k] - LENGTH + 1))
+        place = (begin[:, None] + np.arange(LENGTH)) % len(data)  # a short text is followed by what comes next
+        _, g = net.slopes(data[place], of[np.searchsorted(at, place, "right") - 1])
         norm = np.sqrt(sum(float((x * x).sum()) for x in g.values()))
         rate = RATE * min(1, 2 * (1 - t / (steps + 1)))
         for k, x in g.items():
@@ -136,95 +141,58 @@ def train(words: list[tuple[bytes, int]], langs: list[str], steps: int = STEPS)
     return net
 
 
-def pieces(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Where words begin and end, long ones in pieces."""
-    starts, ends = common.word_runs(data, at, GAP)
-    n = (ends - starts + LONGEST - 1) // LONGEST
-    nth = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
-    starts = np.repeat(starts, n) + nth * LONGEST
-    return starts, np.minimum(np.repeat(ends, n), starts + LONGEST)
-
-
-def _words(batches):
+def _lower(batches):
     for batch in batches:
         texts = common.as_strings(batch.column(1))
         for a, b in common.slices(texts):
             data, at = common.text_bytes(texts, a, b)
             low = common.LOWER[data].tobytes()
-            starts, ends = pieces(data, at)
-            first = np.searchsorted(starts, at)
-            out = [sorted({low[s:e] for s, e in zip(starts[x:y].tolist(), ends[x:y].tolist())}) for x, y in zip(first[:-1], first[1:])]
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(out, pa.list_(pa.binary()))], ["lang", "words"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array([low[x:y] for x, y in zip(at[:-1].tolist(), at[1:].tolist())], pa.binary())], ["lang", "bytes"])
 
 
 def fit(docs: DataFrame, steps: int = STEPS) -> Network:
     common.prepare(docs.sparkSession)
-    able = docs.filter(F.col("text").isNotNull() & F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~common.held_out(F.col("doc_id"), PARTS, PART))
+    able = docs.filter(F.col("text").isNotNull() & F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & (F.length("text") <= LONGEST) & ~common.held_out(F.col("doc_id"), PARTS, PART))
     able = able.select("doc_id", "lang").distinct().withColumn("o", F.xxhash64("doc_id"))  # an id counts once, however many its rows
-    counts = common.small(able.groupBy("lang").agg(F.count("*").alias("n")), 10_000)
+    counts = common.cut(able.groupBy("lang").agg(F.count("*").alias("n")))
+    each = max(1, min(DOCS, MOST // max(1, counts.count())))
     # About twice the wanted ids of each language by hash, so the ranking below sees few however many there are.
     part = (F.col("o").bitwiseAND((1 << 30) - 1)) / float(1 << 30)
-    few = able.select("doc_id", "lang", "o").join(counts, "lang").filter(part * F.col("n") <= 2 * DOCS + 100)
-    ranked = few.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy("o", "doc_id"))).filter(F.col("k") <= DOCS)
-    ids = F.broadcast(ranked.select(F.col("doc_id").alias("_id"), F.col("lang").alias("_lang")).distinct())  # DOCS a language at most
-    rows = docs.join(ids, (F.col("doc_id") == F.col("_id")) & (F.col("lang") == F.col("_lang"))).select("lang", "text").mapInArrow(_words, "lang string, words array<binary>").toLocalIterator()
-    held: dict[str, dict[bytes, int]] = {}
-    for lang, words in rows:
-        own = held.setdefault(lang, {})
-        for w in words:
-            own[bytes(w)] = own.get(bytes(w), 0) + 1
-    langs = sorted(held)
-    r = np.random.default_rng(2)
-    every = []
-    for y, lang in enumerate(langs):
-        ws = sorted(held[lang].items())
-        pick = r.permutation(len(ws))[:WORDS]
-        chosen = [ws[i] for i in pick]
-        every += [(w, y) for w, n in chosen for _ in range(1 + int(np.log2(n)))]
-    return train(every, langs, steps)
+    few = able.select("doc_id", "lang", "o").join(common.small(counts, 10_000), "lang").filter(part * F.col("n") <= 2 * each + 100)
+    ranked = few.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy("o", "doc_id"))).filter(F.col("k") <= each)
+    ids = common.small(ranked.select(F.col("doc_id").alias("_id"), F.col("lang").alias("_lang"), "k"), 2 * MOST)
+    some = docs.select("doc_id", "lang", "text").filter(F.length("text") <= LONGEST).join(ids, (F.col("doc_id") == F.col("_id")) & (F.col("lang") == F.col("_lang")))
+    some = some.groupBy("lang", "doc_id").agg(F.min("text").alias("text"))  # of an id's several texts the least
+    rows = some.select("lang", "text").mapInArrow(_lower, "lang string, bytes binary").toLocalIterator()
+    held = sorted((lang, bytes(w)) for lang, w in rows)
+    langs = sorted({lang for lang, _ in held})
+    return train([(w, langs.index(lang)) for lang, w in held], langs, steps)
 
 
 class Labeller:
-    """Pools a network's labels over texts, with sums of words seen before."""
+    """Pools a network's labels over texts."""
 
     def __init__(self, net: Network):
         self.net, self.gates = net, net.gates()
-        self._empty()
-
-    def _empty(self):
-        self.place: dict[int, int] = {}
-        self.sums = np.zeros((KEPT, len(self.net.langs)), np.float32)
-
-    def _sums(self, low: np.ndarray, starts: np.ndarray, ends: np.ndarray, keys: np.ndarray) -> np.ndarray:
-        if len(self.place) + len(keys) > KEPT:
-            self._empty()
-        get = self.place.get
-        at = np.array([get(k, -1) for k in keys.tolist()], np.int64)
-        new = np.flatnonzero(at < 0)
-        sums = self.sums[np.maximum(at, 0)]
-        size = (ends - starts)[new]
-        for n in np.unique(size):
-            own = new[size == n]
-            for i in range(0, len(own), 4096):
-                some = own[i : i + 4096]
-                sums[some] = self.net.labels(low[starts[some][:, None] + np.arange(n)], self.gates)
-        if len(self.place) + len(new) <= KEPT:
-            first = len(self.place)
-            self.sums[first : first + len(new)] = sums[new]
-            self.place.update(zip(keys[new].tolist(), range(first, first + len(new))))
-        return sums
 
     def pooled(self, data: np.ndarray, at: np.ndarray) -> np.ndarray:
-        """Mean label probabilities of each row's bytes; a row without words has zeros."""
+        """Mean label probabilities of each row's bytes; a row without bytes has zeros."""
+        size = np.diff(at)
+        total = np.zeros((len(size), len(self.net.langs)))
+        if not len(data) or not self.net.langs:
+            return total
         low = common.LOWER[data]
-        starts, ends = pieces(data, at)
-        total = np.zeros((len(at) - 1, len(self.net.langs)))
-        if len(starts) and self.net.langs:
-            row = np.searchsorted(at, starts, "right") - 1
-            keys, first, which = np.unique(common.span_hashes(low, starts, ends), return_index=True, return_inverse=True)
-            sums = self._sums(low, starts[first], ends[first], keys)
-            for k in range(len(self.net.langs)):
-                total[:, k] = np.bincount(row, sums[which, k], minlength=len(total))
+        n = -(-size // WINDOW)
+        row = np.repeat(np.arange(len(size)), n)
+        begin = (np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)) * WINDOW
+        stop = np.minimum(begin + WINDOW, size[row])
+        left, right = np.maximum(begin - AROUND, 0), np.minimum(stop + AROUND, size[row])
+        order = np.argsort(right - left, kind="stable")
+        for a in range(0, len(order), ROWS):
+            some = order[a : a + ROWS]
+            long, start, steps = (right - left)[some], at[row[some]] + left[some], np.arange(int((right - left)[some[-1]]))
+            code, back = low[start[:, None] + np.minimum(steps, long[:, None] - 1)], low[start[:, None] + np.maximum(long[:, None] - 1 - steps, 0)]
+            np.add.at(total, row[some], self.net.labels(code, back, long, (begin - left)[some], (stop - left)[some], self.gates))
         return total / np.maximum(total.sum(axis=1, keepdims=True), 1e-9)
 
 

@@ -19,7 +19,7 @@ def test_gradients_are_right():
     net = language.Network(["a", "b", "c"])
     net.p = {k: v.astype(np.float64) for k, v in net.p.items()}
     r = np.random.default_rng(5)
-    code, y = r.integers(97, 105, (7, 5)).astype(np.uint8), r.integers(0, 3, 7)
+    code, y = r.integers(97, 105, (7, 5)).astype(np.uint8), r.integers(0, 3, (7, 5))
     _, g = net.slopes(code, y)
     for k in net.p:
         for _ in range(4):
@@ -34,8 +34,33 @@ def test_gradients_are_right():
             assert abs((up - down) / (2 * e) - g[k][at]) < 1e-5, k
 
 
-def test_edges_and_pooling(spark, monkeypatch):
-    net = language.train([(w, y) for y, ws in enumerate(([b"der", b"und", b"nicht"], [b"the", b"and", b"not"])) for w in ws], ["de", "en"], 150)
+def by_hand(net, text):
+    """Mean label probabilities of a text's bytes, window by window and byte by byte."""
+    code = bytes(c + 32 if 65 <= c < 91 else c for c in text.encode())
+    H = language.HIDDEN
+    sig = lambda x: 1 / (1 + np.exp(-x))
+    p = {k: v.astype(np.float64) for k, v in net.p.items()}
+    total = np.zeros(len(net.langs))
+    for s in range(0, len(code), language.WINDOW):
+        e = min(s + language.WINDOW, len(code))
+        a, z = max(0, s - language.AROUND), min(len(code), e + language.AROUND)
+        states = {}
+        for d, places in (("f", range(a, z)), ("b", range(z - 1, a - 1, -1))):
+            h = np.zeros(H)
+            for i in places:
+                x = p["bytes"][code[i]] @ p[f"x{d}"] + p[f"b{d}"]
+                u = sig(x[: 2 * H] + h @ p[f"h{d}"])
+                c = np.tanh(x[2 * H :] + (u[H:] * h) @ p[f"c{d}"])
+                h = h + u[:H] * (c - h)
+                states[d, i] = h
+        for i in range(s, e):
+            q = np.exp(np.concatenate([states["f", i], states["b", i]]) @ p["out"] + p["out_b"])
+            total += q / q.sum()
+    return total / max(total.sum(), 1e-9)
+
+
+def test_edges_and_pooling_by_hand(spark):
+    net = language.train([(b"der und nicht ", 0), (b"the and not ", 1)], ["de", "en"], 60)
     texts = [None, "", "12 34!", "§ €", "é", "THE and not", "der nicht und", "the " * 50_000, "d" * 100_000]
     docs = spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)] + [(None, texts[5], "x"), (5, texts[5], "x")], "doc_id long, text string, score string")
     out = language.label(docs, net).collect()
@@ -44,13 +69,12 @@ def test_edges_and_pooling(spark, monkeypatch):
     for r in out:
         i = 5 if r.doc_id is None else r.doc_id
         assert r.lang_pred == (want[i] or r.lang_pred) and (r.score == 0) == (i < 4)
-    own = language.Labeller(net)
-    data = np.frombuffer(b"the der the", np.uint8)
-    one = own.pooled(data, np.array([0, len(data)]))
-    sums = [net.labels(np.frombuffer(w, np.uint8)[None], net.gates())[0] for w in (b"the", b"der", b"the")]
-    assert np.allclose(one[0], sum(sums) / 9, atol=1e-5) and np.allclose(own.pooled(data, np.array([0, len(data)])), one)
-    monkeypatch.setattr(language, "KEPT", 1)
-    assert np.allclose(language.Labeller(net).pooled(data, np.array([0, len(data)])), one)
+    r = np.random.default_rng(3)
+    more = ["".join(r.choice(list("abcdé .1Z"), n)) for n in (1, 7, 111, 112, 113, 120, 300, 1000)] + ["", "the der " * 30]
+    data = np.frombuffer("".join(more).encode(), np.uint8)
+    got = language.Labeller(net).pooled(data, np.cumsum([0, *(len(t.encode()) for t in more)]))
+    for t, g in zip(more, got):
+        assert np.allclose(g, by_hand(net, t), atol=1e-4), t
     nothing = language.fit(docs.selectExpr("doc_id", "text", "cast(null as string) as lang"))
     assert {r.lang_pred for r in language.label(docs, nothing).collect()} == {"und"}
     assert language.label(docs.limit(0), net).count() == 0
