@@ -51,6 +51,8 @@ def tree(located):
             out.setdefault(key(u), []).append(u)
         return out
 
+    named = lambda s: "\\" + s if s[0] in "*~\\" else s
+
     def prior(branches, above):
         rates = [rate(us) for us in branches if labelled(us)]
         return (sum(rates) + W * above) / (len(rates) + W)
@@ -95,7 +97,7 @@ def tree(located):
                     lone.add(s)
             for part in (lone, set(same) - lone):
                 for s in part:
-                    names[s] = s if part is lone or len(part) == 1 else "~" + min(part)
+                    names[s] = named(s) if part is lone or len(part) == 1 else "~" + min(map(named, part))
         branches = groups(on, lambda u: names[u[1][depth]])
         own = prior(branches.values(), above)
         close(ends, node, own)
