@@ -20,7 +20,7 @@ fewer words is one shingle; no words: empty set, linked with nothing). Two texts
    of one text, which share nearly all shingles but few differences, meet rarely. No pair within a component is made.
    Where more than ``SMALL`` meet in one difference, one of them becomes their hub in turn, in which that difference is
    none any more, and the same join goes on among them, ``DEEPEST`` times at most before all pairs of the rest are made.
-   Any one order of differences is right; rarity comes from ``CELLS`` hashed counters, the only thing broadcast.
+   Any one order of differences is right; rarity comes from ``CELLS`` hashed counters, the only thing broadcast; what they show once nobody shares.
 
 Null texts count as empty. A null doc_id links with nothing: its component is null and it is kept. Repeated rows
 give repeated results. Other columns are ignored.
@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 
 from . import common
 
-BANDS, ROWS, SMALL, SHINGLE, CLASS, CELLS, MANY, DEEPEST = 24, 5, 48, 5, 5, 1 << 20, 1 << 14, 8
+BANDS, ROWS, SMALL, SHINGLE, CLASS, CELLS, PARTS, MOST, MANY, DEEPEST = 24, 5, 48, 5, 5, 1 << 20, 64, 65_535, 1 << 14, 8
 PLACES = BANDS * ROWS
 _rng = np.random.default_rng(7)
 _ORDER = _rng.integers(1, 1 << 63, SHINGLE, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -168,12 +168,22 @@ def _cells(hub: int, elements: np.ndarray) -> np.ndarray:
 
 
 def _tally(batches):
+    """(part, c): a task's counters in parts of CELLS / PARTS, as 16-bit numbers; parts without any are left out."""
     counts = np.zeros(CELLS, np.int64)
     for batch in batches:
         for i in range(batch.num_rows):
             np.add.at(counts, _cells(batch.column(0)[i].as_py(), np.frombuffer(batch.column(3)[i].as_buffer(), np.uint64)), 1)
-    some = np.flatnonzero(counts > 1)  # what a task meets once is rare whatever the others say
-    yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array(counts[some], pa.int64())], ["cell", "c"])
+    parts = np.minimum(counts, MOST).astype("<u2").reshape(PARTS, -1)
+    some = np.flatnonzero(parts.any(axis=1))
+    yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array([parts[k].tobytes() for k in some], pa.binary())], ["part", "c"])
+
+
+def _added(table: pa.Table) -> pa.Table:
+    """The sum of one part's counters: as many rows as there are tasks."""
+    total = np.zeros(CELLS // PARTS, np.int64)
+    for x in table.column("c"):
+        total += np.frombuffer(x.as_buffer(), "<u2")
+    return pa.table({"part": table.column("part").slice(0, 1), "c": pa.array([np.minimum(total, MOST).astype("<u2").tobytes()], pa.binary())})
 
 
 def _prefixes(percent: int, counts):
@@ -189,21 +199,24 @@ def _prefixes(percent: int, counts):
             keys, after, per = [], [], []
             for i in range(batch.num_rows):
                 hub, doc, n, comp = (batch.column(c)[i].as_py() for c in range(4))
+                able = [c["own"] for c in batch.column(5)[i].as_py() if not c["least"] == c["most"] == comp]
                 e = np.frombuffer(batch.column(4)[i].as_buffer(), np.uint64)
-                ranked = e[np.lexsort((e, counts.value[_cells(hub, e)]))]
-                size = len(ranked)
+                met = counts.value[_cells(hub, e)]
+                ranked = e[np.lexsort((e, met))]
+                size, own_only = len(ranked), int((met < 2).sum())  # those stand first and nobody shares them
                 f, most = size - k * n, k * (n + n / t)  # two linked sets differ in no more than ``most``
                 own = math.floor(f / CLASS)
-                for c in range(math.floor((size - most - k * n / t) / CLASS), math.floor((size + most - k * n * t) / CLASS) + 1):
-                    if f + (c + 1) * CLASS <= 0:
+                first, end = math.floor((size - most - k * n / t) / CLASS), math.floor((size + most - k * n * t) / CLASS)
+                for c in able:
+                    if not first <= c <= end or f + (c + 1) * CLASS <= 0:
                         continue
                     top = size + 1 - max(1, math.ceil((f + c * CLASS) / 2 - 1e-6))
-                    if top > 0:
+                    if top > own_only:
                         pair = (min(own, c) * 1_000_003 + max(own, c)) & (2**64 - 1)
-                        made = common.mix(ranked[:top] ^ common.mix(np.array([hub & (2**64 - 1)], np.uint64) ^ common.mix(np.array([pair], np.uint64))))
+                        made = common.mix(ranked[own_only:top] ^ common.mix(np.array([hub & (2**64 - 1)], np.uint64) ^ common.mix(np.array([pair], np.uint64))))
                         keys.append(made.view(np.int64))
-                        after.append(np.arange(size - 1, size - 1 - top, -1))
-                        per.append((comp, doc, 2 if own == c else int(own > c), f, top))
+                        after.append(np.arange(size - 1 - own_only, size - 1 - top, -1))
+                        per.append((comp, doc, 2 if own == c else int(own > c), f, top - own_only))
             if keys:
                 comp, doc, side, f, top = (np.array(x) for x in zip(*per))
                 many = lambda x: np.repeat(x, top)
@@ -275,11 +288,18 @@ def _rest(hubbed: DataFrame, sets: DataFrame, links: DataFrame, percent: int, de
         return links
     found = common.components(links).withColumnRenamed("node", "id")
     each = common.cut(_with_sets(hubbed, sets).mapInArrow(_differences, "hub long, id long, n long, d binary"))
-    told = each.mapInArrow(_tally, "cell long, c long").groupBy("cell").agg(F.sum("c").alias("c")).toArrow()  # CELLS rows at most
-    counts = np.zeros(CELLS, np.int64)
-    counts[np.asarray(told.column(0))] = np.asarray(told.column(1))
+    told = each.mapInArrow(_tally, "part int, c binary").groupBy("part").applyInArrow(_added, "part int, c binary").toArrow()  # PARTS rows, 2 bytes a cell
+    counts = np.zeros((PARTS, CELLS // PARTS), np.uint16)
+    for part, c in zip(told.column(0).to_pylist(), told.column(1)):
+        counts[part] = np.frombuffer(c.as_buffer(), "<u2")
+    counts = counts.ravel()
     shared = each.sparkSession.sparkContext.broadcast(counts)
-    placed = each.join(found, "id", "left").select("hub", "id", "n", F.coalesce("component", "id").alias("comp"), "d")
+    placed = common.cut(each.join(found, "id", "left").select("hub", "id", "n", F.coalesce("component", "id").alias("comp"), "d"))
+    t = percent / 100
+    own = F.floor((F.length("d") / 8 - F.lit((1 - t) / (1 + t)) * F.col("n")) / CLASS)
+    able = placed.groupBy("hub", own.alias("own")).agg(F.min("comp").alias("least"), F.max("comp").alias("most"), F.count("*").alias("size"))
+    able = able.groupBy("hub").agg(F.sum("size").alias("size"), F.collect_list(F.struct("own", "least", "most")).alias("able"))  # classes of one hub
+    placed = common.spread(placed, common.cut(able), ["hub"], 24 * F.size("able")).select("hub", "id", "n", "comp", "d", "able")
     keys = common.cut(placed.mapInArrow(_prefixes(percent, shared), "key long, comp long, id long, side byte, f double, after int"))
     shared.destroy()
     low, high, alike = (F.count(F.when(F.col("side") == x, 1)) for x in (0, 1, 2))
