@@ -10,7 +10,8 @@ from .quality import REASONS
 #: Native item types by what they are.
 INFERENCE, TOOLS = ("agentmessage", "reasoning", "plan"), ("commandexecution", "mcptoolcall", "filechange", "websearch", "imageview")
 #: Codes that say nothing about tokens, and nothing about work.
-TIMING, ACCOUNTING = ("unknown-time", "counter-reset"), ("incomplete-token-breakdown", "unknown-cost", "unknown-model")
+TIMING = ("timing-unavailable", "open-interval", "stale-ref")
+ACCOUNTING = ("unknown-model", "unallocated-history", "counter-discontinuity", "duplicate-ambiguity", "upstream-owned", "stale-ref")
 
 
 def instant(text: Column, ms: Column) -> Column:

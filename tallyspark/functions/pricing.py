@@ -21,12 +21,17 @@ RATES = {
     "glm-5.2": ((1_400, 260, None, 4_400), None),
     "gemini-3.6-flash": ((750, 75, None, 3_750), None),
 }
+#: Short names of models, at these providers only.
+ALIASES = {"k3": ("kimi-k3", ("kimi-code", "kimi-for-coding", "moonshotai")), "gpt-5.6": ("gpt-5.6-sol", ("openai", "openai-codex"))}
 BUCKETS = ("uncached", "cache_read", "cache_write", "output")
 
 
 def canonical_model(provider: Column, model: Column) -> Column:
-    """The catalog's name: a router's vendor prefix goes."""
-    return F.when((provider == "openrouter") & model.startswith("anthropic/"), F.substring(model, len("anthropic/") + 1, 1000)).otherwise(model)
+    """The catalog's name: that of an alias at the providers that use it; a router's vendor prefix goes."""
+    name = F.when((provider == "openrouter") & model.startswith("anthropic/"), F.substr(model, F.lit(len("anthropic/") + 1)))
+    for alias, (whole, providers) in ALIASES.items():
+        name = name.when((model == alias) & provider.isin(*providers), whole)
+    return name.otherwise(model)
 
 
 def priced(usage: DataFrame) -> DataFrame:
@@ -43,11 +48,16 @@ def priced(usage: DataFrame) -> DataFrame:
     for i, b in enumerate(BUCKETS):
         cost = cost + F.col(b).cast("decimal(18,0)") * F.coalesce(F.col(f"r{i}"), F.lit(0)).cast("decimal(18,0)")
         missing = missing | ((F.col(b) > 0) & F.col(f"r{i}").isNull())
-    why = F.when(~F.coalesce(sound, F.lit(False)), "incomplete-token-breakdown").when(F.col("total") == 0, None).when(F.col("_model").isNull(), "unknown-model").when(missing, "unpriced-bucket").when(cost > CEILING, "parse-gap")
+    why = F.when(~F.coalesce(sound, F.lit(False)), "incomplete-token-breakdown").when(F.col("total") == 0, None).when(F.col("_model").isNull() | missing, "unpriced-model").when(cost > CEILING, "parse-gap")
     out = u.withColumn("why_unpriced", why).withColumn("nano_usd", F.when(F.col("why_unpriced").isNull(), cost.cast("bigint")))
     return out.drop("_m", "_l", "_model", "_long", "r0", "r1", "r2", "r3")
 
 
+def canonical_sql() -> str:
+    cases = " ".join(f"WHEN model = '{a}' AND provider IN ({', '.join(repr(p) for p in ps)}) THEN '{m}'" for a, (m, ps) in ALIASES.items())
+    return f"CASE {cases} WHEN provider = 'openrouter' AND starts_with(model, 'anthropic/') THEN substr(model, 11) ELSE model END"
+
+
 def rates_sql() -> str:
     lit = lambda x: "NULL" if x is None else str(x)
     rows = ", ".join(f"('{m}', {t}, {', '.join(map(lit, r))})" for m, tiers in RATES.items() for t, r in zip(("false", "true"), (tiers[0], tiers[1] or tiers[0])))

@@ -6,16 +6,30 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 CEILING = 2**53 - 1
-#: The public reason codes that these operators give.
-REASONS = ("attribution-conflict", "attribution-unavailable", "counter-reset", "duplicate-ambiguity", "incomplete-token-breakdown", "missing-source", "parse-gap", "shallow-history", "unknown-cost", "unknown-model", "unknown-time", "unsupported-schema")
+#: The public reason codes.
+REASONS = (
+    "missing-source", "unsupported-schema", "parse-gap", "unknown-model", "unpriced-model", "incomplete-token-breakdown",
+    "unallocated-history", "counter-discontinuity", "duplicate-ambiguity", "upstream-owned", "timing-unavailable", "open-interval",
+    "unattributed-session", "stale-ref", "input-history-incomplete", "input-kind-unknown", "input-origin-conflict", "input-origin-unknown",
+)
 
 
-def known_sum(x: Column | str, name: str) -> list[Column]:
-    """``name`` and ``name_status``: the sum of known values, null if none is known or it leaves the exact range."""
+def known_sum(x: Column | str, name: str, quality: Column | str = "quality", evidence: Column | None = None) -> list[Column]:
+    """``name`` and ``name_status``: the sum of known values, null if none is known or it leaves the exact range.
+
+    A whole sum has the quality of the source's evidence (recorded, if not given), partial where the records' differs; any
+    other sum is partial.
+    """
     x = F.col(x) if isinstance(x, str) else x
     total = F.sum(x)
-    value = F.when(total <= CEILING, total)
-    return [value.alias(name), F.when(F.count(x) == 0, "unavailable").when((F.count(x) == F.count("*")) & (total <= CEILING), "recorded").otherwise("partial").alias(f"{name}_status")]
+    whole = (F.count(x) == F.count("*")) & (total <= CEILING)
+    status = degraded(F.lit("recorded") if evidence is None else F.first(evidence), combined(quality))
+    return [F.when(total <= CEILING, total).alias(name), F.when(F.count(x) == 0, "unavailable").when(whole, status).otherwise("partial").alias(f"{name}_status")]
+
+
+def known_empty(value: Column, status: Column, empty: Column, evidence: Column) -> tuple[Column, Column]:
+    """Value and status of a group without records: 0 as the evidence has it where nothing is known to be missing."""
+    return F.when(value.isNull() & status.isNull() & empty, F.lit(0)).otherwise(value), F.coalesce(status, F.when(empty, evidence).otherwise("unavailable"))
 
 
 def combined(quality: Column | str) -> Column:
@@ -40,7 +54,7 @@ def all_reasons(codes: str) -> Column:
 
 
 def public_label(x: Column) -> Column:
-    """A label safe to show: 1 to 128 plain characters, no address, no secret's prefix; else ``unknown``."""
-    plain = x.rlike(r"^[A-Za-z0-9][A-Za-z0-9 ._:/+@-]{0,127}$") & ~F.contains(x, F.lit("://"))
-    secret = F.lower(x).rlike(r"^(sk-|ghp_|github_pat_|xox[abp]-|akia)")
+    """A label safe to show: 1 to 128 letters, digits and ._-/:+()[], no address, no secret's prefix; else ``unknown``."""
+    plain = x.rlike(r"^[A-Za-z0-9._\-/:+()\[\]]{1,128}\z") & ~F.contains(x, F.lit("://"))
+    secret = F.lower(x).rlike(r"^(sk-|ghp_|gho_|ghs_|github_pat_)")
     return F.when(plain & ~secret, x).otherwise("unknown")

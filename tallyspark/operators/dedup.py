@@ -18,13 +18,34 @@ def best(df: DataFrame, keys: list[str], *order: Column) -> DataFrame:
     return df.withColumn("_k", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).filter("_k = 1").drop("_k")
 
 
-def by_completeness(df: DataFrame, keys: list[str], ordinal: str, values: list[str]) -> DataFrame:
-    """The most complete record of each origin, the latest of equals; conflict if equally complete ones differ."""
-    scored = df.withColumn("score", completeness())
-    w = Window.partitionBy(*keys)
-    top = scored.withColumn("_top", F.max("score").over(w)).filter("score = _top")
-    differ = top.groupBy(*keys).agg((F.count_distinct(F.to_json(F.struct(*values))) > 1).alias("conflict"))
-    return best(top, keys, F.desc(ordinal)).drop("_top").join(differ, keys)
+#: What two records of one origin must agree in.
+ACCOUNTING = ("at_ms", "provider", "model", "uncached", "cache_read", "cache_write", "output", "reasoning", "total", "cost_micro", "cost_kind")
+
+
+def by_arrival(df: DataFrame, keys: list[str], ordinal: str) -> DataFrame:
+    """The record of each key that stays when they come in by ``ordinal``: (keys, ordinal, score, conflict).
+
+    A record takes the place of one that isn't more complete. If both are equally complete but differ, or the earlier one
+    has a gap, what stays is partial with a gap from then on (conflict), so its score is that of a partial record: later
+    recorded ones always take its place, partial ones if they know as many fields, others never. That makes the fold two
+    steps of windows: up to the first conflict the running maximum of scores, and after it, from the last recorded
+    record on, the partial one that knows most. Ties go to the later. Nulls differ from values, not from each other.
+    """
+    known = sum((F.col(f).isNotNull().cast("int") for f in COUNTED[1:]), F.col(COUNTED[0]).isNotNull().cast("int"))
+    rows = df.select(*keys, ordinal, "quality", known.alias("known"), completeness().alias("score"), F.coalesce(F.array_contains("reasons", "parse-gap"), F.lit(False)).alias("gap"), F.struct(*ACCOUNTING).alias("told"))
+    every = Window.partitionBy(*keys)
+    before = every.orderBy(ordinal).rowsBetween(Window.unboundedPreceding, -1)
+    top = F.max("score").over(before)
+    rows = rows.withColumn("took", F.coalesce(F.col("score") >= top, F.lit(True)))
+    rows = rows.withColumn("prior", F.last(F.when(F.col("took"), F.struct("score", "gap", "told")), ignorenulls=True).over(before))
+    differs = F.col("prior.gap") | ((F.col("prior.score") == F.col("score")) & ~F.col("prior.told").eqNullSafe(F.col("told")))
+    rows = rows.withColumn("turn", F.min(F.when(F.col("took") & F.coalesce(differs, F.lit(False)), F.col(ordinal))).over(every)).drop("prior", "told")
+    start = (F.col(ordinal) == F.col("turn")) | ((F.col(ordinal) > F.col("turn")) & (F.col("quality") == "recorded"))
+    rows = rows.withColumn("start", F.max(F.when(start, F.col(ordinal))).over(every))
+    after = (F.col(ordinal) == F.col("start")) | ((F.col(ordinal) > F.col("start")) & (F.col("quality") == "partial"))
+    rows = rows.filter(F.when(F.col("turn").isNull(), F.col("took")).otherwise(after))
+    conflict = F.col("turn").isNotNull()
+    return best(rows, keys, F.when(conflict, F.col("known")).otherwise(F.col("score")).desc(), F.desc(ordinal)).select(*keys, ordinal, F.when(conflict, 50 + F.col("known")).otherwise(F.col("score")).alias("score"), conflict.alias("conflict"))
 
 
 def last(df: DataFrame, key: str, ordinal: str) -> DataFrame:
@@ -33,23 +54,35 @@ def last(df: DataFrame, key: str, ordinal: str) -> DataFrame:
     return df.groupBy(key).agg(F.max_by(F.struct(*rest), F.col(ordinal)).alias("r")).select(key, "r.*")
 
 
-def revisions(df: DataFrame, key: str, at: str, sequence: str, complete: str) -> DataFrame:
-    """The latest complete revision, else the latest; owner: the earliest; time: the least seen; conflict: complete ones differ."""
+def revisions(df: DataFrame, key: str, at: str, sequence: str, complete: str, counters: tuple[str, ...] = ("total",)) -> DataFrame:
+    """The latest complete revision, else the latest; owner: the earliest; time: the least seen; conflict: complete ones differ in a counter.
+
+    Complete revisions agree if each counter is null in all of them or the same in all.
+    """
     order = F.struct(F.coalesce(F.col(at), F.lit(-1)).alias("a"), F.col(sequence).alias("s"))
+    whole = F.when(F.col(complete), F.struct(*counters))
+    of = lambda c: F.when(F.col(complete), F.col(c))
+    differ = [~F.min(of(c)).eqNullSafe(F.max(of(c))) | ((F.count(of(c)) > 0) & (F.count(of(c)) < F.count(whole))) for c in counters]
+    conflict = differ[0]
+    for d in differ[1:]:
+        conflict = conflict | d
     return df.groupBy(key).agg(
         F.max(F.struct(F.col(complete).alias("c"), order.alias("o"), F.col("total").alias("total"))).alias("r"), F.min(F.struct(F.col(sequence), F.col("session"))).alias("first"),
-        F.min(at).alias("at_ms"), (F.count_distinct(F.when(F.col(complete), F.col("total"))) > 1).alias("conflict"),
+        F.min(at).alias("at_ms"), conflict.alias("conflict"),
     ).select(key, F.col("r.total").alias("total"), F.col("r.c").alias("complete"), F.col("first.session").alias("owner"), "at_ms", "conflict")
 
 
 def common_prefix(turns: DataFrame) -> DataFrame:
-    """(a, b, prefix): leading equal prints of each two sequences that share their first, found by position and print."""
-    t = turns.select(F.col("conv_id").alias("c"), "print", (F.row_number().over(Window.partitionBy("conv_id").orderBy("turn"))).alias("pos"))
-    # The chained print of a prefix: sequences agree on it iff all their turns up to there agree.
-    chain = Window.partitionBy("c").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    t = t.select("c", "pos", F.md5(F.concat_ws(",", F.collect_list("print").over(chain)).cast("binary")).alias("upto"))
-    pairs = t.join(t.select(F.col("c").alias("b"), "pos", "upto"), ["pos", "upto"]).filter("c < b")
-    return pairs.groupBy(F.col("c").alias("a"), "b").agg(F.max("pos").cast("bigint").alias("prefix"))
+    """(conv_id, prefix, first, members): the most leading prints that a sequence shares with another, how many share them, and the least of those.
+
+    Sequences that agree up to a place are one group, known by the chained print of the prefix; no pairs are made.
+    """
+    order = Window.partitionBy("conv_id").orderBy("turn")
+    chain = order.rowsBetween(Window.unboundedPreceding, 0)
+    t = turns.select("conv_id", F.row_number().over(order).alias("pos"), F.md5(F.concat_ws(",", F.collect_list("print").over(chain)).cast("binary")).alias("upto"))
+    groups = t.groupBy("pos", "upto").agg(F.min("conv_id").alias("first"), F.count("*").alias("members")).filter("members > 1")
+    longest = t.join(groups, ["pos", "upto"]).groupBy("conv_id").agg(F.max(F.struct("pos", "first", "members")).alias("x"))
+    return longest.select("conv_id", F.col("x.pos").cast("bigint").alias("prefix"), "x.first", "x.members")
 
 
 def clones(turns: DataFrame, least: int = 2) -> DataFrame:

@@ -56,6 +56,21 @@ def stats(intervals: DataFrame, keys: list[str], lane: list[str]) -> DataFrame:
     )
 
 
+def in_windows(windows: DataFrame, intervals: DataFrame, keys: list[str], lane: list[str], elapsed: Column, known_empty: Column) -> DataFrame:
+    """``windows`` with the work in each: stats(), inference_ms, and a histogram whose idle bin 0 makes it add up to ``elapsed``.
+
+    A window without a lane has null numbers and is unavailable, or zeros if it is known to be empty. ``intervals`` are cut to the windows.
+    """
+    inference = levels(intervals.filter("kind = 'inference'"), keys, lane).groupBy(*keys).agg(F.sum("ms").alias("inference_ms"))
+    told = stats(intervals, keys, lane).join(inference, keys, "left").withColumn("inference_ms", F.coalesce("inference_ms", F.lit(0)))
+    out = windows.join(told, keys, "left")
+    there = F.col("active_ms").isNotNull()
+    idle = elapsed - F.coalesce("active_ms", F.lit(0))
+    bins = F.array_compact(F.array(F.when((there | known_empty) & (idle > 0), F.concat(F.lit("0:"), idle.cast("string"))), F.col("histogram")))
+    numbers = {c: F.when(there, F.col(c)).when(known_empty, F.lit(0)) for c in ("active_ms", "inference_ms", "agent_ms", "parallel_ms")}
+    return out.withColumns({"histogram": F.when(there | known_empty, F.array_join(bins, ",")), "status": F.when(there | known_empty, "recorded").otherwise("unavailable"), **numbers})
+
+
 def subtract(work: DataFrame, waits: DataFrame, *lane: str) -> DataFrame:
     """What of each lane's united work no wait of the lane covers."""
     w = union(work, *lane).withColumn("d", F.lit(1)).unionByName(union(waits, *lane).withColumn("d", F.lit(-1)))

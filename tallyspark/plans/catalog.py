@@ -41,7 +41,7 @@ def _included(spark, sf) -> DataFrame:
 
 
 def _sum_sql(x: str, name: str) -> str:
-    return f"CAST(sum({x}) AS BIGINT) AS {name}, CASE WHEN count({x}) = 0 THEN 'unavailable' WHEN count({x}) = count(*) THEN 'recorded' ELSE 'partial' END AS {name}_status"
+    return f"CAST(sum({x}) AS BIGINT) AS {name}, CASE WHEN count({x}) = 0 THEN 'unavailable' WHEN count({x}) = count(*) AND bool_and(quality = 'recorded') THEN 'recorded' ELSE 'partial' END AS {name}_status"
 
 
 _SUMS = ", ".join(_sum_sql(c, c) for c in usage.COUNTERS)
@@ -81,10 +81,10 @@ def v10_cache_share(spark, sf):
 
 
 _PRICED = f"""{USAGE_SQL}, {pricing.rates_sql()}, pr AS (
-  SELECT us.*, CASE WHEN NOT coalesce({_UB} + output = total AND coalesce(reasoning, 0) <= output, false) THEN 'incomplete-token-breakdown' WHEN total = 0 THEN NULL WHEN m IS NULL THEN 'unknown-model'
-      WHEN (uncached > 0 AND r0 IS NULL) OR (cache_read > 0 AND r1 IS NULL) OR (cache_write > 0 AND r2 IS NULL) OR (output > 0 AND r3 IS NULL) THEN 'unpriced-bucket' END AS why_unpriced,
+  SELECT us.*, CASE WHEN NOT coalesce({_UB} + output = total AND coalesce(reasoning, 0) <= output, false) THEN 'incomplete-token-breakdown' WHEN total = 0 THEN NULL WHEN m IS NULL THEN 'unpriced-model'
+      WHEN (uncached > 0 AND r0 IS NULL) OR (cache_read > 0 AND r1 IS NULL) OR (cache_write > 0 AND r2 IS NULL) OR (output > 0 AND r3 IS NULL) THEN 'unpriced-model' END AS why_unpriced,
     uncached * coalesce(r0, 0) + cache_read * coalesce(r1, 0) + cache_write * coalesce(r2, 0) + output * coalesce(r3, 0) AS nano
-  FROM us LEFT JOIN rt ON model = m AND l = coalesce({_UB} > 272000, false))"""
+  FROM us LEFT JOIN rt ON {pricing.canonical_sql()} = m AND l = coalesce({_UB} > 272000, false))"""
 _COST = """CAST(count(*) FILTER (why_unpriced IS NULL) AS BIGINT) AS priced_records, CAST(count(*) FILTER (why_unpriced IS NOT NULL) AS BIGINT) AS unpriced_records,
   CAST(coalesce(sum(coalesce(total, 0)) FILTER (why_unpriced IS NULL), 0) AS BIGINT) AS priced_tokens, CAST(coalesce(sum(coalesce(total, 0)) FILTER (why_unpriced IS NOT NULL), 0) AS BIGINT) AS unpriced_tokens,
   CAST(sum(nano) FILTER (why_unpriced IS NULL) AS BIGINT) AS nano_usd, coalesce(string_agg(DISTINCT why_unpriced, ',' ORDER BY why_unpriced), '') AS reasons"""
@@ -256,16 +256,35 @@ def i4_subtract_waits(spark, sf):
 
 
 def _hourly(spark, sf) -> DataFrame:
-    """Every slot of the last 30 days with its work, null where none was recorded."""
-    slots = _text(clock.slots(clock.spine(spark, CUTOFF_MS, ZONE, 30)), "date")
+    """Every slot of the last 365 days with its work, null where none was recorded."""
+    slots = _text(clock.slots(clock.spine(spark, CUTOFF_MS, ZONE, 365)), "date")
     return slots.join(i5_sweep_hourly(spark, sf), ["date", "slot"], "left")
 
 
-_SPINE = f"""sp AS (SELECT d, {_MID} AS m0, least({_NEXT}, {CUTOFF_MS}) AS m1 FROM (SELECT CAST(unnest(generate_series({_LAST} - 29, {_LAST}, INTERVAL 1 DAY)) AS DATE) AS d)),
+_SPINE = f"""sp AS (SELECT d, {_MID} AS m0, least({_NEXT}, {CUTOFF_MS}) AS m1 FROM (SELECT CAST(unnest(generate_series({_LAST} - 364, {_LAST}, INTERVAL 1 DAY)) AS DATE) AS d)),
 sl AS (SELECT CAST(d AS VARCHAR) AS date, CAST(i AS INTEGER) AS slot, m0 + i * 3600000 AS slot_start, least(m0 + (i + 1) * 3600000, m1) AS slot_end FROM (SELECT *, unnest(range(0, (m1 - m0 + 3599999) // 3600000)) AS i FROM sp))"""
 _HOURLY = f"WITH {_SPINE}, sw AS ({_sweep_sql('date, slot', chr(39).join(['agent || ', ':', ' || session']))}), hr AS (SELECT sl.*, active_ms, agent_ms, parallel_ms, histogram FROM sl LEFT JOIN sw USING (date, slot))"
 
 
+def _cut_off(where: str = "") -> str:
+    """The hourly sweep of work up to the cutoff."""
+    return _sweep_sql("date, slot", "agent || ':' || session", where).replace("FROM dh)", f"FROM dh), fan0 AS (SELECT * FROM fan)", 1).replace("e FROM fan ", f"least(e, {CUTOFF_MS}) AS e FROM fan0 WHERE s < {CUTOFF_MS} ", 1)
+
+
+@query(f"""WITH {_SPINE}, sw AS ({_cut_off()}), inf AS ({_cut_off("AND kind = 'inference'")}), fw AS (SELECT min(date) AS d FROM sw),
+  hr AS (SELECT sl.date, sl.slot, slot_end - slot_start AS elapsed_ms, sw.active_ms, inf.active_ms AS inf_ms, sw.agent_ms, sw.parallel_ms, sw.histogram, sl.date >= fw.d AS known FROM sl LEFT JOIN sw USING (date, slot) LEFT JOIN inf USING (date, slot) CROSS JOIN fw)
+  SELECT date, slot, elapsed_ms, CASE WHEN known THEN coalesce(active_ms, 0) ELSE active_ms END AS active_ms, CASE WHEN known OR active_ms IS NOT NULL THEN coalesce(inf_ms, 0) END AS inference_ms, CASE WHEN known THEN coalesce(agent_ms, 0) ELSE agent_ms END AS agent_ms,
+    CASE WHEN known THEN coalesce(parallel_ms, 0) ELSE parallel_ms END AS parallel_ms, CASE WHEN known OR active_ms IS NOT NULL THEN concat_ws(',', CASE WHEN elapsed_ms > coalesce(active_ms, 0) THEN '0:' || (elapsed_ms - coalesce(active_ms, 0)) END, histogram) END AS histogram,
+    CASE WHEN known OR active_ms IS NOT NULL THEN 'recorded' ELSE 'unavailable' END AS status FROM hr""")
+def i5_slot_stats(spark, sf):
+    work = intervals.clip(_fan(spark, sf), F.col("start_ms"), F.lit(CUTOFF_MS))
+    slots = _text(clock.slots(clock.spine(spark, CUTOFF_MS, ZONE, 365)), "date").select("date", "slot", (F.col("slot_end") - F.col("slot_start")).alias("elapsed_ms"))
+    first = work.agg(F.min("date").alias("first"))  # one row
+    known = F.coalesce(F.col("date") >= F.col("first"), F.lit(False))
+    out = intervals.in_windows(slots.crossJoin(F.broadcast(first)), work, ["date", "slot"], LANE, F.col("elapsed_ms"), known)
+    return out.select("date", "slot", "elapsed_ms", "active_ms", "inference_ms", "agent_ms", "parallel_ms", "histogram", "status")
+
+
 @query(_HOURLY + """ SELECT date, count(*) AS slots, count(active_ms) AS recorded_slots, CAST(sum(slot_end - slot_start) AS BIGINT) AS elapsed_ms, CAST(sum(active_ms) AS BIGINT) AS active_ms,
   round(sum(active_ms) * 1.0 / nullif(sum(slot_end - slot_start), 0), 6) AS uptime FROM hr GROUP BY date""")
 def v3_uptime(spark, sf):
@@ -297,7 +316,7 @@ def a25_rhythm(spark, sf):
   SELECT date, CASE WHEN n <= 4 THEN CAST(n AS VARCHAR) WHEN n <= 7 THEN '5-7' ELSE '8+' END AS bin, CAST(sum(ms) AS BIGINT) AS ms FROM lv GROUP BY ALL""")
 def a26_concurrency_bins(spark, sf):
     lv = intervals.levels(_fan(spark, sf), ["date", "slot"], LANE)
-    slots = _text(clock.slots(clock.spine(spark, CUTOFF_MS, ZONE, 30)), "date").select("date", "slot")
+    slots = _text(clock.slots(clock.spine(spark, CUTOFF_MS, ZONE, 365)), "date").select("date", "slot")
     n = F.col("lanes")
     return lv.join(slots, ["date", "slot"], "left_semi").groupBy("date", F.when(n <= 4, n.cast("string")).when(n <= 7, "5-7").otherwise("8+").alias("bin")).agg(F.sum("ms").alias("ms"))
 
@@ -329,12 +348,12 @@ def t3_day_spine(spark, sf):
     return _text(clock.spine(spark, CUTOFF_MS, ZONE, 365), "date")
 
 
-_DAILY = f"""{USAGE_SQL}, {COMMITS_SQL}, sp AS (SELECT CAST(unnest(generate_series({_LAST} - 29, {_LAST}, INTERVAL 1 DAY)) AS DATE) AS d),
+_DAILY = f"""{USAGE_SQL}, {COMMITS_SQL}, sp AS (SELECT CAST(unnest(generate_series({_LAST} - 364, {_LAST}, INTERVAL 1 DAY)) AS DATE) AS d),
 ud AS (SELECT {_D} AS d, CAST(sum(total) AS BIGINT) AS tokens FROM us WHERE decision = 'included' AND at_ms <= {CUTOFF_MS} GROUP BY 1), cd AS (SELECT {local_date_sql('committer_ms')} AS d, count(*) AS commits FROM cm GROUP BY 1)"""
 
 
 def _daily(spark, sf) -> DataFrame:
-    days = _text(clock.spine(spark, CUTOFF_MS, ZONE, 30), "date").select("date")
+    days = _text(clock.spine(spark, CUTOFF_MS, ZONE, 365), "date").select("date")
     tokens = _included(spark, sf).filter(F.col("at_ms") <= CUTOFF_MS).groupBy("date").agg(F.sum("total").alias("tokens"))
     return days.join(tokens, "date", "left").join(a10_commits_daily(spark, sf), "date", "left")
 
@@ -355,19 +374,30 @@ def v13_daily_table(spark, sf):
 
 # ---- choosing records
 
-_COPIES = "cp AS (SELECT origin // 3 AS key, origin AS ordinal, quality, uncached, cache_read, cache_write, output, reasoning, total, cost_micro, at_ms, session FROM us)"
+_COPIES = f"cp AS (SELECT origin // 5 AS key, origin AS ordinal, quality, reasons, {', '.join(dedup.COUNTED)}, provider, model, cost_kind, session FROM us)"
 
 
 def _copies(spark, sf) -> DataFrame:
-    return views.usage(spark, sf).select(F.expr("origin div 3").alias("key"), F.col("origin").alias("ordinal"), "quality", *dedup.COUNTED, "session")
+    return views.usage(spark, sf).select(F.expr("origin div 5").alias("key"), F.col("origin").alias("ordinal"), "quality", "reasons", *dedup.COUNTED, "provider", "model", "cost_kind", "session")
 
 
 _SCORE = "CASE quality WHEN 'recorded' THEN 100 WHEN 'partial' THEN 50 ELSE 0 END + " + " + ".join(f"CAST({c} IS NOT NULL AS INTEGER)" for c in dedup.COUNTED)
 
 
-@query(f"WITH {USAGE_SQL}, {_COPIES}, sc AS (SELECT *, {_SCORE} AS score FROM cp), tp AS (SELECT * FROM sc JOIN (SELECT key, max(score) AS score FROM sc GROUP BY key) USING (key, score)) SELECT key, max(ordinal) AS ordinal, score, arg_max(total, ordinal) FILTER (total IS NOT NULL) AS t0, count(DISTINCT (total, output)) > 1 AS conflict FROM tp GROUP BY key, score".replace("arg_max(total, ordinal) FILTER (total IS NOT NULL) AS t0, ", ""))
+_KNOWN = " + ".join(f"CAST({c} IS NOT NULL AS INTEGER)" for c in dedup.COUNTED)
+_DIFFERS = "(f.gap OR (s.score = f.score AND s.told IS DISTINCT FROM f.told))"
+
+
+# The other engine folds the records one by one.
+@query(f"""WITH RECURSIVE {USAGE_SQL}, {_COPIES}, sc AS (SELECT key, ordinal, {_SCORE} AS score, {_KNOWN} AS known, list_contains(reasons, 'parse-gap') AS gap, struct_pack({', '.join(f'{c} := {c}' for c in dedup.ACCOUNTING)}) AS told,
+    row_number() OVER (PARTITION BY key ORDER BY ordinal) AS rn FROM cp),
+  fd AS (SELECT key, rn, ordinal, score, gap, told, false AS conflict FROM sc WHERE rn = 1 UNION ALL
+    SELECT s.key, s.rn, CASE WHEN s.score < f.score THEN f.ordinal ELSE s.ordinal END, CASE WHEN s.score < f.score THEN f.score WHEN {_DIFFERS} THEN 50 + s.known ELSE s.score END,
+      CASE WHEN s.score < f.score THEN f.gap ELSE s.gap OR {_DIFFERS} END, CASE WHEN s.score < f.score THEN f.told ELSE s.told END, CASE WHEN s.score < f.score THEN f.conflict ELSE {_DIFFERS} END
+    FROM fd f JOIN sc s ON s.key = f.key AND s.rn = f.rn + 1)
+  SELECT key, ordinal, CAST(score AS INTEGER) AS score, conflict FROM fd WHERE (key, rn) IN (SELECT key, max(rn) FROM sc GROUP BY key)""")
 def d1_dedup_completeness(spark, sf):
-    return dedup.by_completeness(_copies(spark, sf), ["key"], "ordinal", ["total", "output"]).select("key", "ordinal", F.col("score").cast("int"), "conflict")
+    return dedup.by_arrival(_copies(spark, sf), ["key"], "ordinal").select("key", "ordinal", F.col("score").cast("int"), "conflict")
 
 
 @query(f"WITH {USAGE_SQL}, {_COPIES} SELECT key, ordinal, session, at_ms FROM cp QUALIFY row_number() OVER (PARTITION BY key ORDER BY ordinal DESC) = 1")
@@ -376,10 +406,11 @@ def d2_last_wins(spark, sf):
 
 
 @query(f"""WITH {USAGE_SQL}, {_COPIES}, r AS (SELECT *, quality = 'recorded' AND total IS NOT NULL AS complete FROM cp)
-SELECT key, arg_max(CASE WHEN total IS NULL THEN -1 ELSE total END, (complete, coalesce(at_ms, -1), ordinal)) AS total, bool_or(complete) AS complete, arg_min(session, ordinal) AS owner, min(at_ms) AS at_ms, count(DISTINCT total) FILTER (complete) > 1 AS conflict FROM r GROUP BY key""")
+SELECT key, arg_max_null(total, (complete, coalesce(at_ms, -1), ordinal)) AS total, bool_or(complete) AS complete, arg_min(session, ordinal) AS owner, min(at_ms) AS at_ms,
+  count(DISTINCT struct_pack({', '.join(f'{c} := {c}' for c in usage.COUNTERS)})) FILTER (complete) > 1 AS conflict FROM r GROUP BY key""")
 def d3_revision_select(spark, sf):
     r = _copies(spark, sf).withColumn("complete", (F.col("quality") == "recorded") & F.col("total").isNotNull())
-    return dedup.revisions(r, "key", "at_ms", "ordinal", "complete").withColumn("total", F.coalesce("total", F.lit(-1)))
+    return dedup.revisions(r, "key", "at_ms", "ordinal", "complete", usage.COUNTERS)
 
 
 @query(f"WITH {INPUTS_SQL} SELECT session, agent, kind, origin FROM inp QUALIFY row_number() OVER (PARTITION BY session, agent ORDER BY CASE kind WHEN 'submission' THEN 0 WHEN 'replay' THEN 2 ELSE 1 END, at_ms NULLS LAST, origin) = 1")
@@ -391,7 +422,9 @@ def d5_input_owner(spark, sf):
 _CHAIN = f"""{TURNS_SQL}, ch AS (SELECT conv_id, row_number() OVER w AS pos, string_agg(print, ',') OVER w AS upto, max(CASE WHEN role = 'assistant' THEN 1 ELSE 0 END) OVER w AS answered FROM tn WINDOW w AS (PARTITION BY conv_id ORDER BY turn))"""
 
 
-@query(f"WITH {_CHAIN} SELECT a.conv_id AS a, b.conv_id AS b, max(a.pos) AS prefix FROM ch a JOIN ch b ON a.upto = b.upto AND a.pos = b.pos AND a.conv_id < b.conv_id GROUP BY ALL")
+@query(f"""WITH {TURNS_SQL}, ch AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS pos, string_agg(print, ',') OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING) AS upto FROM tn),
+  gr AS (SELECT pos, upto, min(conv_id) AS first, count(*) AS members FROM ch GROUP BY ALL HAVING count(*) > 1), hi AS (SELECT conv_id, pos, first, members, row_number() OVER (PARTITION BY conv_id ORDER BY pos DESC) AS k FROM ch JOIN gr USING (pos, upto))
+  SELECT conv_id, pos AS prefix, first, members FROM hi WHERE k = 1""")
 def w7_prefix_len(spark, sf):
     return dedup.common_prefix(views.turns(spark, sf))
 
@@ -488,6 +521,16 @@ def m7_dirty_days(spark, sf):
     return ledger.dirty_days(*_changed(spark, sf), "origin", "at_ms", ["total"])
 
 
+@query(f"""WITH {WORK_SQL}, nw AS (SELECT origin, start_ms, CASE WHEN origin % 101 = 0 THEN end_ms + 172800000 WHEN origin % 7 = 0 THEN end_ms + 40000000 ELSE end_ms END AS end_ms FROM wk WHERE origin % 19 <> 0),
+  df AS (SELECT unnest([struct_pack(a := o.start_ms, b := o.end_ms), struct_pack(a := n.start_ms, b := n.end_ms)]) AS x FROM wk o FULL JOIN nw n USING (origin) WHERE n.origin IS NULL OR o.end_ms IS DISTINCT FROM n.end_ms)
+  SELECT DISTINCT CASE WHEN y = -1 THEN '*' ELSE CAST(DATE '1970-01-01' + CAST(y AS INTEGER) AS VARCHAR) END AS day FROM (
+    SELECT unnest([x.a // 86400000, x.b // 86400000, CASE WHEN x.b // 86400000 - x.a // 86400000 > 1 THEN -1 END]) AS y FROM df) WHERE y IS NOT NULL""")
+def m7_dirty_interval_days(spark, sf):
+    old = views.work(spark, sf).select("origin", "start_ms", "end_ms")
+    end = F.when(F.col("origin") % 101 == 0, F.col("end_ms") + 172_800_000).when(F.col("origin") % 7 == 0, F.col("end_ms") + 40_000_000).otherwise(F.col("end_ms"))
+    return ledger.dirty_days(old, old.filter("origin % 19 <> 0").withColumn("end_ms", end), "origin", "start_ms", [], "end_ms")
+
+
 @query(f"WITH {_DIRTY}, sp AS (SELECT CAST(unnest(generate_series({_LAST} - 364, {_LAST} - 1, INTERVAL 1 DAY)) AS DATE) AS d) SELECT CAST(d AS VARCHAR) AS date, EXISTS (SELECT 1 FROM dt WHERE abs(CAST(day AS DATE) - d) <= 1) AS stale FROM sp")
 def m8_invalidated_days(spark, sf):
     days = _text(clock.spine(spark, CUTOFF_MS, ZONE, 365).filter(F.col("date") < clock.local_date(F.lit(CUTOFF_MS), ZONE)), "date").select("date")
@@ -504,9 +547,12 @@ def u2_reason_union(spark, sf):
     return views.usage(spark, sf).groupBy("agent").agg(F.array_join(quality.all_reasons("reasons"), ",").alias("reasons"))
 
 
-@query("""WITH lb AS (SELECT event_id, CASE event_id % 6 WHEN 0 THEN 'https://x/' || user_id WHEN 1 THEN 'sk-' || event_id WHEN 2 THEN event_type || '/' || user_id WHEN 3 THEN '' WHEN 4 THEN '<b>' || event_type ELSE repeat(event_type, 30) END AS x FROM events)
-SELECT event_id, CASE WHEN regexp_full_match(x, '[A-Za-z0-9][A-Za-z0-9 ._:/+@-]{0,127}') AND NOT contains(x, '://') AND NOT regexp_matches(lower(x), '^(sk-|ghp_|github_pat_|xox[abp]-|akia)') THEN x ELSE 'unknown' END AS label FROM lb""")
+@query("""WITH lb AS (SELECT event_id, CASE event_id % 10 WHEN 0 THEN 'https://x/' || user_id WHEN 1 THEN 'sk-' || event_id WHEN 2 THEN event_type || '/' || user_id WHEN 3 THEN '' WHEN 4 THEN '<b>' || event_type
+  WHEN 5 THEN 'jo' || user_id || '@firm.example' WHEN 6 THEN 'GHO_' || event_id WHEN 7 THEN event_type || '(x)[' || user_id || ']' WHEN 8 THEN event_type || ' ' || user_id ELSE repeat(event_type, 30) END AS x FROM events)
+SELECT event_id, CASE WHEN regexp_full_match(x, '[A-Za-z0-9._\\-/:+()\\[\\]]{1,128}') AND NOT contains(x, '://') AND NOT regexp_matches(lower(x), '^(sk-|ghp_|gho_|ghs_|github_pat_)') THEN x ELSE 'unknown' END AS label FROM lb""")
 def p10_sanitize(spark, sf):
-    e, m = views.load(spark, sf, "events"), F.col("event_id") % 6
-    x = F.when(m == 0, F.concat(F.lit("https://x/"), "user_id")).when(m == 1, F.concat(F.lit("sk-"), "event_id")).when(m == 2, F.concat("event_type", F.lit("/"), "user_id")).when(m == 3, "").when(m == 4, F.concat(F.lit("<b>"), "event_type")).otherwise(F.repeat("event_type", F.lit(30)))
+    e, m = views.load(spark, sf, "events"), F.col("event_id") % 10
+    x = F.when(m == 0, F.concat(F.lit("https://x/"), "user_id")).when(m == 1, F.concat(F.lit("sk-"), "event_id")).when(m == 2, F.concat("event_type", F.lit("/"), "user_id")).when(m == 3, "").when(m == 4, F.concat(F.lit("<b>"), "event_type"))
+    x = x.when(m == 5, F.concat(F.lit("jo"), "user_id", F.lit("@firm.example"))).when(m == 6, F.concat(F.lit("GHO_"), "event_id")).when(m == 7, F.concat("event_type", F.lit("(x)["), "user_id", F.lit("]")))
+    x = x.when(m == 8, F.concat("event_type", F.lit(" "), "user_id")).otherwise(F.repeat("event_type", F.lit(30)))
     return e.select("event_id", quality.public_label(x).alias("label"))

@@ -168,7 +168,7 @@ def a22_diagnostics(spark, sf):
     return each.groupBy("agent").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("name", "n"))), lambda x: F.concat_ws("=", x["name"], x["n"])), ",").alias("counts"))
 
 
-@query(f"WITH {USAGE_SQL}, dy AS (SELECT {_D} AS d, agent, sum(total) AS v, bool_and(total IS NOT NULL) AS whole FROM us WHERE decision = 'included' GROUP BY ALL) SELECT agent, CAST(sum(v) AS BIGINT) AS tokens, CASE WHEN bool_and(whole AND v IS NOT NULL) THEN 'recorded' WHEN count(v) = 0 THEN 'unavailable' ELSE 'partial' END AS status FROM dy GROUP BY agent")
+@query(f"WITH {USAGE_SQL}, dy AS (SELECT {_D} AS d, agent, sum(total) AS v, bool_and(total IS NOT NULL AND quality = 'recorded') AS whole FROM us WHERE decision = 'included' GROUP BY ALL) SELECT agent, CAST(sum(v) AS BIGINT) AS tokens, CASE WHEN bool_and(whole AND v IS NOT NULL) THEN 'recorded' WHEN count(v) = 0 THEN 'unavailable' ELSE 'partial' END AS status FROM dy GROUP BY agent")
 def a23_reaggregated(spark, sf):
     days = _included(spark, sf).groupBy("date", "agent").agg(*quality.known_sum("total", "v"))
     return days.groupBy("agent").agg(F.sum("v").alias("tokens"), F.when(F.bool_and(F.col("v_status") == "recorded"), "recorded").when(F.count("v") == 0, "unavailable").otherwise("partial").alias("status"))
@@ -212,12 +212,12 @@ def m6_sticky_first(spark, sf):
     return new.join(old, "origin", "left").select("origin", F.least("at_ms", F.coalesce("was_ms", "at_ms")).alias("first_ms"), F.coalesce("was", "session").alias("owner"))
 
 
-@query(f"WITH {USAGE_SQL}, r AS (SELECT agent, md5(string_agg(coalesce(CAST(total AS VARCHAR), '-'), ',' ORDER BY origin)) AS x FROM us WHERE origin < 500 GROUP BY agent) SELECT agent, x AS fingerprint FROM r")
+@query(f"WITH {USAGE_SQL} SELECT agent, CAST(sum(CAST('0x' || substr(md5(origin || '|' || coalesce(CAST(total AS VARCHAR), '-')), 1, 12) AS BIGINT)) AS VARCHAR) AS fingerprint FROM us GROUP BY agent")
 def m9_fingerprint(spark, sf):
-    # A bounded slice of configuration-like rows; facts themselves are fingerprinted by version, not by content.
-    u = views.usage(spark, sf).filter("origin < 500")
-    told = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("origin", F.coalesce(F.col("total").cast("string"), F.lit("-")).alias("x")))), lambda s: s["x"]), ",")
-    return u.groupBy("agent").agg(F.md5(told.cast("binary")).alias("fingerprint"))
+    """A print of each agent's facts: a sum of row prints, which meets in partial sums and takes rows in any order."""
+    row = F.md5(F.concat_ws("|", "origin", F.coalesce(F.col("total").cast("string"), F.lit("-"))).cast("binary"))
+    one = F.conv(F.substring(row, 1, 12), 16, 10).cast("decimal(20,0)")
+    return views.usage(spark, sf).groupBy("agent").agg(F.sum(one).cast("string").alias("fingerprint"))
 
 
 _VERSION, _RATED = 1, json.dumps(pricing.RATES, separators=(",", ":"))
@@ -301,7 +301,7 @@ def v11_cost_by_day(spark, sf):
 
 @query(f"WITH {USAGE_SQL}, {_SPINE}, g AS (SELECT CAST({_D} AS VARCHAR) AS date, sum(total) AS t FROM us WHERE decision = 'included' GROUP BY 1), j AS (SELECT CAST(d AS VARCHAR) AS date, t FROM sp LEFT JOIN g ON g.date = CAST(sp.d AS VARCHAR)) SELECT date, round(coalesce(t, 0) * 1.0 / max(t) OVER (), 6) AS intensity FROM j")
 def w9_intensity(spark, sf):
-    d = _text(clock.spine(spark, CUTOFF_MS, ZONE, 30), "date").select("date").join(_included(spark, sf).groupBy("date").agg(F.sum("total").alias("t")), "date", "left")
+    d = _text(clock.spine(spark, CUTOFF_MS, ZONE, 365), "date").select("date").join(_included(spark, sf).groupBy("date").agg(F.sum("total").alias("t")), "date", "left")
     top = d.agg(F.max("t").alias("top"))  # one row
     return d.crossJoin(F.broadcast(top)).select("date", F.round(F.coalesce("t", F.lit(0)) * F.lit(1.0) / F.col("top"), 6).alias("intensity"))
 

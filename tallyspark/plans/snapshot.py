@@ -9,6 +9,8 @@ import uuid
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+DAYS = 400
+
 
 def days(spine: DataFrame, usage_days: DataFrame, work_slots: DataFrame, usage_rows: DataFrame) -> DataFrame:
     """(date, usage, work slots, usage rows) nested; a day's slots and rows are bounded by its hours and its labels."""
@@ -26,9 +28,11 @@ def violations(work_slots: DataFrame) -> DataFrame:
 
 
 def export(document: DataFrame, folder: str, private: list[str]) -> None:
-    """Writes one JSON line a day (a year at most comes here), unless a private string shows; the index is renamed last."""
+    """Writes one JSON line a day, unless a private string shows or there are over ``DAYS``; the index is renamed last."""
     os.makedirs(folder, exist_ok=True)
-    lines = [r[0] for r in document.orderBy("date").limit(400).select(F.to_json(F.struct(*document.columns))).collect()]
+    lines = [r[0] for r in document.orderBy("date").limit(DAYS + 1).select(F.to_json(F.struct(*document.columns))).collect()]
+    if len(lines) > DAYS:
+        raise ValueError(f"a snapshot has {DAYS} days at most")
     told = [p for p in private if p and any(p in x for x in lines)]
     if told:
         raise ValueError(f"{len(told)} private strings would be public")

@@ -1,8 +1,9 @@
 """A versioned ledger of Parquet tables: each commit writes new table versions, then renames one manifest into place.
 
 The manifest is the only commit point, for facts and source cursors alike; a failed commit leaves files that no
-manifest names. Versions are immutable, so a reader that pinned one is never disturbed. Writers compare the version
-they began from (a lost race raises).
+manifest names. Versions are immutable, so a reader that pinned one is never disturbed. A version's manifest is made
+only where there is none yet, so of two writers that began from one version the later raises. The folder is one that the
+driver sees as files.
 """
 
 from __future__ import annotations
@@ -21,11 +22,11 @@ class Ledger:
         os.makedirs(folder, exist_ok=True)
 
     def manifest(self) -> dict:
-        try:
-            with open(f"{self.folder}/manifest.json") as f:
-                return json.load(f)
-        except FileNotFoundError:
+        versions = [int(n[len("manifest-") : -len(".json")]) for n in os.listdir(self.folder) if n.startswith("manifest-") and n.endswith(".json")]
+        if not versions:
             return {"version": 0, "tables": {}, "cursors": {}}
+        with open(f"{self.folder}/manifest-{max(versions)}.json") as f:
+            return json.load(f)
 
     def read(self, table: str, manifest: dict | None = None) -> DataFrame | None:
         path = (manifest or self.manifest())["tables"].get(table)
@@ -38,13 +39,16 @@ class Ledger:
         for name, df in tables.items():
             paths[name] = f"{name}/{uuid.uuid4()}"
             df.write.parquet(f"{self.folder}/{paths[name]}")
-        if self.manifest()["version"] != base["version"]:
-            raise RuntimeError("another commit came first")
         new = {"version": base["version"] + 1, "tables": paths, "cursors": base["cursors"] | (cursors or {})}
         temp = f"{self.folder}/.{uuid.uuid4()}"
         with open(temp, "w") as f:
             json.dump(new, f)
-        os.replace(temp, f"{self.folder}/manifest.json")
+        try:
+            os.link(temp, f"{self.folder}/manifest-{new['version']}.json")  # fails if it is there
+        except FileExistsError:
+            raise RuntimeError("another commit came first") from None
+        finally:
+            os.remove(temp)
         return new["version"]
 
 

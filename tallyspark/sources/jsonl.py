@@ -77,22 +77,32 @@ def _pieces(path: str, start: int, end: int, replay: str | None) -> list[Piece]:
     return [Piece(path, a, min(end, a + PART), replay) for a in range(start, end, PART)]
 
 
+def _next_line(f, most: int) -> tuple[bytes, int]:
+    """The next line and its size; of one over ``most`` bytes only the last block is held."""
+    raw = f.readline(most + 2)
+    size = len(raw)
+    while raw and not raw.endswith(b"\n"):
+        raw = f.readline(1 << 16)
+        size += len(raw)
+    return raw, size
+
+
 def _lines(p: Piece, most: int):
     """Lines that begin in a piece; the one that its end cuts belongs to it, the one before its start doesn't."""
     with open(p.path, "rb") as f:
         at = p.start
         if at and _bytes(p.path, at - 1, 1) != b"\n":
             f.seek(at)
-            at += len(f.readline())
+            at += _next_line(f, most)[1]
         f.seek(at)
         while at < p.end:
-            raw = f.readline()
+            raw, size = _next_line(f, most)
             if not raw.endswith(b"\n"):
                 return
             line = raw[:-1].removesuffix(b"\r")
-            if line.strip():
+            if line.strip() or size > most + 2:
                 gap, text = None, None
-                if len(line) > most:
+                if size > most + 2 or len(line) > most:
                     gap = "oversize"
                 else:
                     try:
@@ -101,7 +111,7 @@ def _lines(p: Piece, most: int):
                     except ValueError:
                         gap, text = "parse-gap", None
                 yield (p.path, at, text, gap, p.replay)
-            at += len(raw)
+            at += size
 
 
 class _Reader(DataSourceReader):

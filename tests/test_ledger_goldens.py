@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from tallyspark.functions import clock, pricing, quality
-from tallyspark.operators import intervals, scope, sequences
+from tallyspark.operators import dedup, intervals, scope, sequences
 from tallyspark.plans import lineage
 
 M = 60_000
@@ -44,15 +44,57 @@ def test_pricing(spark):
     assert of("gpt-5.6-sol", 1000, 2000, 100, 500).nano_usd == 15_300_000
     assert of("gpt-5.6-sol", 272_000, 0, 0, 0).nano_usd == 272_000 * 4_000
     assert of("gpt-5.6-sol", 272_001, 0, 0, 0).nano_usd == 272_001 * 8_000
-    assert of("nobody", 0, 0, 0, 0).nano_usd == 0 and of("nobody", 1, 0, 0, 0).why_unpriced == "unknown-model"
-    assert of("kimi-k3", 1, 0, 1, 0).why_unpriced == "unpriced-bucket" and of("gpt-5.5", 1, None, 0, 0).why_unpriced == "incomplete-token-breakdown"
+    assert of("nobody", 0, 0, 0, 0).nano_usd == 0 and of("nobody", 1, 0, 0, 0).why_unpriced == "unpriced-model"
+    assert of("kimi-k3", 1, 0, 1, 0).why_unpriced == "unpriced-model" and of("gpt-5.5", 1, None, 0, 0).why_unpriced == "incomplete-token-breakdown"
     assert of("anthropic/claude-opus-5", 1, 0, 0, 0, provider="openrouter").nano_usd == 5_000
+    assert of("k3", 1, 0, 0, 0, provider="moonshotai").nano_usd == 3_000 and of("k3", 1, 0, 0, 0).why_unpriced == "unpriced-model"
+    assert of("gpt-5.6", 1, 0, 0, 0, provider="openai").nano_usd == 4_000 and of("gpt-5.6", 1, 0, 0, 0, provider="openrouter").why_unpriced == "unpriced-model"
+
+
+def test_public_labels(spark):
+    some = {"model(x)[y]": "model(x)[y]", "jo@firm.example": "unknown", "a b": "unknown", "gho_abcdef": "unknown", "GHS_x": "unknown", "a://b": "unknown", "x" * 128: "x" * 128, "x" * 129: "unknown", "a\n": "unknown", "": "unknown"}
+    out = spark.createDataFrame([(k,) for k in some] + [(None,)], "x string").select("x", quality.public_label(F.col("x")).alias("y")).collect()
+    assert {r.x: r.y for r in out} == some | {None: "unknown"}
+
+
+def test_records_that_come_in_one_by_one(spark):
+    import itertools
+    import random
+
+    def fold(records):
+        stays, conflict = None, False
+        for n, (quality_, known, gap) in enumerate(records):
+            new = {"n": n, "score": {"recorded": 100, "partial": 50, "unavailable": 0}[quality_] + 8 - known.count(None), "gap": gap, "told": known}
+            if stays is None:
+                stays = new
+            elif new["score"] >= stays["score"]:
+                if stays["gap"] or (new["score"] == stays["score"] and new["told"] != stays["told"]):
+                    new, conflict = new | {"score": 58 - known.count(None), "gap": True}, True
+                stays = new
+        return stays["n"], stays["score"], conflict
+
+    r = random.Random(2)
+    kinds = list(itertools.product(("recorded", "partial", "unavailable"), ((1,) * 8, (2,) * 8, (None,) + (1,) * 7, (None, None) + (1,) * 6, (3, None) + (1,) * 6), (False, False, False, True)))
+    keys = {k: [r.choice(kinds) for _ in range(r.randrange(1, 9))] for k in range(400)}
+    rows = [(k, n, q, ["parse-gap"] if gap else [], *known, "p", "m", "c") for k, records in keys.items() for n, (q, known, gap) in enumerate(records)]
+    schema = "key int, n int, quality string, reasons array<string>, " + ", ".join(f"{c} long" for c in dedup.COUNTED) + ", provider string, model string, cost_kind string"
+    out = {r.key: (r.n, r.score, r.conflict) for r in dedup.by_arrival(spark.createDataFrame(rows, schema), ["key"], "n").collect()}
+    assert out == {k: fold(records) for k, records in keys.items()}
+
+
+def test_windows_add_up(spark):
+    windows = spark.createDataFrame([(1, 60), (2, 60), (3, 60), (4, 60)], "k int, ms long")
+    work = spark.createDataFrame([(1, "a", 0, 30, "inference"), (1, "b", 20, 40, "tool"), (4, "a", 0, 60, "tool")], "k int, lane string, start_ms long, end_ms long, kind string")
+    out = {r.k: r for r in intervals.in_windows(windows, work, ["k"], ["lane"], F.col("ms"), F.col("k") == 2).collect()}
+    assert (out[1].active_ms, out[1].inference_ms, out[1].agent_ms, out[1].parallel_ms, out[1].histogram) == (40, 30, 50, 10, "0:20,1:30,2:10")
+    assert (out[2].active_ms, out[2].histogram, out[2].status) == (0, "0:60", "recorded") and (out[3].active_ms, out[3].histogram, out[3].status) == (None, None, "unavailable")
+    assert out[4].histogram == "1:60" and out[4].inference_ms == 0
 
 
 def test_metric_sums(spark):
-    df = spark.createDataFrame([("a", 1), ("a", None), ("b", None), ("c", 5), ("d", 2**53 - 1), ("d", 1)], "k string, v long")
+    df = spark.createDataFrame([("a", 1, "recorded"), ("a", None, "recorded"), ("b", None, "recorded"), ("c", 5, "recorded"), ("d", 2**53 - 1, "recorded"), ("d", 1, "recorded"), ("e", 2, "recorded"), ("e", 3, "partial")], "k string, v long, quality string")
     out = {r.k: (r.v, r.v_status) for r in df.groupBy("k").agg(*quality.known_sum("v", "v")).collect()}
-    assert out == {"a": (1, "partial"), "b": (None, "unavailable"), "c": (5, "recorded"), "d": (None, "partial")}
+    assert out == {"a": (1, "partial"), "b": (None, "unavailable"), "c": (5, "recorded"), "d": (None, "partial"), "e": (5, "partial")}
 
 
 def test_lineage(spark):

@@ -12,11 +12,11 @@ def test_snapshot(spark, sf, tmp_path):
     slots = catalog._hourly(spark, sf)
     assert snapshot.violations(slots).count() == 0
     assert snapshot.violations(slots.withColumn("active_ms", slots.active_ms + 1)).count() > 0
-    spine = catalog._text(clock.spine(spark, views.CUTOFF_MS, views.ZONE, 30), "date")
+    spine = catalog._text(clock.spine(spark, views.CUTOFF_MS, views.ZONE, 365), "date")
     doc = snapshot.days(spine, catalog.a2_usage_daily(spark, sf), slots, catalog.a7_usage_by_model(spark, sf))
     snapshot.export(doc, str(tmp_path), ["/home/secret"])
     days = json.load((tmp_path / "activity.json").open())["days"]
-    assert len(days) == 30 and len(days[3]["hours"]) == 24 and days[3]["usage"]["records"] == sum(r["records"] for r in days[3]["usage_rows"])
+    assert len(days) == 365 and len(days[338]["hours"]) == 24 and days[338]["usage"]["records"] == sum(r["records"] for r in days[338]["usage_rows"])
     with pytest.raises(ValueError):
         snapshot.export(doc, str(tmp_path / "b"), ["gpt-5.6-sol"])
 
@@ -26,9 +26,18 @@ def test_git_lines(spark):
     assert rows == [("r", "a" * 40, 12_000, False)] and bad == 2
 
 
-def test_git_commits(spark):
+def test_git_commits(spark, tmp_path):
     import os
 
     here = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
     if os.path.isdir(f"{here}/.git"):
-        assert git.commits(spark, [here, here]).count() >= 1
+        found = git.scanned(spark, [here, str(tmp_path)])
+        told = {r.repository: r.problem for r in git.problems(found).collect()}
+        assert told[str(tmp_path)] == "unreadable" and told[here] in (None, "missing-ref")
+        assert (git.commits(found).count() > 0) == (told[here] is None)
+
+
+def test_snapshot_raises_instead_of_dropping_days(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(snapshot, "DAYS", 3)
+    with pytest.raises(ValueError):
+        snapshot.export(spark.range(4).selectExpr("cast(id as string) as date"), str(tmp_path), [])
