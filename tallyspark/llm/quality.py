@@ -1,9 +1,10 @@
 """Quality by hierarchical empirical Bayes.
 
-A logistic classifier over a text's own measurements gives each document its evidence. Hosts and paths under them
-get posterior rates by grouped sums: a host's mean evidence is shrunk towards the corpus's, a path's towards its
-host's, by prior weights fitted to the spread between groups (method of moments), so sparse sites stay near their
-prior. A document's score shifts its own log odds by its path's, as far as the path differs from the corpus.
+A logistic classifier over a text's own measurements gives each document its evidence. Hosts and paths under them get
+posterior rates of good labels by grouped sums over the labelled rows outside the held-out fold: a host's rate is shrunk
+towards the corpus's, a path's towards its host's, by prior weights fitted to the spread between groups (method of
+moments), so sparse sites stay near their prior and sites without labels at it. A document's score shifts its own log odds
+by its path's, as far as the path differs from the corpus.
 
 In ``documents`` the host is ``source`` and the path below it ``lang``. Everything here is DataFrame functions and
 Spark's own logistic regression over all labelled rows outside the held-out fold; sums reach the driver, rows don't.
@@ -49,10 +50,14 @@ def _logit(p: Column) -> Column:
     return F.log(q / (1 - q))
 
 
-def evidence(rows: DataFrame, labels: DataFrame) -> Column:
-    """A classifier learned from all labelled rows outside the held-out fold, as a column over FEATURES."""
+def known_labels(labels: DataFrame) -> DataFrame:
+    """(doc_id, label) of labelled documents outside the held-out fold; label: 1 good, 0 bad."""
     known = labels.filter("quality is not null and doc_id is not null").groupBy("doc_id").agg((F.avg("quality") >= 0.5).cast("double").alias("label"))
-    known = known.filter(~common.held_out(F.col("doc_id"), PARTS, PART))
+    return known.filter(~common.held_out(F.col("doc_id"), PARTS, PART))
+
+
+def evidence(rows: DataFrame, known: DataFrame) -> Column:
+    """A classifier learned from all labelled rows, as a column over FEATURES."""
     train = common.cut(VectorAssembler(inputCols=list(FEATURES), outputCol="x").transform(rows.join(known, "doc_id")).select("x", "label"))
     if train.select("label").distinct().count() < 2:
         return F.lit(0.5)
@@ -63,13 +68,9 @@ def evidence(rows: DataFrame, labels: DataFrame) -> Column:
     return 1 / (1 + F.exp(-F.greatest(F.least(z, F.lit(30.0)), F.lit(-30.0))))
 
 
-def _groups(df: DataFrame, *keys: str) -> DataFrame:
-    return df.groupBy(*keys).agg(F.sum("n").alias("n"), F.sum("s").alias("s"))
-
-
 def _shrunk(groups: DataFrame, prior: str) -> DataFrame:
-    """Adds ``rate``: the group's mean shrunk towards ``prior``; the weight makes up for the spread that noise leaves."""
-    mean, spread = F.col("s") / F.col("n"), F.col(prior) * (1 - F.col(prior))
+    """Adds ``rate``: the group's share of good labels shrunk towards ``prior``; the weight makes up for the spread that noise leaves."""
+    mean, spread = F.try_divide(F.col("s"), F.col("n")), F.when(F.col("n") > 0, F.col(prior) * (1 - F.col(prior)))
     moments = groups.agg(F.sum(F.col("n") * (mean - F.col(prior)) ** 2).alias("seen"), F.sum(spread).alias("noise"), F.sum(F.col("n") * spread).alias("most"))  # one row
     between = (F.col("seen") - F.col("noise")) / F.greatest("most", F.lit(1e-9))
     weight = moments.select(F.coalesce(1 / F.least(F.greatest(between, F.lit(1e-3)), F.lit(0.5)) - 1, F.lit(10.0)).alias("weight"))
@@ -79,15 +80,18 @@ def _shrunk(groups: DataFrame, prior: str) -> DataFrame:
 def classify(docs: DataFrame, labels: DataFrame, host: str = "source", path: str = "lang") -> DataFrame:
     """doc_id, held_out, the classifier's evidence, host_rate, path_rate, score and kept."""
     common.prepare(docs.sparkSession)
-    rows = common.cut(measured(docs, host, path))
-    rows = rows.withColumn("evidence", evidence(rows, labels))
-    sums = rows.groupBy("host", "path").agg(F.count("*").alias("n"), F.sum("evidence").alias("s"))
-    sums = common.cut(sums.withColumns({"h": F.coalesce(F.concat(F.lit("="), "host"), F.lit("")), "p": F.coalesce(F.concat(F.lit("="), "path"), F.lit(""))}))
-    top = sums.agg(((F.sum("s") + 1) / (F.sum("n") + 2)).alias("top"))  # one row
-    hosts = _shrunk(_groups(sums, "h").crossJoin(F.broadcast(top)), "top").select("h", "top", F.col("rate").alias("host_rate"))
-    paths = _shrunk(sums.select("h", "p", "n", "s").join(hosts, "h"), "host_rate").select("h", "p", "top", "host_rate", F.col("rate").alias("path_rate"))
-    keyed = rows.withColumns({"h": F.coalesce(F.concat(F.lit("="), "host"), F.lit("")), "p": F.coalesce(F.concat(F.lit("="), "path"), F.lit(""))})
-    out = keyed.join(paths, ["h", "p"], "left")
+    key = lambda c: F.coalesce(F.concat(F.lit("="), c), F.lit(""))
+    rows = common.cut(measured(docs, host, path).withColumns({"h": key("host"), "p": key("path")}))
+    known = common.cut(known_labels(labels))
+    rows = rows.withColumn("evidence", evidence(rows, known))
+    sums = rows.select("doc_id", "h", "p").join(known, "doc_id", "left").groupBy("h", "p").agg(F.count("*").alias("size"), F.count("label").alias("n"), F.coalesce(F.sum("label"), F.lit(0.0)).alias("s"))
+    sums = common.cut(sums)
+    top = sums.agg(((F.coalesce(F.sum("s"), F.lit(0.0)) + 1) / (F.coalesce(F.sum("n"), F.lit(0)) + 2)).alias("top"))  # one row
+    hosts = sums.groupBy("h").agg(F.count("*").alias("size"), F.sum("n").alias("n"), F.sum("s").alias("s")).crossJoin(F.broadcast(top))
+    hosts = common.cut(_shrunk(common.cut(hosts), "top").select("h", "size", "top", F.col("rate").alias("host_rate")))
+    paths = common.cut(common.spread(sums.withColumnRenamed("size", "rows"), hosts, ["h"]))
+    paths = common.cut(_shrunk(paths, "host_rate").select("h", "p", F.col("rows").alias("size"), "top", "host_rate", F.col("rate").alias("path_rate")))
+    out = common.spread(rows, paths, ["h", "p"])
     z = _logit(F.col("evidence")) + _logit(F.col("path_rate")) - _logit(F.col("top"))
     score = 1 / (1 + F.exp(-z))
     return out.select("doc_id", common.held_out(F.col("doc_id"), PARTS, PART).alias("held_out"), "evidence", "host_rate", "path_rate", score.alias("score"), (score >= KEEP).alias("kept"))
