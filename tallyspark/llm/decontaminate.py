@@ -169,16 +169,21 @@ def _pass(automaton):
                     hit = old if hit is None else hit | old
                 hits.append(None if hit is None else np.packbits(hit).tobytes())
                 names.append(sorted({*found, *(listed[i].as_py() or [])} - {None}))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-2], pa.array(hits, pa.binary()), pa.array(names, pa.list_(pa.string()))], schema=pa.schema([*list(batch.schema)[:-2], pa.field("_hits", pa.binary()), pa.field("_items", pa.list_(pa.string()))]))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-2], pa.array(hits, pa.binary()), pa.array(names, pa.list_(pa.string()))], schema=pa.schema([*list(batch.schema)[:-2], pa.field(batch.schema.names[-2], pa.binary()), pa.field(batch.schema.names[-1], pa.list_(pa.string()))]))
 
     return run
 
 
 def matched(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
-    """``docs`` with ``_hits`` (a bit for each word, null: none) and ``_items`` (sorted ids of the items found)."""
+    """``docs``'s columns with two more at their end: a bit for each word (null: none), and the sorted ids of the items found.
+
+    Their names are ``_hits`` and ``_items``, longer ones where ``docs`` has these.
+    """
     spark = docs.sparkSession
     common.prepare(spark)
-    out = docs.withColumns({"_hits": F.lit(None).cast("binary"), "_items": F.array().cast("array<string>")})
+    taken = {c.lower() for c in docs.columns}
+    hits, listed = (next(n for k in range(len(taken) + 1) if (n := name + "_" * k) not in taken) for name in ("_hits", "_items"))
+    out = docs.select("*", F.lit(None).cast("binary").alias(hits), F.array().cast("array<string>").alias(listed))
     schema = T.StructType([T.StructField(f.name, f.dataType, True) for f in out.schema])
     for k, chunk in enumerate(_chunks(items, window)):
         if k:

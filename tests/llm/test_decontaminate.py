@@ -61,6 +61,14 @@ def test_remove(spark):
     assert out == {1: ("Clean start. ! And " + "more " * 20, 5), 3: ("all é clean\n", 7), 4: (None, None)}
 
 
+def test_remove_keeps_columns_of_any_name(spark):
+    items = spark.createDataFrame([(1, "one two three")], "item_id long, text string")
+    docs = spark.createDataFrame([(1, "a one two three b c d e f", 5, "x", None), (2, None, 6, "y", 1)], "doc_id long, text string, _hits int, `_Items` string, _hits_ long")
+    out = {r.doc_id: tuple(r)[1:] for r in decontaminate.remove(docs, items).collect()}
+    assert out == {1: ("a  b c d e f", 5, "x", None), 2: (None, 6, "y", 1)}
+    assert decontaminate.remove(docs, items).columns == docs.columns
+
+
 def test_remove_cuts_short_items(spark):
     items = spark.createDataFrame([(1, "One two three four five six seven"), (2, "eight nine")], "item_id long, text string")
     docs = spark.createDataFrame([(1, "Before, one two three FOUR five six seven! " + "more " * 20), (2, "eight nine " + "more " * 20), (3, "one two three " * 9)], "doc_id long, text string")
