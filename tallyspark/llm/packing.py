@@ -8,7 +8,7 @@ are left, fullest configurations first, the last piece of each being whatever le
 All this is on counts, so the plan's size depends on the capacity, not on the corpus.
 
 Spark ranks the pieces of each length (in salted parts, so one very common length is many tasks) and looks the ranks
-up in the plan, which gives each its sequence and offset.
+up in the plan, by buckets of ranks in which a few of its entries lie, which gives each its sequence and offset.
 
 Tokens: word-level, so the ids of a text are those of its pre-token pieces one after the other; a worker keeps the ids
 of pieces it has met. Texts beyond Latin-1, or that spell a special token, go through the tokenizer as a whole.
@@ -32,6 +32,7 @@ from pyspark.sql import functions as F
 from . import common
 
 CAPACITY, END, UNIT, FILLERS, ROUNDS, FALL, KEPT = 4096, 1, 8, 256, 600, 0.1, 300_000
+PART, PARTS = 1000, 4000  # pieces of one length that are ranked together, and how often a length is split at most
 VOCABULARY = "word_bpe_49k.json"
 
 _cat = {b: unicodedata.category(chr(b)) for b in range(256)}
@@ -257,15 +258,20 @@ def packed(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     pieces = common.cut(pieces)
     histogram = {r[0]: r[1] for r in pieces.groupBy("length").agg(F.count("*")).collect()}  # at most ``capacity`` rows
     rows = _ranges(plan(histogram, capacity))
-    ranges = spark.createDataFrame(rows, "length long, first long, last long, base long, copies long, at long")
-    parts = max(1, sum(histogram.values()) // 50_000)
-    salted = pieces.withColumn("part", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(parts)))
+    entries: dict[int, int] = {}
+    for size, *_ in rows:
+        entries[size] = entries.get(size, 0) + 1
+    step = {size: -(-n // (4 * entries[size])) for size, n in histogram.items()}
+    rows = [(r[0], b, *r[1:]) for r in rows for b in range(r[1] // step[r[0]], (r[2] - 1) // step[r[0]] + 1)]  # at most five for each entry
+    ranges = spark.createDataFrame(rows, "length long, bucket long, first long, last long, base long, copies long, at long")
+    lengths = spark.createDataFrame([(size, min(-(-n // PART), PARTS), step[size]) for size, n in histogram.items()], "length long, parts long, step long")
+    salted = pieces.join(F.broadcast(lengths), "length").withColumn("part", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.col("parts")))  # ``capacity`` lengths at most
     counts = salted.groupBy("length", "part").agg(F.count("*").alias("n"))
     before = counts.withColumn("before", F.sum("n").over(Window.partitionBy("length").orderBy("part")) - F.col("n")).drop("n")
     local = salted.withColumn("k", F.row_number().over(Window.partitionBy("length", "part").orderBy("doc_id", "start", "ids_crc32")) - 1)
-    ranked = local.join(before, ["length", "part"]).withColumn("rank", F.col("before") + F.col("k"))
+    ranked = local.join(before, ["length", "part"]).withColumn("rank", F.col("before") + F.col("k")).withColumn("bucket", F.expr("rank div step"))
     # The plan has a few thousand entries at any scale.
-    found = ranked.join(F.broadcast(ranges), "length").filter("rank >= first and rank < last")
+    found = ranked.join(common.small(ranges, 200_000), ["length", "bucket"]).filter("rank >= first and rank < last")
     nth = F.col("rank") - F.col("first")
     sequence = F.col("base") + F.expr("(rank - first) div copies")
     return found.select("doc_id", "piece", "start", "length", "ids_crc32", sequence.alias("sequence_id"), (F.col("at") + F.pmod(nth, F.col("copies")) * F.col("length")).alias("offset"))
