@@ -15,11 +15,14 @@ ARROW_ROWS = 1000
 
 
 def prepare(spark: SparkSession) -> None:
-    """Bounds Arrow batches, and names a checkpoint folder only where the session has none (tests)."""
+    """Bounds Arrow batches, and names a checkpoint folder only where the session has none and runs on this machine (tests)."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-"))
+        shared = spark.conf.get("spark.checkpoint.dir", None)
+        if not shared and (not sc.master.startswith("local") or sc.master.startswith("local-cluster")):
+            raise RuntimeError("name a shared folder in spark.checkpoint.dir")
+        sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="spark-"))
 
 
 def cut(df: DataFrame) -> DataFrame:
