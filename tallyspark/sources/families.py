@@ -35,12 +35,11 @@ def _facts(df: DataFrame, agent: str, usage: Column) -> DataFrame:
     return df.withColumn("u", usage).select(F.lit(agent).alias("agent"), *FACTS[1:8], *[F.col(f"u.{c}").alias(c) for c in FACTS[8:]])
 
 
-def envelope_usage(lines: DataFrame, agent: str = "codex") -> DataFrame:
-    """Usage of ``{timestamp, type, payload}`` lines.
+_NAMES = ("input_tokens", "cached_input_tokens", "cache_write_input_tokens", "output_tokens", "reasoning_output_tokens", "total_tokens")
 
-    A record belongs to the last turn before it; a turn without a model resets it to unknown, one without a folder
-    keeps the last. Files that never give records bill the increases of their running totals instead.
-    """
+
+def _placed(lines: DataFrame) -> DataFrame:
+    """Lines with what those before them in the file say: session, turn and folder."""
     kind = _text("type")
     p = lines.select("path", "offset", "line", kind.alias("type"), _at("timestamp").alias("at_ms"))
     turn = F.when(F.col("type") == "turn_context", F.struct(_text("payload.turn_id").alias("turn"), F.coalesce(_text("payload.model"), F.lit("unknown")).alias("model")))
@@ -50,18 +49,79 @@ def envelope_usage(lines: DataFrame, agent: str = "codex") -> DataFrame:
     so_far = order.rowsBetween(Window.unboundedPreceding, 0)
     p = p.withColumns({"t": turn, "cwd": place, "meta": meta})
     p = p.withColumns({"t": F.last("t", True).over(so_far), "workspace": F.last("cwd", True).over(so_far), "meta": F.first("meta", True).over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))})
-    p = p.withColumn("modern", F.max((F.col("type") == "token_usage_record").cast("int")).over(Window.partitionBy("path")))
-    common_ = [F.coalesce("meta.id", "path").alias("session"), "workspace", F.col("t.turn").alias("turn"), "at_ms", F.coalesce("meta.provider", F.lit("unknown")).alias("provider"), F.coalesce("t.model", F.lit("unknown")).alias("model")]
-    names = ("input_tokens", "cached_input_tokens", "cache_write_input_tokens", "output_tokens", "reasoning_output_tokens", "total_tokens")
+    return p
+
+
+def _common() -> list[Column]:
+    return [F.coalesce("meta.id", "path").alias("session"), "workspace", F.col("t.turn").alias("turn"), "at_ms", F.coalesce("meta.provider", F.lit("unknown")).alias("provider"), F.coalesce("t.model", F.lit("unknown")).alias("model")]
+
+
+def envelope_usage(lines: DataFrame, agent: str = "codex") -> DataFrame:
+    """Usage of ``{timestamp, type, payload}`` lines.
+
+    A record belongs to the last turn before it; a turn without a model resets it to unknown, one without a folder
+    keeps the last. Running totals are checkpoints: what they grew by since the last one, beyond the records between the
+    two (each origin once), is billed as a remainder; so a file with totals alone is billed by their growth. The first
+    total is compared with the records before it where the file begins with its session and names no earlier files,
+    else it is a baseline of unknown history. A total that falls in any counter begins a new epoch and bills nothing;
+    a remainder that isn't positive, or less than the records in any counter, is left out. ``envelope_gaps`` counts these.
+    """
+    p, common_, names = _placed(lines), _common(), _NAMES
     new = p.filter("type = 'token_usage_record'").select(fields.joined_id(F.lit(agent), _text("payload.thread_id"), F.coalesce(_text("payload.response_id"), F.concat_ws("@", "path", "offset"))).alias("origin"), *common_, *[_number(f"payload.usage.{n}").alias(n) for n in names])
-    running = p.filter((F.col("modern") == 0) & (F.col("type") == "event_msg") & (_text("payload.type") == "token_count"))
-    running = running.select("path", "offset", fields.joined_id(F.lit(agent), F.col("path"), F.col("offset")).alias("origin"), *common_, *[_number(f"payload.info.total_token_usage.{n}").alias(n) for n in names]).filter("total_tokens is not null")
-    before = Window.partitionBy("path").orderBy("offset")
-    fell = F.coalesce(F.col("total_tokens") < F.lag("total_tokens").over(before), F.lit(False))
-    grown = running.select("origin", "session", "workspace", "turn", "at_ms", "provider", "model", *[F.when(fell, 0).otherwise(F.col(n) - F.coalesce(F.lag(n).over(before), F.lit(0))).alias(n) for n in names]).filter("total_tokens > 0")
-    rows = new.unionByName(grown)
-    out = _facts(rows, agent, normalise.inclusive_input(*[F.col(n) for n in names]))
-    return dedup.best(out, ["origin"], F.desc(F.when(F.col("quality") == "recorded", 1).otherwise(0)), F.asc_nulls_last("at_ms"))
+    out = _facts(new, agent, normalise.inclusive_input(*[F.col(n) for n in names]))
+    rest = _remainders(_checkpoints(p, agent, common_, names)).filter("state = 'billed'").drop("path", "state", "epoch")
+    return dedup.best(out.unionByName(rest), ["origin"], F.desc(F.when(F.col("quality") == "recorded", 1).otherwise(0)), F.asc_nulls_last("at_ms"))
+
+
+def envelope_gaps(lines: DataFrame, agent: str = "codex") -> DataFrame:
+    """(path, state, checkpoints, epochs): what became of each file's running totals: billed, even, unallocated-history, counter-discontinuity, parse-gap."""
+    p = _placed(lines)
+    told = _remainders(_checkpoints(p, agent, _common(), _NAMES))
+    return told.groupBy("path", "state").agg(F.count("*").alias("checkpoints"), (F.max("epoch") + 1).alias("epochs"))
+
+
+_PARTS = ("uncached", "cache_read", "cache_write", "output", "reasoning", "total")
+
+
+def _checkpoints(p: DataFrame, agent: str, common_: list[Column], names: tuple[str, ...]) -> DataFrame:
+    """A row for each running total: its counters, those of the one before (``was_``), and the sums of records between (``mid_``, null if one is unknown)."""
+    record = F.col("type") == "token_usage_record"
+    total = (F.col("type") == "event_msg") & (_text("payload.type") == "token_count") & F.get_json_object("line", "$.payload.info.total_token_usage").isNotNull()
+    u = F.when(record, normalise.inclusive_input(*[_number(f"payload.usage.{n}") for n in names])).otherwise(normalise.inclusive_input(*[_number(f"payload.info.total_token_usage.{n}") for n in names]))
+    id_ = F.coalesce(_text("payload.response_id"), F.col("offset").cast("string"))
+    whole = F.get_json_object("line", "$.payload.previousSessionFiles")
+    begins = (F.col("type") == "session_meta") & (whole.isNull() | (whole == "[]"))
+    first = F.first(begins).over(Window.partitionBy("path").orderBy("offset").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    r = p.withColumns({"complete": first, "is_record": record, "u": u}).filter(record | total)
+    r = r.select("path", "offset", "complete", "is_record", id_.alias("_id"), fields.joined_id(F.lit(agent), F.lit("total"), F.col("path"), F.col("offset")).alias("origin"), *common_, *[F.col(f"u.{c}").alias(c) for c in _PARTS])
+    r = r.filter("is_record or " + " or ".join(f"{c} is not null" for c in _PARTS))
+    again = F.row_number().over(Window.partitionBy("path", "is_record", F.when(F.col("is_record"), F.col("_id")).otherwise(F.col("offset").cast("string"))).orderBy("offset"))
+    r = r.withColumn("nth", again).filter("nth = 1").drop("nth", "_id")
+    order = Window.partitionBy("path").orderBy("offset")
+    r = r.withColumn("segment", F.count(F.when(~F.col("is_record"), 1)).over(order.rowsBetween(Window.unboundedPreceding, -1)))
+    of = F.col("is_record")
+    mid = {c: F.when(F.count(F.when(of & F.col(c).isNull(), 1)).over(Window.partitionBy("path", "segment")) == 0, F.coalesce(F.sum(F.when(of, F.col(c))).over(Window.partitionBy("path", "segment")), F.lit(0))) for c in _PARTS}
+    r = r.withColumns({f"mid_{c}": x for c, x in mid.items()}).filter(~of)
+    return r.withColumns({**{f"was_{c}": F.lag(c).over(order) for c in _PARTS}, "begins": F.row_number().over(order) == 1})
+
+
+def _remainders(checkpoints: DataFrame) -> DataFrame:
+    """Facts of what checkpoints tell beyond records, with ``path``, ``state`` and the counter's ``epoch``."""
+    yes = lambda x: F.coalesce(x, F.lit(False))
+    some = lambda f: F.array_contains(F.array(*[yes(f(c)) for c in _PARTS]), True)
+    grown = {c: F.when(F.col("begins"), F.col(c)).otherwise(F.col(c) - F.col(f"was_{c}")) for c in _PARTS}
+    c = checkpoints.withColumns({"fell": ~F.col("begins") & some(lambda c: F.col(c) < F.col(f"was_{c}")), **{f"grown_{c}": x for c, x in grown.items()}})
+    c = c.withColumn("epoch", F.sum(F.col("fell").cast("int")).over(Window.partitionBy("path").orderBy("offset")))
+    rest = {c: F.when(F.col(f"grown_{c}") >= F.col(f"mid_{c}"), F.col(f"grown_{c}") - F.col(f"mid_{c}")) for c in _PARTS}
+    state = (
+        F.when(F.col("begins") & ~yes(F.col("complete")), "unallocated-history").when(F.col("fell"), "counter-discontinuity")
+        .when(some(lambda c: F.col(f"mid_{c}") > F.col(f"grown_{c}")), "parse-gap").when(some(lambda c: F.col(f"rest_{c}") > 0), "billed").otherwise("even")
+    )
+    c = c.withColumns({f"rest_{k}": x for k, x in rest.items()}).withColumn("state", state)
+    whole = F.forall(F.array(*[F.col(f"rest_{k}") for k in _PARTS]), lambda x: x.isNotNull())
+    reasons = F.array_compact(F.array(F.when(~whole, "parse-gap"), F.when(F.col("at_ms").isNull(), "unallocated-history")))
+    made = c.select("path", "state", "epoch", F.lit("codex").alias("agent"), *FACTS[1:8], *[F.col(f"rest_{k}").alias(k) for k in _PARTS], reasons.alias("reasons"))
+    return made.withColumn("quality", F.when(F.size("reasons") == 0, "recorded").otherwise("partial"))
 
 
 def envelope_work(lines: DataFrame, agent: str = "codex") -> DataFrame:

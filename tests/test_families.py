@@ -27,11 +27,28 @@ def test_envelopes(spark):
     old = [running(usage(100, 0, 0, 0, 0, 100)), running(usage(100, 0, 0, 0, 0, 100)), running(usage(130, 10, 0, 10, 0, 140)), running(usage(5, 0, 0, 0, 0, 5))]
     out = families.envelope_usage(lines(spark, new=new, old=old)).collect()
     by = sorted((r.session, r.turn or "", r.model, r.workspace or "", r.total, r.uncached, r.quality) for r in out)
-    assert by == [("old", "", "unknown", "", 40, 20, "recorded"), ("old", "", "unknown", "", 100, 100, "recorded"), ("s1", "1", "gpt-5.5", "/w/a", 15, 6, "recorded"), ("s1", "2", "unknown", "/w/a", 11, None, "partial")]
+    assert by == [("old", "", "unknown", "", 40, 20, "recorded"), ("s1", "1", "gpt-5.5", "/w/a", 15, 6, "recorded"), ("s1", "2", "unknown", "/w/a", 11, None, "partial")]
     w = families.envelope_work(lines(spark, a=[item("command_execution", 5, 9), item("reasoning", 3, 3), item("agentMessage", 1, 4), item("other", 1, 9)])).collect()
     assert sorted((r.kind, r.start_ms, r.end_ms) for r in w) == [("inference", 1, 4), ("tool", 5, 9)]
 
 
+def test_running_totals_beside_records(spark):
+    at = "2026-01-02T03:04:05Z"
+    meta = lambda **x: {"type": "session_meta", "timestamp": at, "payload": {"id": "s", **x}}
+    record = lambda rid, t: {"type": "token_usage_record", "timestamp": at, "payload": {"thread_id": "t", "response_id": rid, "usage": usage(t, 0, 0, 0, 0, t)}}
+    running = lambda t: {"type": "event_msg", "timestamp": at, "payload": {"type": "token_count", "info": {"total_token_usage": usage(t, 0, 0, 0, 0, t)}}}
+    files = {
+        "mixed": [meta(), running(12), record("a", 7), running(31)],  # 12, 7, and 12 beyond the record
+        "even": [meta(), record("b", 5), record("b", 5), running(5), running(5)],
+        "tail": [meta(previousSessionFiles=["x"]), running(100), running(130), running(20), record("c", 4), running(25)],
+        "less": [meta(), record("d", 9), running(5), running(8)],
+    }
+    out = families.envelope_usage(lines(spark, **files)).collect()
+    assert sorted(r.total for r in out) == sorted([12, 7, 12, 5, 30, 4, 1, 9, 3])
+    gaps = {(r.path, r.state): (r.checkpoints, r.epochs) for r in families.envelope_gaps(lines(spark, **files)).collect()}
+    assert gaps == {("mixed", "billed"): (2, 1), ("even", "even"): (2, 1), ("tail", "unallocated-history"): (1, 1), ("tail", "billed"): (2, 2), ("tail", "counter-discontinuity"): (1, 2), ("less", "parse-gap"): (1, 1), ("less", "billed"): (1, 1)}
+
+
 def test_flat_revisions(spark):
     row = lambda at, out, session="s": {"type": "assistant", "sessionId": session, "requestId": "q", "timestamp": at, "message": {"id": "m", "model": "claude-opus-5", "usage": {"input_tokens": 1, "cache_read_input_tokens": 2, "cache_creation_input_tokens": 3, "output_tokens": out}}}
     out = families.flat_usage(lines(spark, a=[row(2000, 4), row(3000, 9), row(4000, None), {"type": "user"}], b=[row(1000, 4, "copy")])).collect()
