@@ -20,7 +20,8 @@ fewer words is one shingle; no words: empty set, linked with nothing). Two texts
    of one text, which share nearly all shingles but few differences, meet rarely. No pair within a component is made.
    Where more than ``SMALL`` meet in one difference, one of them becomes their hub in turn, in which that difference is
    none any more, and the same join goes on among them, ``DEEPEST`` times at most before all pairs of the rest are made.
-   Any one order of differences is right; rarity comes from ``CELLS`` hashed counters, the only thing broadcast; what they show once nobody shares.
+   Any one order of differences is right; rarity comes from ``CELLS`` hashed counters, which are broadcast; what they show once nobody shares.
+   A first pass over the keys marks hashed cells that hold keys of several components; only such keys are joined.
 
 Null texts count as empty. A null doc_id links with nothing: its component is null and it is kept. Repeated rows
 give repeated results. Other columns are ignored.
@@ -29,6 +30,7 @@ give repeated results. Other columns are ignored.
 from __future__ import annotations
 
 import math
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -44,7 +46,7 @@ _rng = np.random.default_rng(7)
 _ORDER = _rng.integers(1, 1 << 63, SHINGLE, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _ROUND = _rng.integers(1, 1 << 63, 2 * PLACES, dtype=np.uint64)
 _BAND = _rng.integers(1, 1 << 63, (BANDS, ROWS), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_NONE = np.uint64(2**64 - 1)
+_NONE, MIXED = np.uint64(2**64 - 1), np.uint32(2**32 - 1)
 MISS = 1e-6
 
 
@@ -186,10 +188,41 @@ def _added(table: pa.Table) -> pa.Table:
     return pa.table({"part": table.column("part").slice(0, 1), "c": pa.array([np.minimum(total, MOST).astype("<u2").tobytes()], pa.binary())})
 
 
-def _prefixes(percent: int, counts):
+def _met(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """What two sides met in each cell: 0 none, MIXED different components, else the one component (by its hash)."""
+    return np.where(a == 0, b, np.where((b == 0) | (a == b), a, MIXED))
+
+
+def _key_cells(percent: int, counts):
+    """(part, of): for each cell that a task's keys fall into, whose they are; in parts of CELLS / PARTS."""
+
+    def run(batches):
+        of = np.zeros(CELLS, np.uint32)
+        for batch in _prefixes(percent, counts)(batches):
+            cells = np.asarray(batch.column(0)).view(np.uint64) % np.uint64(CELLS)
+            comps, which = np.unique(np.asarray(batch.column(1)), return_inverse=True)
+            for k, comp in enumerate(comps.tolist()):
+                own = np.unique(cells[which == k]).astype(np.int64)
+                of[own] = _met(of[own], np.uint32(zlib.crc32(str(comp).encode()) >> 1 | 1))
+        of = of.astype("<u4").reshape(PARTS, -1)
+        some = np.flatnonzero(of.any(axis=1))
+        yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array([of[k].tobytes() for k in some], pa.binary())], ["part", "of"])
+
+    return run
+
+
+def _mixed(table: pa.Table) -> pa.Table:
+    """Bits of one part's cells in which keys of different components fall, over all tasks."""
+    of = np.zeros(CELLS // PARTS, np.uint32)
+    for x in table.column("of"):
+        of = _met(of, np.frombuffer(x.as_buffer(), "<u4"))
+    return pa.table({"part": table.column("part").slice(0, 1), "bits": pa.array([np.packbits(of == MIXED).tobytes()], pa.binary())})
+
+
+def _prefixes(percent: int, counts, mixed=None):
     """(key, comp, id, side, f, after) of the rarest differences ``d`` of a set of size ``n`` that a partner of each class of f must share.
 
-    ``side``: 0 in the lower class of the two, 1 in the higher, 2 if they are one; ``after``: how many differences are less rare.
+    With ``mixed`` only keys whose cell is one of several components. ``side``: 0 in the lower class of the two, 1 in the higher, 2 if they are one; ``after``: how many differences are less rare.
     """
     t = percent / 100
     k = (1 - t) / (1 + t)
@@ -219,10 +252,12 @@ def _prefixes(percent: int, counts):
                         per.append((comp, doc, 2 if own == c else int(own > c), f, top - own_only))
             if keys:
                 comp, doc, side, f, top = (np.array(x) for x in zip(*per))
-                many = lambda x: np.repeat(x, top)
+                key = np.concatenate(keys)
+                use = np.ones(len(key), bool) if mixed is None else mixed.value[(key.view(np.uint64) % np.uint64(CELLS)).astype(np.int64)]
+                many = lambda x: np.repeat(x, top)[use]
                 yield pa.RecordBatch.from_arrays([
-                    pa.array(np.concatenate(keys), pa.int64()), pa.array(many(comp), pa.int64()), pa.array(many(doc), pa.int64()),
-                    pa.array(many(side).astype(np.int8)), pa.array(many(f), pa.float64()), pa.array(np.concatenate(after).astype(np.int32)),
+                    pa.array(key[use], pa.int64()), pa.array(many(comp), pa.int64()), pa.array(many(doc), pa.int64()),
+                    pa.array(many(side).astype(np.int8)), pa.array(many(f), pa.float64()), pa.array(np.concatenate(after).astype(np.int32)[use]),
                 ], ["key", "comp", "id", "side", "f", "after"])
 
     return run
@@ -300,8 +335,14 @@ def _rest(hubbed: DataFrame, sets: DataFrame, links: DataFrame, percent: int, de
     able = placed.groupBy("hub", own.alias("own")).agg(F.min("comp").alias("least"), F.max("comp").alias("most"), F.count("*").alias("size"))
     able = able.groupBy("hub").agg(F.sum("size").alias("size"), F.collect_list(F.struct("own", "least", "most")).alias("able"))  # classes of one hub
     placed = common.spread(placed, common.cut(able), ["hub"], 24 * F.size("able")).select("hub", "id", "n", "comp", "d", "able")
-    keys = common.cut(placed.mapInArrow(_prefixes(percent, shared), "key long, comp long, id long, side byte, f double, after int"))
+    found_in = placed.mapInArrow(_key_cells(percent, shared), "part int, of binary").groupBy("part").applyInArrow(_mixed, "part int, bits binary").toArrow()  # PARTS rows, a bit for each cell
+    bits = np.zeros((PARTS, CELLS // PARTS), bool)
+    for part, x in zip(found_in.column(0).to_pylist(), found_in.column(1)):
+        bits[part] = np.unpackbits(np.frombuffer(x.as_buffer(), np.uint8)).astype(bool)
+    mixed_cells = each.sparkSession.sparkContext.broadcast(bits.ravel())
+    keys = common.cut(placed.mapInArrow(_prefixes(percent, shared, mixed_cells), "key long, comp long, id long, side byte, f double, after int"))
     shared.destroy()
+    mixed_cells.destroy()
     low, high, alike = (F.count(F.when(F.col("side") == x, 1)) for x in (0, 1, 2))
     mixed = keys.groupBy("key").agg(F.min("comp").alias("a"), F.max("comp").alias("b"), F.count("*").alias("size"), (low * high + alike * alike / 2).alias("meet"), F.min("id").alias("hub"))
     mixed = common.cut(mixed.filter("a <> b and meet > 0").select("key", "size", "meet", "hub"))
