@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import corpus_pipeline
 
-from . import decontaminate, language, minhash, packing, pii, quality, rules, secrets, toxicity, urls
+from . import decontaminate, language, lines, middle, minhash, packing, pii, quality, rules, secrets, toxicity, urls, whitening
 
 QUERIES = {
     "op1_best_fit_packing": packing.op1,
@@ -17,7 +17,10 @@ QUERIES = {
     "op8_quality_bayes": quality.op8,
     "op9_language_gru": language.op9,
     "op10_decontamination": decontaminate.op10,
+    "op11_fill_in_middle": middle.op11,
+    "op12_embedding_whitening": whitening.op12,
+    "op13_line_dedup": lines.op13,
     "pipeline": corpus_pipeline.run,
 }
 
-ORACLES: dict[str, str] = {"op6_rule_bitmasks": rules.SQL, "op10_decontamination": decontaminate.SQL}
+ORACLES: dict[str, str] = {"op6_rule_bitmasks": rules.SQL, "op10_decontamination": decontaminate.SQL, "op11_fill_in_middle": middle.SQL, "op13_line_dedup": lines.SQL}

@@ -8,7 +8,7 @@ from tallyspark.llm import queries
 
 def test_all_operators_are_registered():
     named = {int(m[1]) for k in queries.QUERIES if (m := re.match(r"op(\d+)_", k))}
-    assert named == set(range(1, 11)) and "pipeline" in entry.queries()
+    assert named == set(range(1, 14)) and "pipeline" in entry.queries()
     assert set(queries.QUERIES) <= set(entry.queries()) and set(queries.ORACLES) <= set(entry.oracle_sql())
 
 
