@@ -37,6 +37,24 @@ def require(path: str, needed: dict[str, list[str]]) -> list[str]:
     return [f"{t}.{c}" for t, cs in needed.items() for have in [columns(path, t)] for c in cs if c not in have]
 
 
+def populated(path: str, table: str) -> bool:
+    con = _open(path)
+    try:
+        return bool(columns(path, table)) and con.execute(f"SELECT 1 FROM {_name(table)} LIMIT 1").fetchone() is not None
+    finally:
+        con.close()
+
+
+def indexes(path: str, table: str) -> list[tuple[str, ...]]:
+    """The columns of each index of a table, in their order."""
+    con = _open(path)
+    try:
+        names = [r[1] for r in con.execute(f"PRAGMA index_list({_name(table)})")]
+        return [tuple(r[2] for r in sorted(con.execute(f"PRAGMA index_info({_name(n)})"))) for n in names]
+    finally:
+        con.close()
+
+
 class Rows(InputPartition):
     def __init__(self, first: int, last: int):
         super().__init__(None)
