@@ -72,30 +72,42 @@ def revisions(df: DataFrame, key: str, at: str, sequence: str, complete: str, co
     ).select(key, F.col("r.total").alias("total"), F.col("r.c").alias("complete"), F.col("first.session").alias("owner"), "at_ms", "conflict")
 
 
+def chained(turns: DataFrame, key: str, order: str, *more: str) -> DataFrame:
+    """Turns with ``pos`` (from 1) and ``upto``: 128 bits of all prints up to here, so that equal ``upto`` are equal prefixes.
+
+    Each print is hashed with its place, and the hashes are folded as they come; a turn costs the same however long the
+    sequence is.
+    """
+    by = Window.partitionBy(key).orderBy(order)
+    upto = by.rowsBetween(Window.unboundedPreceding, 0)
+    t = turns.select(key, order, "print", *more, F.row_number().over(by).alias("pos"))
+    hashes = [F.bit_xor(F.xxhash64(F.lit(seed), "pos", "print")).over(upto) for seed in (1, 2)]
+    return t.withColumn("upto", F.struct(hashes[0].alias("a"), hashes[1].alias("b")))
+
+
 def common_prefix(turns: DataFrame) -> DataFrame:
     """(conv_id, prefix, first, members): the most leading prints that a sequence shares with another, how many share them, and the least of those.
 
     Sequences that agree up to a place are one group, known by the chained print of the prefix; no pairs are made.
     """
-    order = Window.partitionBy("conv_id").orderBy("turn")
-    chain = order.rowsBetween(Window.unboundedPreceding, 0)
-    t = turns.select("conv_id", F.row_number().over(order).alias("pos"), F.md5(F.concat_ws(",", F.collect_list("print").over(chain)).cast("binary")).alias("upto"))
+    t = chained(turns, "conv_id", "turn").select("conv_id", "pos", "upto")
     groups = t.groupBy("pos", "upto").agg(F.min("conv_id").alias("first"), F.count("*").alias("members")).filter("members > 1")
     longest = t.join(groups, ["pos", "upto"]).groupBy("conv_id").agg(F.max(F.struct("pos", "first", "members")).alias("x"))
     return longest.select("conv_id", F.col("x.pos").cast("bigint").alias("prefix"), "x.first", "x.members")
 
 
-def clones(turns: DataFrame, least: int = 2) -> DataFrame:
-    """(conv_id, owner, prefix): sequences that repeat another's first turns, an assistant's among them; owner: the least.
+def clones(turns: DataFrame, least: int = 2, since: str | None = None) -> DataFrame:
+    """(conv_id, owner, prefix): sequences that repeat another's first turns, an assistant's among them.
 
-    Sequences are grouped by the chained print of each prefix, so a prefix that many share is one group and no pairs.
+    The owner is the earliest by the column ``since`` (null: last), else the least. Sequences are grouped by the chained
+    print of each prefix, so a prefix that many share is one group and no pairs.
     """
-    order = Window.partitionBy("conv_id").orderBy("turn")
-    upto = order.rowsBetween(Window.unboundedPreceding, 0)
-    t = turns.select("conv_id", F.row_number().over(order).alias("pos"), F.md5(F.concat_ws(",", F.collect_list("print").over(upto)).cast("binary")).alias("upto"), F.max((F.col("role") == "assistant").cast("int")).over(upto).alias("answered"))
-    owned = t.filter((F.col("pos") >= least) & (F.col("answered") == 1))
-    owner = owned.groupBy("pos", "upto").agg(F.min("conv_id").alias("owner"), F.count("*").alias("n")).filter("n > 1")
-    hit = owned.join(owner, ["pos", "upto"]).filter("conv_id <> owner")
+    turns = turns.withColumn("_since", F.coalesce(F.col(since), F.lit(2**63 - 1)) if since else F.lit(0).cast("long"))
+    t = chained(turns, "conv_id", "turn", "role", "_since")
+    answered = F.max((F.col("role") == "assistant").cast("int")).over(Window.partitionBy("conv_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0))
+    owned = t.withColumn("answered", answered).filter((F.col("pos") >= least) & (F.col("answered") == 1))
+    owner = owned.groupBy("pos", "upto").agg(F.min(F.struct("_since", "conv_id")).alias("o"), F.count("*").alias("n")).filter("n > 1")
+    hit = owned.join(owner.select("pos", "upto", F.col("o.conv_id").alias("owner")), ["pos", "upto"]).filter("conv_id <> owner")
     return hit.groupBy("conv_id").agg(F.max(F.struct("pos", "owner")).alias("x")).select("conv_id", F.col("x.owner").alias("owner"), F.col("x.pos").cast("bigint").alias("prefix"))
 
 

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import json
+import math
+from decimal import Decimal
 
 import pandas as pd
 from pyspark.sql import Column
@@ -53,30 +55,63 @@ def platform(role: Column, observed: Column, display: Column, summary: Column, r
     return F.when(F.coalesce(user, F.lit(False)) & seen, "context").when(F.coalesce(user, F.lit(False)) & sent, "submission").otherwise("unknown")
 
 
+def stored(ordinary: Column, parts: Column, plain: Column) -> Column:
+    """Of a stored message of the user's: an ordinary message all of whose parts are plain text submits; what else it is isn't known."""
+    sent = F.coalesce(ordinary & (parts > 0) & plain, F.lit(False))
+    return F.when(sent, "submission").otherwise("unknown")
+
+
 def lane(parent: Column, sidechain: Column | None = None, other: str = "subagent") -> Column:
     """main without a parent (and no side chain), else ``other``: subagent, or unknown where a parent doesn't tell."""
     aside = parent.isNotNull() if sidechain is None else parent.isNotNull() | F.coalesce(sidechain, F.lit(False))
     return F.when(aside, other).otherwise("main")
 
 
+def _number(x: float) -> str:
+    """A number as JavaScript prints it: shortest digits, no fraction for whole numbers, exponents from 1e21 and below 1e-6."""
+    if not math.isfinite(x):
+        return "null"
+    if x == 0:
+        return "0"
+    mantissa, _, exponent = f"{abs(Decimal(repr(x))):e}".partition("e")
+    digits, point = mantissa.replace(".", "").rstrip("0"), int(exponent) + 1  # 0.digits times ten to the point
+    sign, n = "-" if x < 0 else "", len(digits)
+    if n <= point <= 21:
+        return sign + digits + "0" * (point - n)
+    if 0 < point <= 21:
+        return f"{sign}{digits[:point]}.{digits[point:]}"
+    if -6 < point <= 0:
+        return f"{sign}0.{'0' * -point}{digits}"
+    return f"{sign}{digits[0]}{'.' + digits[1:] if n > 1 else ''}e{point - 1:+d}"
+
+
 def _stable(value: object, without: frozenset[str]) -> str:
     if isinstance(value, dict):
-        return "{" + ",".join(f"{json.dumps(k, ensure_ascii=False)}:{_stable(v, without)}" for k, v in sorted(value.items()) if k not in without) + "}"
+        by_units = sorted(value.items(), key=lambda kv: kv[0].encode("utf-16-be", "surrogatepass"))
+        return "{" + ",".join(f"{json.dumps(k, ensure_ascii=False)}:{_stable(v, without)}" for k, v in by_units if k not in without) + "}"
     if isinstance(value, list):
         return "[" + ",".join(_stable(v, without) for v in value) + "]"
-    return json.dumps(value, ensure_ascii=False)
+    return _number(value) if isinstance(value, float) else json.dumps(value, ensure_ascii=False)
+
+
+def _not_json(name: str):
+    raise ValueError(name)
 
 
 def content_print(text: Column, without: tuple[str, ...] = ()) -> Column:
-    """SHA-256 of a JSON text's content: keys sorted, those of ``without`` left out at every depth; null for what is not JSON."""
+    """SHA-256 of a JSON text's content: keys sorted, those of ``without`` left out at every depth; null for what is not JSON.
+
+    Numbers are what a double holds, printed as JavaScript does, so ``1.0`` and ``1`` are one content. No built-in function
+    sorts keys at every depth or prints numbers so; hence Python, in Arrow batches.
+    """
     left = frozenset(without)
 
     @F.pandas_udf("string")
     def stable(x: pd.Series) -> pd.Series:
         def one(t):
             try:
-                return None if t is None else _stable(json.loads(t), left)
-            except ValueError:
+                return None if t is None else _stable(json.loads(t, parse_int=float, parse_constant=_not_json), left)
+            except (ValueError, RecursionError):
                 return None
 
         return x.map(one)

@@ -87,6 +87,11 @@ def _next_line(f, most: int) -> tuple[bytes, int]:
     return raw, size
 
 
+def _not_json(name: str):
+    """NaN and Infinity, which Python's parser would take, are no JSON."""
+    raise ValueError(name)
+
+
 def _lines(p: Piece, most: int):
     """Lines that begin in a piece; the one that its end cuts belongs to it, the one before its start doesn't."""
     with open(p.path, "rb") as f:
@@ -107,7 +112,7 @@ def _lines(p: Piece, most: int):
                 else:
                     try:
                         text = line.decode()
-                        json.loads(text)
+                        json.loads(text, parse_constant=_not_json)
                     except ValueError:
                         gap, text = "parse-gap", None
                 yield (p.path, at, text, gap, p.replay)
