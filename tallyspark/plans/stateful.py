@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators import claims, clones, cumulative, dedup, forks, merge, messages
+from ..operators import claims, clones, cumulative, forks, merge, messages
+from ..sources import families
 from . import views
 from .catalog import query
 from .views import CUTOFF_MS, EVENTS_SQL, TURNS_SQL, ZONE, local_date_sql
@@ -265,3 +266,36 @@ def d4_family_usage(spark, sf):
         k.alias("uncached"), F.when(n % 5 != 0, 0).cast("bigint").alias("cache_read"), null.alias("cache_write"), (k % 2).alias("output"), null.alias("reasoning"), null.alias("total"), F.lit("recorded").alias("quality"), F.array().cast("array<string>").alias("reasons"),
     )
     return forks.selected(u, grouped, first).select(F.col("line").alias("id"), (F.col("quality") == "partial").alias("conflict"), F.col("excluded").cast("bigint").alias("excluded"))
+
+
+# ---- files of envelope lines
+
+
+def _lines(spark, sf) -> DataFrame:
+    """A file of envelope lines for each user, every fifth user's twice: a header, records of even events, and running totals at odd ones."""
+    e = views.events(spark, sf)
+    n, k, u = F.col("id"), F.col("k"), F.col("session")
+    e = e.withColumns({"i": k * 10, "o": F.floor("value").cast("bigint")})
+    w = Window.partitionBy("session").orderBy("at_ms", "id")
+    e = e.withColumns({"si": F.sum("i").over(w), "so": F.sum("o").over(w), "nth": F.row_number().over(w)})
+    counts = lambda i, o: F.struct(i.alias("input_tokens"), F.lit(0).alias("cached_input_tokens"), F.lit(0).alias("cache_write_input_tokens"), o.alias("output_tokens"), F.lit(0).alias("reasoning_output_tokens"), (i + o).alias("total_tokens"))
+    record = F.to_json(F.struct(F.col("at_ms").alias("timestamp"), F.lit("token_usage_record").alias("type"), n.alias("ordinal"), F.struct(F.concat(F.lit("r"), n).alias("response_id"), counts(F.col("i"), F.col("o")).alias("usage")).alias("payload")))
+    total = F.to_json(F.struct(F.col("at_ms").alias("timestamp"), F.lit("event_msg").alias("type"), n.alias("ordinal"), F.struct(F.lit("token_count").alias("type"), F.struct(counts(F.col("si"), F.col("so")).alias("total_token_usage")).alias("info")).alias("payload")))
+    body = e.select(u.alias("u"), F.col("nth").cast("bigint").alias("offset"), F.when(n % 2 == 0, record).otherwise(total).alias("line"))
+    head = e.select(u.alias("u")).distinct().select("u", F.lit(0).cast("bigint").alias("offset"), F.to_json(F.struct(F.lit("session_meta").alias("type"), F.struct(F.concat(F.lit("s"), "u").alias("id"), F.lit("p").alias("model_provider"), F.when(F.col("u") % 7 == 0, F.array(F.lit("/gone"))).alias("previousSessionFiles")).alias("payload"))).alias("line"))
+    both = head.unionByName(body)
+    return both.select(F.concat(F.lit("/a/"), "u").alias("path"), "offset", "line").unionByName(both.filter("u % 5 = 0").select(F.concat(F.lit("/b/"), "u").alias("path"), "offset", "line"))
+
+
+_ENVELOPES = f"""{EVENTS_SQL}, en AS (SELECT session, at_ms, id, k * 10 AS i, CAST(floor(value) AS BIGINT) AS o, id % 2 = 0 AS record, sum(CASE WHEN id % 2 = 1 THEN 1 ELSE 0 END) OVER (PARTITION BY session ORDER BY at_ms, id) AS nth FROM ev)"""
+
+
+@query(f"WITH {_ENVELOPES} SELECT 's' || session AS session, at_ms, i AS uncached, o AS output, i + o AS total, 'recorded' AS quality FROM en WHERE record OR (i + o > 0 AND NOT (session % 7 = 0 AND nth = 1))")
+def s6_envelope_usage(spark, sf):
+    return families.envelope_usage(_lines(spark, sf)).select("session", "at_ms", "uncached", "output", "total", "quality")
+
+
+@query(f"""WITH {_ENVELOPES}, f AS (SELECT session, CASE WHEN session % 7 = 0 AND nth = 1 THEN 'unallocated-history' WHEN i + o > 0 THEN 'billed' ELSE 'even' END AS state FROM en WHERE NOT record)
+SELECT path, state, count(*) AS checkpoints, CAST(1 AS BIGINT) AS epochs FROM (SELECT '/a/' || session AS path, state FROM f UNION ALL SELECT '/b/' || session, state FROM f WHERE session % 5 = 0) GROUP BY ALL""")
+def s6_envelope_gaps(spark, sf):
+    return families.envelope_gaps(_lines(spark, sf))

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import fields
-from ..operators import dedup
+from ..operators import dedup, kinds
 from . import normalise
 
 FACTS = ("agent", "origin", "session", "workspace", "turn", "at_ms", "provider", "model", "uncached", "cache_read", "cache_write", "output", "reasoning", "total", "quality", "reasons")
@@ -36,27 +36,54 @@ def _facts(df: DataFrame, agent: str, usage: Column) -> DataFrame:
 
 
 _NAMES = ("input_tokens", "cached_input_tokens", "cache_write_input_tokens", "output_tokens", "reasoning_output_tokens", "total_tokens")
+_PARTS = ("uncached", "cache_read", "cache_write", "output", "reasoning", "total")
+_USAGE = "struct<" + ", ".join(f"{n}: bigint" for n in _NAMES) + ">"
+#: All of an envelope line that any fact needs; each line is parsed once, to this.
+_ENVELOPE = f"""timestamp string, ordinal bigint, type string, payload struct<id: string, session_id: string, cwd: string, model_provider: string, origin_session_id: string, root_session_id: string,
+  previousSessionFiles: array<string>, originator: string, turn_id: string, model: string, response_id: string, thread_id: string, type: string, role: string, usage: {_USAGE}, info: struct<total_token_usage: {_USAGE}>,
+  item: struct<id: string, type: string, name: string, started_at_ms: bigint, completed_at_ms: bigint>, internal_chat_message_metadata_passthrough: struct<content_item_kinds: array<string>>>"""
+CONTROLLER = 128
+
+
+def _instant(text: Column) -> Column:
+    """Of a time as text: digits are milliseconds."""
+    return fields.instant(F.when(~text.rlike("^[0-9]+$"), text), F.when(text.rlike("^[0-9]{1,16}$"), text.cast("bigint")))
 
 
-def _placed(lines: DataFrame) -> DataFrame:
-    """Lines with what those before them in the file say: session, turn and folder."""
-    kind = _text("type")
-    p = lines.select("path", "offset", "line", kind.alias("type"), _at("timestamp").alias("at_ms"))
-    turn = F.when(F.col("type") == "turn_context", F.struct(_text("payload.turn_id").alias("turn"), F.coalesce(_text("payload.model"), F.lit("unknown")).alias("model")))
-    place = F.when(F.col("type").isin("turn_context", "session_meta"), _text("payload.cwd"))
-    meta = F.when(F.col("type") == "session_meta", F.struct(_text("payload.id").alias("id"), _text("payload.model_provider").alias("provider")))
+def envelopes(lines: DataFrame, rollouts: DataFrame | None = None) -> DataFrame:
+    """Parsed lines with what those before them in the file say: session, the session it goes on, turn, model and folder.
+
+    ``rollouts`` (path, session): which session an earlier file holds, so that a file naming it goes on that session.
+    """
+    p = lines.select("path", "offset", F.from_json("line", _ENVELOPE).alias("r")).select("path", "offset", _instant(F.col("r.timestamp")).alias("at_ms"), "r.ordinal", "r.type", F.col("r.payload").alias("p"))
+    kind = F.col("type")
+    turn = F.when(kind == "turn_context", F.struct(F.col("p.turn_id").alias("turn"), F.coalesce("p.model", F.lit("unknown")).alias("model")))
+    before = F.coalesce("p.previousSessionFiles", F.array().cast("array<string>"))
+    meta = F.when(kind == "session_meta", F.struct(
+        F.coalesce("p.id", "p.session_id").alias("id"), F.coalesce("p.model_provider", F.lit("unknown")).alias("provider"), F.coalesce("p.origin_session_id", "p.root_session_id").alias("of"), before.alias("before"),
+        F.when(F.length("p.originator").between(1, CONTROLLER), F.col("p.originator")).alias("controller"),
+    ))
     order = Window.partitionBy("path").orderBy("offset")
-    so_far = order.rowsBetween(Window.unboundedPreceding, 0)
-    p = p.withColumns({"t": turn, "cwd": place, "meta": meta})
-    p = p.withColumns({"t": F.last("t", True).over(so_far), "workspace": F.last("cwd", True).over(so_far), "meta": F.first("meta", True).over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))})
-    return p
+    so_far, whole = order.rowsBetween(Window.unboundedPreceding, 0), order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    p = p.withColumns({"t": turn, "place": F.when(kind.isin("turn_context", "session_meta"), F.col("p.cwd")), "meta": meta, "opens": kind == "session_meta"})
+    p = p.withColumns({"t": F.last("t", True).over(so_far), "workspace": F.last("place", True).over(so_far), "meta": F.first("meta", True).over(whole), "opens": F.first("opens").over(whole)})
+    p = p.withColumn("complete", F.coalesce(F.col("opens") & (F.size("meta.before") == 0), F.lit(False)))
+    if rollouts is None:
+        told = F.lit(None).cast("string")
+    else:
+        named = p.filter(kind == "session_meta").select("path", F.posexplode("meta.before").alias("nth", "named")).join(rollouts.select(F.col("path").alias("named"), F.col("session").alias("went")), "named")
+        p, told = p.join(named.groupBy("path").agg(F.min_by("went", "nth").alias("went")), "path", "left"), F.col("went")
+    session = F.coalesce("meta.id", "path")
+    return p.select(
+        "path", "offset", "at_ms", "ordinal", "type", "p", "complete", session.alias("session"), F.coalesce("meta.of", told, session).alias("of"), "workspace", F.col("t.turn").alias("turn"), F.coalesce("meta.provider", F.lit("unknown")).alias("provider"),
+        F.coalesce("t.model", F.lit("unknown")).alias("model"), "meta.controller",
+    )
 
 
-def _common() -> list[Column]:
-    return [F.coalesce("meta.id", "path").alias("session"), "workspace", F.col("t.turn").alias("turn"), "at_ms", F.coalesce("meta.provider", F.lit("unknown")).alias("provider"), F.coalesce("t.model", F.lit("unknown")).alias("model")]
+_PLACE = ("session", "workspace", "turn", "at_ms", "provider", "model")
 
 
-def envelope_usage(lines: DataFrame, agent: str = "codex") -> DataFrame:
+def envelope_usage(lines: DataFrame, agent: str = "codex", rollouts: DataFrame | None = None) -> DataFrame:
     """Usage of ``{timestamp, type, payload}`` lines.
 
     A record belongs to the last turn before it; a turn without a model resets it to unknown, one without a folder
@@ -65,47 +92,48 @@ def envelope_usage(lines: DataFrame, agent: str = "codex") -> DataFrame:
     total is compared with the records before it where the file begins with its session and names no earlier files,
     else it is a baseline of unknown history. A total that falls in any counter begins a new epoch and bills nothing;
     a remainder that isn't positive, or less than the records in any counter, is left out. ``envelope_gaps`` counts these.
+
+    Copies of a session in several files meet: a record is known by its provider and response, without a response by
+    thread, turn, ordinal, time and counts; a remainder by the session that the file goes on, epoch, ordinal, time and growth.
     """
-    p, common_, names = _placed(lines), _common(), _NAMES
-    new = p.filter("type = 'token_usage_record'").select(fields.joined_id(F.lit(agent), _text("payload.thread_id"), F.coalesce(_text("payload.response_id"), F.concat_ws("@", "path", "offset"))).alias("origin"), *common_, *[_number(f"payload.usage.{n}").alias(n) for n in names])
-    out = _facts(new, agent, normalise.inclusive_input(*[F.col(n) for n in names]))
-    rest = _remainders(_checkpoints(p, agent, common_, names)).filter("state = 'billed'").drop("path", "state", "epoch")
-    return dedup.best(out.unionByName(rest), ["origin"], F.desc(F.when(F.col("quality") == "recorded", 1).otherwise(0)), F.asc_nulls_last("at_ms"))
+    p = envelopes(lines, rollouts)
+    rows = p.filter("type = 'token_usage_record'").withColumns({"provider": F.coalesce("p.model_provider", "provider"), "model": F.coalesce("p.model", "model"), "turn": F.coalesce("p.turn_id", "turn")})
+    rows = rows.withColumn("u", normalise.inclusive_input(*[F.col(f"p.usage.{n}") for n in _NAMES]))
+    new = rows.select(_record_id(agent).alias("origin"), *_PLACE, *[F.col(f"u.{c}").alias(c) for c in _PARTS], "u.quality", "u.reasons").select(F.lit(agent).alias("agent"), *FACTS[1:])
+    rest = _remainders(_checkpoints(p, agent), agent).filter("state = 'billed'").drop("path", "state", "epoch")
+    return dedup.best(new.unionByName(rest), ["origin"], F.desc(F.when(F.col("quality") == "recorded", 1).otherwise(0)), F.asc_nulls_last("at_ms"), F.asc("session"))
+
+
+def _record_id(agent: str) -> Column:
+    counts = [F.col(f"u.{c}") for c in _PARTS]
+    loose = fields.joined_id(F.lit(agent), F.lit("event"), F.coalesce("p.thread_id", "of"), F.col("turn"), F.col("ordinal"), F.col("at_ms"), *counts)
+    return F.when(F.col("p.response_id").isNotNull(), fields.joined_id(F.lit(agent), F.lit("response"), F.col("provider"), F.col("p.response_id"))).otherwise(loose)
 
 
 def envelope_gaps(lines: DataFrame, agent: str = "codex") -> DataFrame:
     """(path, state, checkpoints, epochs): what became of each file's running totals: billed, even, unallocated-history, counter-discontinuity, parse-gap."""
-    p = _placed(lines)
-    told = _remainders(_checkpoints(p, agent, _common(), _NAMES))
+    told = _remainders(_checkpoints(envelopes(lines), agent), agent)
     return told.groupBy("path", "state").agg(F.count("*").alias("checkpoints"), (F.max("epoch") + 1).alias("epochs"))
 
 
-_PARTS = ("uncached", "cache_read", "cache_write", "output", "reasoning", "total")
-
-
-def _checkpoints(p: DataFrame, agent: str, common_: list[Column], names: tuple[str, ...]) -> DataFrame:
+def _checkpoints(p: DataFrame, agent: str) -> DataFrame:
     """A row for each running total: its counters, those of the one before (``was_``), and the sums of records between (``mid_``, null if one is unknown)."""
     record = F.col("type") == "token_usage_record"
-    total = (F.col("type") == "event_msg") & (_text("payload.type") == "token_count") & F.get_json_object("line", "$.payload.info.total_token_usage").isNotNull()
-    u = F.when(record, normalise.inclusive_input(*[_number(f"payload.usage.{n}") for n in names])).otherwise(normalise.inclusive_input(*[_number(f"payload.info.total_token_usage.{n}") for n in names]))
-    id_ = F.coalesce(_text("payload.response_id"), F.col("offset").cast("string"))
-    whole = F.get_json_object("line", "$.payload.previousSessionFiles")
-    begins = (F.col("type") == "session_meta") & (whole.isNull() | (whole == "[]"))
-    first = F.first(begins).over(Window.partitionBy("path").orderBy("offset").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    r = p.withColumns({"complete": first, "is_record": record, "u": u}).filter(record | total)
-    r = r.select("path", "offset", "complete", "is_record", id_.alias("_id"), fields.joined_id(F.lit(agent), F.lit("total"), F.col("path"), F.col("offset")).alias("origin"), *common_, *[F.col(f"u.{c}").alias(c) for c in _PARTS])
-    r = r.filter("is_record or " + " or ".join(f"{c} is not null" for c in _PARTS))
-    again = F.row_number().over(Window.partitionBy("path", "is_record", F.when(F.col("is_record"), F.col("_id")).otherwise(F.col("offset").cast("string"))).orderBy("offset"))
-    r = r.withColumn("nth", again).filter("nth = 1").drop("nth", "_id")
+    total = (F.col("type") == "event_msg") & (F.col("p.type") == "token_count") & F.col("p.info.total_token_usage").isNotNull()
+    told = [F.when(record, F.col(f"p.usage.{n}")).otherwise(F.col(f"p.info.total_token_usage.{n}")) for n in _NAMES]
+    r = p.withColumns({"is_record": record, "turn_": F.coalesce("p.turn_id", "turn"), "by": F.coalesce("p.model_provider", "provider")}).filter(record | total).withColumn("u", normalise.inclusive_input(*told))
+    r = r.withColumn("id", F.when(F.col("is_record"), _record_id(agent)).otherwise(F.col("offset").cast("string")))
+    r = r.select("path", "offset", "complete", "is_record", "id", "of", "ordinal", *_PLACE, *[F.col(f"u.{c}").alias(c) for c in _PARTS]).filter("is_record or " + " or ".join(f"{c} is not null" for c in _PARTS))
+    r = r.withColumn("nth", F.row_number().over(Window.partitionBy("path", "is_record", "id").orderBy("offset"))).filter("nth = 1").drop("nth", "id")
     order = Window.partitionBy("path").orderBy("offset")
     r = r.withColumn("segment", F.count(F.when(~F.col("is_record"), 1)).over(order.rowsBetween(Window.unboundedPreceding, -1)))
-    of = F.col("is_record")
-    mid = {c: F.when(F.count(F.when(of & F.col(c).isNull(), 1)).over(Window.partitionBy("path", "segment")) == 0, F.coalesce(F.sum(F.when(of, F.col(c))).over(Window.partitionBy("path", "segment")), F.lit(0))) for c in _PARTS}
+    of, segment = F.col("is_record"), Window.partitionBy("path", "segment")
+    mid = {c: F.when(F.count(F.when(of & F.col(c).isNull(), 1)).over(segment) == 0, F.coalesce(F.sum(F.when(of, F.col(c))).over(segment), F.lit(0))) for c in _PARTS}
     r = r.withColumns({f"mid_{c}": x for c, x in mid.items()}).filter(~of)
     return r.withColumns({**{f"was_{c}": F.lag(c).over(order) for c in _PARTS}, "begins": F.row_number().over(order) == 1})
 
 
-def _remainders(checkpoints: DataFrame) -> DataFrame:
+def _remainders(checkpoints: DataFrame, agent: str) -> DataFrame:
     """Facts of what checkpoints tell beyond records, with ``path``, ``state`` and the counter's ``epoch``."""
     yes = lambda x: F.coalesce(x, F.lit(False))
     some = lambda f: F.array_contains(F.array(*[yes(f(c)) for c in _PARTS]), True)
@@ -117,18 +145,39 @@ def _remainders(checkpoints: DataFrame) -> DataFrame:
         F.when(F.col("begins") & ~yes(F.col("complete")), "unallocated-history").when(F.col("fell"), "counter-discontinuity")
         .when(some(lambda c: F.col(f"mid_{c}") > F.col(f"grown_{c}")), "parse-gap").when(some(lambda c: F.col(f"rest_{c}") > 0), "billed").otherwise("even")
     )
-    c = c.withColumns({f"rest_{k}": x for k, x in rest.items()}).withColumn("state", state)
+    origin = fields.joined_id(F.lit(agent), F.lit("total"), F.col("of"), F.col("epoch"), F.col("ordinal"), F.col("at_ms"), *[F.col(f"grown_{k}") for k in _PARTS])
+    c = c.withColumns({f"rest_{k}": x for k, x in rest.items()}).withColumns({"state": state, "origin": origin})
     whole = F.forall(F.array(*[F.col(f"rest_{k}") for k in _PARTS]), lambda x: x.isNotNull())
     reasons = F.array_compact(F.array(F.when(~whole, "parse-gap"), F.when(F.col("at_ms").isNull(), "unallocated-history")))
-    made = c.select("path", "state", "epoch", F.lit("codex").alias("agent"), *FACTS[1:8], *[F.col(f"rest_{k}").alias(k) for k in _PARTS], reasons.alias("reasons"))
+    made = c.select("path", "state", "epoch", F.lit(agent).alias("agent"), "origin", *_PLACE, *[F.col(f"rest_{k}").alias(k) for k in _PARTS], reasons.alias("reasons"))
     return made.withColumn("quality", F.when(F.size("reasons") == 0, "recorded").otherwise("partial"))
 
 
 def envelope_work(lines: DataFrame, agent: str = "codex") -> DataFrame:
-    """Closed, positive intervals of completed items."""
-    i = lines.filter((_text("type") == "event_msg") & (_text("payload.type") == "item_completed"))
-    i = i.select(F.lit(agent).alias("agent"), "path", fields.joined_id(F.lit(agent), F.col("path"), _text("payload.item.id")).alias("origin"), _number("payload.item.started_at_ms").alias("start_ms"), _number("payload.item.completed_at_ms").alias("end_ms"), fields.item_type(_text("payload.item.type")).alias("kind"))
-    return i.filter("end_ms > start_ms and kind <> 'excluded'").dropDuplicates(["origin"])
+    """Closed, positive intervals of completed items; copies of a session meet by session, item, type and times."""
+    i = envelopes(lines).filter("type = 'event_msg' and p.type = 'item_completed'")
+    kind, name = fields.item_type(F.col("p.item.type")), fields.item_type(F.col("p.item.name"))
+    origin = fields.joined_id(F.lit(agent), F.lit("item"), F.col("of"), F.coalesce("p.item.id", F.col("ordinal").cast("string")), F.col("p.item.type"), F.col("p.item.started_at_ms"), F.col("p.item.completed_at_ms"))
+    i = i.select(F.lit(agent).alias("agent"), "path", "session", origin.alias("origin"), F.col("p.item.started_at_ms").alias("start_ms"), F.col("p.item.completed_at_ms").alias("end_ms"), kind.alias("kind"), name.alias("name"))
+    return i.filter("end_ms > start_ms and kind <> 'excluded'").drop("name").dropDuplicates(["origin"])
+
+
+def envelope_inputs(lines: DataFrame, parents: DataFrame | None = None, agent: str = "codex") -> DataFrame:
+    """Submitted and other user messages, one observation a line, as ``merge.merged`` takes them; ``parents``: session, parent.
+
+    A message without an id can't be told from its copies and is left out.
+    """
+    m = envelopes(lines).filter("type = 'response_item' and p.type = 'message' and p.role = 'user' and p.id is not null")
+    kind = kinds.envelope(F.coalesce("p.internal_chat_message_metadata_passthrough.content_item_kinds", F.array().cast("array<string>")))
+    up = F.lit(None).cast("string")
+    if parents is not None:
+        m, up = m.join(parents.select("session", "parent").dropDuplicates(["session"]), "session", "left"), F.col("parent")
+    unknown = kind == "unknown"
+    return m.select(
+        fields.joined_id(F.lit(agent), F.lit("input"), F.col("p.id")).alias("origin"), F.lit(False).alias("retained"), F.struct("path", "offset").alias("ordinal"), F.lit(agent).alias("agent"), "session", F.col("session").alias("native_session"),
+        F.col("p.id").alias("native_input"), F.lit(agent).alias("source"), F.coalesce("workspace", F.concat_ws(":", F.lit(agent), F.lit("unattributed"), "session")).alias("workspace"), "at_ms", kind.alias("kind"), kinds.lane(up).alias("lane"),
+        F.when(unknown, "partial").otherwise("recorded").alias("quality"), F.when(unknown, F.array(F.lit("input-kind-unknown"))).otherwise(F.array().cast("array<string>")).alias("reasons"), F.lit("unknown").alias("by_whom"), F.lit("none").alias("evidence"), "controller",
+    )
 
 
 def flat_usage(lines: DataFrame, agent: str = "claude") -> DataFrame:

@@ -2,7 +2,7 @@ import json
 
 from pyspark.sql import functions as F
 
-from tallyspark.operators import claims
+from tallyspark.operators import claims, merge
 from tallyspark.plans import catalog, rollups, views
 from tallyspark.plans.store import Ledger
 from tallyspark.sources import families
@@ -49,6 +49,34 @@ def test_running_totals_beside_records(spark):
     assert gaps == {("mixed", "billed"): (2, 1), ("even", "even"): (2, 1), ("tail", "unallocated-history"): (1, 1), ("tail", "billed"): (2, 2), ("tail", "counter-discontinuity"): (1, 2), ("less", "parse-gap"): (1, 1), ("less", "billed"): (1, 1)}
 
 
+def test_a_copied_session_is_billed_once(spark):
+    at = "2026-01-02T03:04:05Z"
+    meta = lambda i, **x: {"type": "session_meta", "timestamp": at, "payload": {"id": i, **x}}
+    record = lambda rid, t, n=None: {"type": "token_usage_record", "timestamp": at, "ordinal": n, "payload": {"response_id": rid, "usage": usage(t, 0, 0, 0, 0, t)}}
+    running = lambda t, n=None: {"type": "event_msg", "timestamp": at, "ordinal": n, "payload": {"type": "token_count", "info": {"total_token_usage": usage(t, 0, 0, 0, 0, t)}}}
+    body = [running(12, 1), record("r", 5, 2), record(None, 2, 3), running(24, 4)]
+    item = {"type": "event_msg", "payload": {"type": "item_completed", "item": {"id": "i", "type": "plan", "started_at_ms": 1, "completed_at_ms": 4}}}
+    files = {"a": [meta("s"), *body, item], "b": [meta("s"), *body, item], "fork": [meta("f", root_session_id="s"), *body, item], "other": [meta("o"), running(12, 1)]}
+    out = families.envelope_usage(lines(spark, **files), "copier").collect()
+    assert sorted(r.total for r in out) == [2, 5, 5, 12, 12] and {r.agent for r in out} == {"copier"}
+    assert families.envelope_work(lines(spark, **files)).count() == 1
+    later = {"next": [meta("n", previousSessionFiles=["a"]), record(None, 2, 3)], "a": files["a"]}
+    known = spark.createDataFrame([("a", "s")], "path string, session string")
+    assert sorted(r.total for r in families.envelope_usage(lines(spark, **later), rollouts=known).collect()) == [2, 5, 5, 12]
+    assert sorted(r.total for r in families.envelope_usage(lines(spark, **later)).collect()) == [2, 2, 5, 5, 12]
+
+
+def test_inputs_of_envelopes(spark):
+    meta = lambda i, **x: {"type": "session_meta", "timestamp": 1000, "payload": {"id": i, "cwd": "/w", **x}}
+    said = lambda i, items, at=2000: {"type": "response_item", "timestamp": at, "payload": {"type": "message", "role": "user", "id": i, "internal_chat_message_metadata_passthrough": {"content_item_kinds": items}}}
+    files = {"a": [meta("s", originator="tui"), said("1", ["user.text", "x"]), said("2", ["agents_md.instructions"]), said("3", ["agents_md.instructions", 5]), said("4", []), said(None, ["user.text"])], "b": [meta("t"), said("1", ["user.text"]), said("2", ["agents_md.instructions"], 9000)]}
+    parents = spark.createDataFrame([("t", "s")], "session string, parent string")
+    each = families.envelope_inputs(lines(spark, **files), parents)
+    assert {(r.native_input, r.session, r.lane) for r in each.collect()} == {*[(i, "s", "main") for i in "1234"], ("1", "t", "subagent"), ("2", "t", "subagent")}
+    out = {r.native_input: (r.session, r.kind, r.controller, r.at_ms) for r in merge.merged(each).collect()}
+    assert out == {"1": ("s", "submission", "tui", 2000), "2": ("s", "unknown", "tui", 2000), "3": ("s", "unknown", "tui", 2000), "4": ("s", "unknown", "tui", 2000)}
+
+
 def test_flat_revisions(spark):
     row = lambda at, out, session="s": {"type": "assistant", "sessionId": session, "requestId": "q", "timestamp": at, "message": {"id": "m", "model": "claude-opus-5", "usage": {"input_tokens": 1, "cache_read_input_tokens": 2, "cache_creation_input_tokens": 3, "output_tokens": out}}}
     out = families.flat_usage(lines(spark, a=[row(2000, 4), row(3000, 9), row(4000, None), {"type": "user"}], b=[row(1000, 4, "copy")])).collect()
