@@ -166,13 +166,20 @@ def a18_cadence_ranges(spark, sf):
     return inputs.population(inputs.ranged(views.inputs(spark, sf), _ranges(spark)), "days")
 
 
-@query(f"""WITH {INPUTS_SQL}, {WORK_SQL.split('FROM events), ')[1]},
-s AS (SELECT agent, session, count(*) FILTER (o.outcome = 'counted' AND decision = 'included') AS n, count(DISTINCT decision) > 1 AS mixed FROM (SELECT *, {_OUT} FROM inp) o GROUP BY ALL HAVING n > 0),
-w AS (SELECT agent, session, sum(end_ms - start_ms) AS ms FROM wk WHERE session % 3 <> 0 GROUP BY ALL)
-SELECT CASE WHEN mixed THEN 'mixed-scope' WHEN ms IS NULL THEN 'no-recorded-work' ELSE 'measured' END AS state, count(*) AS sessions, CAST(sum(n) AS BIGINT) AS inputs, CAST(sum(CASE WHEN NOT mixed THEN ms END) AS BIGINT) AS work_ms
-FROM s LEFT JOIN w USING (agent, session) GROUP BY 1""")
+@query(f"""WITH {INPUTS_SQL}, {WORK_SQL.split('FROM events), ')[1]}, {_RANGES},
+ob AS (SELECT days, from_ms, to_ms, agent, session, at_ms, kind, lane, decision, CASE WHEN origin % 41 = 0 THEN 'partial' ELSE 'recorded' END AS quality, session % 7 <> 3 AS usable, coalesce(at_ms BETWEEN from_ms AND to_ms, false) AS inside FROM inp, rg WHERE session % 2 = 0 OR (kind <> 'unknown' AND lane <> 'unknown')),
+cs AS (SELECT days, to_ms, agent, session, count(*) FILTER (inside AND decision = 'included' AND kind = 'submission' AND lane = 'main') AS n, min(at_ms) FILTER (inside AND decision = 'included' AND kind = 'submission' AND lane = 'main') AS first_ms,
+  bool_or(NOT usable OR (kind NOT IN ('context', 'replay') AND (at_ms IS NULL OR (inside AND (kind = 'unknown' OR lane = 'unknown' OR quality <> 'recorded'))))) AS history, bool_or(inside AND kind NOT IN ('context', 'replay') AND decision <> 'included') AS mixed FROM ob GROUP BY ALL HAVING n > 0),
+cl AS (SELECT days, agent, session, greatest(start_ms, first_ms) AS a, least(end_ms, to_ms) AS b FROM wk JOIN cs USING (agent, session) WHERE NOT history AND NOT mixed AND least(end_ms, to_ms) > greatest(start_ms, first_ms)),
+rn AS (SELECT *, coalesce(max(b) OVER (PARTITION BY days, agent, session ORDER BY a, b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), a) AS reach FROM cl),
+w AS (SELECT days, agent, session, sum(greatest(0, b - greatest(a, reach))) AS ms FROM rn GROUP BY ALL)
+SELECT days, agent, CASE WHEN history THEN 'input-history' WHEN mixed THEN 'mixed-scope' WHEN ms IS NULL THEN 'no-recorded-work' ELSE 'measured' END AS state, count(*) AS sessions, CAST(sum(n) AS BIGINT) AS inputs, CAST(sum(ms) AS BIGINT) AS work_ms
+FROM cs LEFT JOIN w USING (days, agent, session) GROUP BY ALL""")
 def a16_cadence_cohort(spark, sf):
-    return inputs.cohort(views.inputs(spark, sf), views.work(spark, sf).filter("session % 3 <> 0"))
+    i = views.inputs(spark, sf).filter("session % 2 = 0 or (kind <> 'unknown' and lane <> 'unknown')")
+    i = i.withColumns({"quality": F.when(F.col("origin") % 41 == 0, "partial").otherwise("recorded"), "source": F.col("session") % 7})
+    states = i.select("source").distinct().select("source", (F.col("source") != 3).alias("usable"))
+    return inputs.cadence(i, states, views.work(spark, sf), _ranges(spark), ZONE, "agent")
 
 
 def _series_sql(key: str) -> str:
