@@ -3,7 +3,8 @@
 A text's bytes (A-Z lower-cased), whatever they are, run through a GRU in each direction; a softmax labels every byte,
 and a document's probabilities are the mean over all its bytes. Texts go in windows of ``WINDOW`` bytes with ``AROUND``
 more on each side, through which the state comes from the neighbours without being labelled again; so states pass from
-word to word, a very long text is as many rows of a batch as windows, and memory is bounded by ``ROWS`` windows.
+word to word, a very long text is as many rows of a batch as windows, and memory is bounded by ``ROWS`` windows. Empty
+tables give no rows.
 Training is backpropagation through time with Adam on the mean log loss of all positions of random windows.
 
 Training reads a bounded, documented sample, whole texts: of each language up to ``DOCS`` documents outside the
@@ -23,7 +24,7 @@ from . import common
 
 PARTS, PART = 3, 1
 DOCS, MOST, LONGEST, HIDDEN, INPUT = 150, 3000, 20_000, 16, 12
-WINDOW, AROUND, ROWS = 112, 8, 1024
+WINDOW, AROUND, ROWS = 1024, 64, 2048
 STEPS, BATCH, LENGTH, RATE = 240, 128, 48, 0.02
 GAP = np.ones(256, bool)
 GAP[[*range(65, 91), *range(97, 123), *range(128, 256)]] = False
@@ -62,18 +63,50 @@ class Network:
     def gates(self) -> dict[str, np.ndarray]:
         return {d: self.p["bytes"] @ self.p[f"x{d}"] + self.p[f"b{d}"] for d in "fb"}
 
-    def labels(self, code: np.ndarray, back: np.ndarray, size: np.ndarray, first: np.ndarray, last: np.ndarray, gates: dict[str, np.ndarray]) -> np.ndarray:
+    def labels(self, code: np.ndarray, size: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
         """Sums of the labels' probabilities over the bytes from ``first`` to before ``last`` of each window.
 
-        ``code`` has the windows' bytes, ``back`` those from the last to the first; what lies beyond a window's ``size`` has no effect.
+        ``code``: a row for each place, a column for each window, windows by falling ``size``; so the windows that have a
+        byte at a place are the first ``m``, and both directions step over exactly these. Update, reset and candidate
+        are arrays of their own, so that every step works on whole memory; the halves in a logistic by tanh are in the weights.
         """
-        f, b = (np.stack(self._run(d, gates[d], x)) for d, x in (("f", code), ("b", back)))
-        there, n = np.arange(code.shape[1])[:, None], len(self.langs)
-        q = (b.reshape(-1, HIDDEN) @ self.p["out"][HIDDEN:]).reshape(*b.shape[:2], n)[np.maximum(size - 1 - there, 0), np.arange(len(code))]
-        q += (f.reshape(-1, HIDDEN) @ self.p["out"][:HIDDEN]).reshape(q.shape) + self.p["out_b"]
-        q = np.exp(q - q.max(axis=2, keepdims=True))
-        q *= (((first <= there) & (there < last)) / q.sum(axis=2))[:, :, None]
-        return q.sum(axis=0)
+        steps, rows = code.shape
+        p, n, H = self.p, len(self.langs), HIDDEN
+        there = np.searchsorted(-size, -np.arange(steps), "left")
+        logits = np.zeros((steps, rows, n), np.float32)
+        z, r, c = (np.empty((rows, H), np.float32) for _ in range(3))
+        made = np.empty((rows, H), np.float32)
+        for d, places, out in (("f", range(steps), p["out"][:H]), ("b", range(steps - 1, -1, -1), p["out"][H:])):
+            table = p["bytes"] @ p[f"x{d}"] + p[f"b{d}"]
+            half = [np.ascontiguousarray(x, np.float32) for x in (0.5 * table[:, :H], 0.5 * table[:, H : 2 * H], table[:, 2 * H :])]
+            wz, wr, wc = (np.ascontiguousarray(x, np.float32) for x in (0.5 * p[f"h{d}"][:, :H], 0.5 * p[f"h{d}"][:, H:], p[f"c{d}"]))
+            out, h = np.ascontiguousarray(out, np.float32), np.zeros((rows, H), np.float32)
+            for j in places:
+                m = int(there[j])
+                x, hm, mm = code[j, :m].astype(np.intp), h[:m], made[:m]
+                for gate, told, w in ((z[:m], half[0], wz), (r[:m], half[1], wr)):
+                    np.take(told, x, axis=0, out=gate, mode="clip")
+                    gate += np.matmul(hm, w, out=mm)
+                    np.tanh(gate, out=gate)
+                    gate *= 0.5
+                    gate += 0.5
+                np.multiply(r[:m], hm, out=r[:m])
+                np.take(half[2], x, axis=0, out=c[:m], mode="clip")
+                c[:m] += np.matmul(r[:m], wc, out=mm)
+                np.tanh(c[:m], out=c[:m])
+                c[:m] -= hm
+                c[:m] *= z[:m]
+                hm += c[:m]
+                logits[j, :m] += hm @ out
+        total = np.zeros((rows, n))
+        for a in range(0, steps, 32):  # few places at a time stay near
+            m, at = int(there[a]), np.arange(a, min(a + 32, steps))[:, None]
+            q = logits[a : a + 32, :m] + p["out_b"]
+            q -= q.max(axis=2, keepdims=True)
+            np.exp(q, out=q)
+            q *= (((first[:m] <= at) & (at < last[:m])) / q.sum(axis=2))[:, :, None]
+            total[:m] += q.sum(axis=0)
+        return total
 
     def slopes(self, code: np.ndarray, y: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
         """Mean loss over all positions (``y``: their languages), and its gradients by backpropagation through time."""
@@ -173,7 +206,7 @@ class Labeller:
     """Pools a network's labels over texts."""
 
     def __init__(self, net: Network):
-        self.net, self.gates = net, net.gates()
+        self.net = net
 
     def pooled(self, data: np.ndarray, at: np.ndarray) -> np.ndarray:
         """Mean label probabilities of each row's bytes; a row without bytes has zeros."""
@@ -187,12 +220,12 @@ class Labeller:
         begin = (np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)) * WINDOW
         stop = np.minimum(begin + WINDOW, size[row])
         left, right = np.maximum(begin - AROUND, 0), np.minimum(stop + AROUND, size[row])
-        order = np.argsort(right - left, kind="stable")
+        order = np.argsort(left - right, kind="stable")
         for a in range(0, len(order), ROWS):
             some = order[a : a + ROWS]
-            long, start, steps = (right - left)[some], at[row[some]] + left[some], np.arange(int((right - left)[some[-1]]))
-            code, back = low[start[:, None] + np.minimum(steps, long[:, None] - 1)], low[start[:, None] + np.maximum(long[:, None] - 1 - steps, 0)]
-            np.add.at(total, row[some], self.net.labels(code, back, long, (begin - left)[some], (stop - left)[some], self.gates))
+            long, start = (right - left)[some], at[row[some]] + left[some]
+            code = low[np.minimum(start + np.arange(int(long[0]))[:, None], len(low) - 1)]
+            np.add.at(total, row[some], self.net.labels(code, long, (begin - left)[some], (stop - left)[some]))
         return total / np.maximum(total.sum(axis=1, keepdims=True), 1e-9)
 
 
@@ -203,7 +236,7 @@ def _label(net):
         ascii_ = ~GAP & (np.arange(256) < 128)
         for batch in batches:
             texts = common.as_strings(batch.column(1))
-            for a, b in common.slices(texts):
+            for a, b in common.slices(texts, 2 << 20):
                 data, at = common.text_bytes(texts, a, b)
                 mean = own.pooled(data, at)
                 letters = np.diff(np.concatenate([[0], np.cumsum(ascii_[data])])[at]) > 0

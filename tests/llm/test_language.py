@@ -70,7 +70,7 @@ def test_edges_and_pooling_by_hand(spark):
         i = 5 if r.doc_id is None else r.doc_id
         assert r.lang_pred == (want[i] or r.lang_pred) and (r.score == 0) == (i < 4)
     r = np.random.default_rng(3)
-    more = ["".join(r.choice(list("abcdé .1Z"), n)) for n in (1, 7, 111, 112, 113, 120, 300, 1000)] + ["", "the der " * 30]
+    more = ["".join(r.choice(list("abcdé .1Z"), n)) for n in (1, 7, 111, 112, 113, 120, 300, 1000, 3000)] + ["", "the der " * 30]
     data = np.frombuffer("".join(more).encode(), np.uint8)
     got = language.Labeller(net).pooled(data, np.cumsum([0, *(len(t.encode()) for t in more)]))
     for t, g in zip(more, got):
