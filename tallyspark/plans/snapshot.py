@@ -20,8 +20,8 @@ def days(spine: DataFrame, usage_days: DataFrame, work_slots: DataFrame, usage_r
 
 
 def violations(work_slots: DataFrame) -> DataFrame:
-    """Slots whose numbers contradict each other: a part above its whole, or a histogram that isn't its sum."""
-    parts = F.transform(F.split("histogram", ","), lambda p: F.struct(F.split_part(p, F.lit(":"), F.lit(1)).cast("long").alias("n"), F.split_part(p, F.lit(":"), F.lit(2)).cast("long").alias("ms")))
+    """Slots whose numbers contradict each other: a part above its whole, or a histogram that isn't its sum. The idle bin 0 counts for neither."""
+    parts = F.filter(F.transform(F.split("histogram", ","), lambda p: F.struct(F.split_part(p, F.lit(":"), F.lit(1)).cast("long").alias("n"), F.split_part(p, F.lit(":"), F.lit(2)).cast("long").alias("ms"))), lambda x: x["n"] > 0)
     total = lambda f: F.aggregate(parts, F.lit(0).cast("long"), lambda a, x: a + f(x))
     bad = (F.col("parallel_ms") > F.col("active_ms")) | (F.col("active_ms") > F.col("agent_ms")) | (total(lambda x: x["ms"]) != F.col("active_ms")) | (total(lambda x: x["ms"] * x["n"]) != F.col("agent_ms"))
     return work_slots.filter(F.col("histogram").isNotNull() & bad)

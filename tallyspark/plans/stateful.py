@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators import claims, clones, cumulative, forks, merge, messages
+from ..functions import clock, quality
+from ..operators import claims, clones, cumulative, forks, intervals, merge, messages
 from ..sources import families
 from . import views
 from .catalog import query
-from .views import CUTOFF_MS, EVENTS_SQL, TURNS_SQL, ZONE, local_date_sql
+from .views import CUTOFF_MS, EVENTS_SQL, TURNS_SQL, USAGE_SQL, WORK_SQL, ZONE, local_date_sql
 
 HALF_DAY = 43_200_000
 _V = cumulative.VALUES
@@ -299,3 +300,33 @@ def s6_envelope_usage(spark, sf):
 SELECT path, state, count(*) AS checkpoints, CAST(1 AS BIGINT) AS epochs FROM (SELECT '/a/' || session AS path, state FROM f UNION ALL SELECT '/b/' || session, state FROM f WHERE session % 5 = 0) GROUP BY ALL""")
 def s6_envelope_gaps(spark, sf):
     return families.envelope_gaps(_lines(spark, sf))
+
+
+# ---- the document
+
+
+def public_document(spark, sf) -> DataFrame:
+    """The whole document of the given tables, as one row."""
+    from . import catalog, document, status
+
+    spine = clock.spine(spark, CUTOFF_MS, ZONE, 365)
+    facts = views.usage(spark, sf).filter(F.col("at_ms") <= CUTOFF_MS).withColumn("date", clock.local_date("at_ms", ZONE))
+    work = intervals.clip(views.work(spark, sf), F.col("start_ms"), F.lit(CUTOFF_MS))
+    commits = catalog.a10_commits_daily(spark, sf).select(F.col("date").cast("date").alias("date"), "commits")
+    i = views.inputs(spark, sf).withColumns({"quality": F.when(F.col("origin") % 41 == 0, "partial").otherwise("recorded"), "source": F.col("session") % 7})
+    states = i.select("source").distinct().select("source", (F.col("source") != 3).alias("usable"))
+    s = status.sources(spark, sf).groupBy("agent").agg(quality.combined("token_quality").alias("tokens"), quality.combined("work_quality").alias("work"), F.when(F.bool_and(F.col("state") == "available"), "available").otherwise("partial").alias("state"), quality.all_reasons("reasons").alias("reasons"))
+    told = {"as_of": "2024-01-01", "pricing": ["https://prices.example/list"], "organization": "house", "timezone": ZONE, "cutoff": "2024-01-30T18:00:00.000Z", "unallocated": 0, "ambiguous": 0, "scope": "recorded"}
+    days = document.days(spine, clock.slots(spine), facts, work, commits, ZONE)
+    return document.assembled(days, document.input_ranges(i, states, work, catalog._ranges(spark), ZONE), s, facts.filter("at_ms is null"), told)
+
+
+_DAYS = f"(SELECT CAST(d AS VARCHAR) AS date FROM (SELECT CAST(unnest(generate_series({local_date_sql(str(CUTOFF_MS))} - 364, {local_date_sql(str(CUTOFF_MS))}, INTERVAL 1 DAY)) AS DATE) AS d))"
+
+
+@query(f"""WITH {USAGE_SQL}, {WORK_SQL.split('FROM events), ')[1]}, u AS (SELECT CAST({local_date_sql('at_ms')} AS VARCHAR) AS date, count(*) FILTER (decision = 'included') AS records, CASE WHEN count(total) FILTER (decision = 'included') > 0 THEN CAST(sum(total) FILTER (decision = 'included') AS BIGINT) END AS tokens,
+  count(DISTINCT agent) AS agents FROM us WHERE at_ms <= {CUTOFF_MS} GROUP BY 1)
+SELECT date, tokens, coalesce(records, 0) AS records, coalesce(agents, 0) AS agents FROM {_DAYS} LEFT JOIN u USING (date)""")
+def k4_document_days(spark, sf):
+    d = public_document(spark, sf).select(F.explode("days").alias("d")).select("d.*")
+    return d.select("date", F.col("usage.total.value").alias("tokens"), (F.col("cost.pricedRecords") + F.col("cost.unpricedRecords")).alias("records"), F.size("scope.byHarness").cast("bigint").alias("agents"))
