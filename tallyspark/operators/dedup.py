@@ -72,6 +72,18 @@ def revisions(df: DataFrame, key: str, at: str, sequence: str, complete: str, co
     ).select(key, F.col("r.total").alias("total"), F.col("r.c").alias("complete"), F.col("first.session").alias("owner"), "at_ms", "conflict")
 
 
+def chosen_revision(df: DataFrame, key: str, at: str, line: tuple[str, ...], file: tuple[str, ...], complete: str, counters: tuple[str, ...]) -> DataFrame:
+    """(key, counters, complete, owner, at, conflict): the latest complete revision, else the latest, by (time, ``line``).
+
+    The owner is the session of the earliest file, by ``file`` (its creation, path and place); the time is the least
+    seen; complete revisions that differ in any counter conflict.
+    """
+    order = F.struct(F.col(complete).alias("c"), F.coalesce(F.col(at), F.lit(-1)).alias("a"), *line)
+    whole = F.when(F.col(complete), F.xxhash64(F.struct(*[F.struct(F.col(c).isNull(), F.col(c)) for c in counters])))
+    g = df.groupBy(key).agg(F.max_by(F.struct(*counters, F.col(complete).alias("complete")), order).alias("r"), F.min_by("session", F.struct(*file)).alias("owner"), F.min(at).alias(at), F.coalesce(F.min(whole) != F.max(whole), F.lit(False)).alias("conflict"))
+    return g.select(key, "r.*", "owner", at, "conflict")
+
+
 def chained(turns: DataFrame, key: str, order: str, *more: str) -> DataFrame:
     """Turns with ``pos`` (from 1) and ``upto``: 128 bits of all prints up to here, so that equal ``upto`` are equal prefixes.
 

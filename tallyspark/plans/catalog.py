@@ -151,10 +151,10 @@ def a14_input_population(spark, sf):
     return inputs.population(views.inputs(spark, sf), "agent")
 
 
-def _ranges(spark) -> DataFrame:
-    last = clock.local_date(F.lit(CUTOFF_MS), ZONE)
+def _ranges(spark, cutoff_ms: int = CUTOFF_MS) -> DataFrame:
+    last = clock.local_date(F.lit(cutoff_ms), ZONE)
     r = spark.createDataFrame([(7,), (30,), (90,), (365,)], "days int")
-    return r.select("days", clock.midnight(F.date_sub(last, F.col("days") - 1), ZONE).alias("from_ms"), F.lit(CUTOFF_MS).alias("to_ms"))
+    return r.select("days", clock.midnight(F.date_sub(last, F.col("days") - 1), ZONE).alias("from_ms"), F.lit(cutoff_ms).alias("to_ms"))
 
 
 _LAST = local_date_sql(str(CUTOFF_MS))
@@ -339,20 +339,28 @@ def v2_streaks(spark, sf):
     return sequences.longest_run(hours.unionByName(days), ["streak"], "i")
 
 
-_T1 = "tz AS (SELECT CAST(unnest(['2024-03-09', '2024-03-10', '2024-03-11', '2024-11-02', '2024-11-03', '2024-11-04']) AS DATE) AS d)"
+_T1 = f"{EVENTS_SQL}, tz AS (SELECT DISTINCT CAST(d + CAST(n AS INTEGER) AS DATE) AS d FROM (SELECT DISTINCT {_D} AS d FROM ev), (SELECT unnest([0, 60, 290]) AS n))"
 
 
 @query(f"WITH {_T1} SELECT CAST(d AS VARCHAR) AS date, CAST(i AS INTEGER) AS slot, m0 + i * 3600000 AS slot_start, least(m0 + (i + 1) * 3600000, m1) AS slot_end FROM (SELECT d, m0, m1, unnest(range(0, (m1 - m0 + 3599999) // 3600000)) AS i FROM (SELECT d, {_MID} AS m0, {_NEXT} AS m1 FROM tz))")
 def t1_slots_dst(spark, sf):
-    spark.conf.set("spark.sql.session.timeZone", "UTC")
-    d = spark.createDataFrame([("2024-03-09",), ("2024-03-10",), ("2024-03-11",), ("2024-11-02",), ("2024-11-03",), ("2024-11-04",)], "d string").select(F.to_date("d").alias("date"))
+    """Slots of the events' dates, and of those 60 and 290 days later, when clocks change."""
+    d = views.events(spark, sf).select(clock.local_date("at_ms", ZONE).alias("d")).distinct()
+    d = d.select(F.explode(F.transform(F.array(F.lit(0), F.lit(60), F.lit(290)), lambda n: F.date_add("d", n))).alias("date")).distinct()
     return _text(clock.slots(d.select("date", clock.midnight("date", ZONE).alias("start_ms"), clock.midnight(F.date_add("date", 1), ZONE).alias("end_ms"))), "date")
 
 
-@query(f"SELECT CAST(d AS VARCHAR) AS date, {_MID} AS start_ms, least({_NEXT}, {CUTOFF_MS}) AS end_ms FROM (SELECT CAST(unnest(generate_series({_LAST} - 364, {_LAST}, INTERVAL 1 DAY)) AS DATE) AS d)")
+_END = f"{EVENTS_SQL}, ct AS (SELECT max(at_ms) AS c, {local_date_sql('max(at_ms)')} AS l FROM ev)"
+
+
+def _cutoff(spark, sf) -> int:
+    """The last event's time: one number."""
+    return views.events(spark, sf).agg(F.max("at_ms")).first()[0]
+
+
+@query(f"WITH {_END} SELECT CAST(d AS VARCHAR) AS date, {_MID} AS start_ms, least({_NEXT}, c) AS end_ms FROM (SELECT c, CAST(unnest(generate_series(l - 364, l, INTERVAL 1 DAY)) AS DATE) AS d FROM ct)")
 def t3_day_spine(spark, sf):
-    spark.conf.set("spark.sql.session.timeZone", "UTC")
-    return _text(clock.spine(spark, CUTOFF_MS, ZONE, 365), "date")
+    return _text(clock.spine(spark, _cutoff(spark, sf), ZONE, 365), "date")
 
 
 _DAILY = f"""{USAGE_SQL}, {COMMITS_SQL}, sp AS (SELECT CAST(unnest(generate_series({_LAST} - 364, {_LAST}, INTERVAL 1 DAY)) AS DATE) AS d),

@@ -274,13 +274,10 @@ def q5_commit_evidence(spark, sf):
     return c.withColumn("quality", quality.degraded(F.lit("recorded"), F.when(F.col("repository") % 5 == 0, "unavailable").otherwise("recorded")))
 
 
-_T4 = "rg AS (SELECT unnest([7, 30, 90, 365]) AS days)"
-
-
-@query(f"WITH {_T4} SELECT days, {midnight_sql(f'{_LAST} - CAST(days - 1 AS INTEGER)')} AS from_ms, CAST({CUTOFF_MS} AS BIGINT) AS to_ms FROM rg")
+@query(f"WITH {catalog._END}, rg AS (SELECT unnest([7, 30, 90, 365]) AS days) SELECT days, {midnight_sql('l - CAST(days - 1 AS INTEGER)')} AS from_ms, c AS to_ms FROM rg, ct")
 def t4_range_starts(spark, sf):
-    spark.conf.set("spark.sql.session.timeZone", "UTC")
-    return catalog._ranges(spark)
+    cutoff = catalog._cutoff(spark, sf)
+    return catalog._ranges(spark, cutoff)
 
 
 @query(f"WITH {WORK_SQL} SELECT origin, {local_date_sql('start_ms')} = {local_date_sql('end_ms')} AS same_day, CAST(CAST(DATE '1970-01-01' + CAST(start_ms // 86400000 AS INTEGER) AS DATE) AS VARCHAR) AS utc_day FROM wk")
