@@ -13,7 +13,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import state
+from . import lineage, state
 
 
 def _exists(spark: SparkSession, folder: str, table: str) -> bool:
@@ -48,6 +48,7 @@ def _write(df: DataFrame, days: DataFrame, folder: str, table: str) -> None:
 
 def merge(spark: SparkSession, folder: str, table: str, batch: DataFrame, key: str, ms: str) -> DataFrame:
     """Puts the batch's facts in by key, and gives the days that were written."""
+    lineage.ready(batch)
     batch = batch.withColumn("day", day_of(ms)).checkpoint()
     old = _all(spark, folder, table)
     if old is None:
@@ -80,6 +81,7 @@ def resolved(tuples: DataFrame, places: DataFrame, roots: DataFrame, repositorie
     scope; a path within a root; a mapping of old paths, then an attribution of an earlier run, each to a repository
     that is included; else out of scope, or unattributed where there is no path.
     """
+    lineage.ready(tuples)
     t = tuples.select(*TUPLE).distinct().withColumn("tid", F.xxhash64(*TUPLE))
     absolute = lambda c: F.when(F.startswith(c, F.lit("/")), F.when(c == "/", c).otherwise(F.rtrim(c, F.lit("/"))))
     t = t.withColumns({"lex": absolute(F.col("workspace")), "lex_repository": absolute(F.col("repository"))})
@@ -134,6 +136,7 @@ def rescope(spark: SparkSession, folder: str, table: str, scope: DataFrame) -> D
     known = _all(spark, folder, table)
     if known is None:
         return None
+    lineage.ready(known)
     done = rescoped(known.filter("not _gone").drop("_gone"), scope)
     days = done.filter("changed").select("day").distinct().checkpoint()
     if not days.isEmpty():

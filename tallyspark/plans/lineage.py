@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from ..operators import sequences
 
 
-def _ready(df: DataFrame) -> None:
+def ready(df: DataFrame) -> None:
+    """Names a checkpoint folder where the session has none; a cluster must name its own."""
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
         shared = df.sparkSession.conf.get("spark.checkpoint.dir", None)
@@ -20,13 +21,13 @@ def _ready(df: DataFrame) -> None:
 
 
 def roots(nodes: DataFrame) -> DataFrame:
-    _ready(nodes)
+    ready(nodes)
     return sequences.roots(nodes)
 
 
 def families(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(id, family): the least id reachable over edges (u, v). Minima spread over edges, then labels jump to theirs."""
-    _ready(nodes)
+    ready(nodes)
     both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))).filter("u <> v").distinct().checkpoint()
     at = nodes.select("id", F.col("id").alias("family")).checkpoint()
     while True:

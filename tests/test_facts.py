@@ -4,7 +4,6 @@ import glob
 import json
 import os
 
-import pytest
 from pyspark.sql import functions as F
 
 from tallyspark.plans import facts, state
@@ -14,11 +13,6 @@ DAY = 86_400_000
 ROWS = "origin string, source string, agent string, session string, workspace string, repository string, at_ms long, total long, workspace_key string, repository_key string, decision string, scope_reason string"
 
 
-@pytest.fixture(autouse=True)
-def folder_for_checkpoints(spark, tmp_path):
-    spark.sparkContext.setCheckpointDir(str(tmp_path / "ck"))
-
-
 def row(origin, at, total=1, workspace="/w", source="s"):
     return (origin, source, "omp", "x", workspace, None, at, total, None, None, "included", "none")
 
@@ -84,6 +78,25 @@ def test_scope_shrinks_and_grows_without_losing_facts(spark, tmp_path):
     assert facts.rescope(spark, folder, "usage", inside).isEmpty()
 
 
+def test_a_stream_into_facts(spark, tmp_path):
+    from tallyspark.streaming import ingest
+
+    src, folder = tmp_path / "in", str(tmp_path / "f")
+    src.mkdir()
+    f = src / "a.jsonl"
+    parse = lambda b: b.select(F.get_json_object("line", "$.k").alias("k"), F.get_json_object("line", "$.at").cast("long").alias("at_ms"), F.get_json_object("line", "$.v").cast("long").alias("v"), "offset")
+    run = lambda: ingest.into_facts(spark, str(src), folder, "usage", "k", "offset", "at_ms", parse, str(tmp_path / "ck"))
+    told = lambda: {r.k: (r.at_ms, r.v) for r in facts.read(spark, folder, "usage").collect()}
+    f.write_text('{"k": "a", "at": 1, "v": 1}\n{"k": "b", "at": 90000000, "v": 2}\n{"k": "a", "at": 2, "v": 3}\n{"k": "c"')
+    run()
+    assert told() == {"a": (2, 3), "b": (90_000_000, 2)}
+    kept = set(glob.glob(f"{folder}/usage/day=1970-01-02/*.parquet"))
+    with f.open("a") as x:
+        x.write(', "at": null, "v": 9}\n{"k": "a", "at": 7, "v": 5}\n')
+    run()
+    assert told() == {"a": (7, 5), "b": (90_000_000, 2), "c": (None, 9)} and set(glob.glob(f"{folder}/usage/day=1970-01-02/*.parquet")) == kept
+
+
 # ---- walks
 
 

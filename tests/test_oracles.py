@@ -4,7 +4,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
-from tallyspark.plans import catalog, filters, more, stateful, status  # noqa: F401
+from tallyspark.plans import catalog, collected, filters, more, stateful, status  # noqa: F401
 
 
 @pytest.fixture(scope="module")
