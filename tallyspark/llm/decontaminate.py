@@ -14,7 +14,7 @@ empty benchmark hits nothing. Rows, repeated ones too, are handled one by one; o
 digest and kept by ``remove``.
 
 ``remove`` cuts every hit span, those of items shorter than a window too, so an item of one word takes that word
-out of all texts; ``long`` spares spans of fewer words.
+out of all texts; ``long`` spares spans of fewer words. Very long texts are streamed whole; empty documents give no rows.
 """
 
 from __future__ import annotations

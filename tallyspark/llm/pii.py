@@ -16,7 +16,8 @@ Patterns are made linear for Java: possessive runs, which can't change these mat
 in its class, and starts only where a run begins or the last match ended.
 
 A null text counts as empty. Rows, repeated ones and null ids too, keep one result each. Other columns are ignored
-by ``digest`` and kept by ``mask``.
+by ``digest`` and kept by ``mask``. Very long texts are searched whole; only the shape of an identifier is taken from its
+first 64 characters. Empty tables give no rows.
 """
 
 from __future__ import annotations

@@ -10,7 +10,8 @@ In ``documents`` the host is ``source`` and the path below it ``lang``. Everythi
 Spark's own logistic regression over all labelled rows outside the held-out fold; sums reach the driver, rows don't.
 
 Null texts count as empty; null hosts and paths are groups of their own; labels that disagree count by their mean.
-Without labels of both kinds the evidence is 0.5. Rows, repeated ones and null ids too, are scored one by one.
+Without labels of both kinds the evidence is 0.5. Rows, repeated ones and null ids too, are scored one by one, very long
+texts whole. Empty documents give no rows.
 """
 
 from __future__ import annotations

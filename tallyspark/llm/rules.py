@@ -5,7 +5,8 @@ version's mask of rules; ``apply`` keeps what fails none of them, and ``ablation
 the ledger alone, how many texts each rule rejects, rejects alone, and how many a policy without it would keep.
 
 Words are split at white space. A null or blank text has no words and fails ``few_words``. Rows, repeated ones too,
-are handled one by one without a shuffle; a null doc_id keeps its row; other columns are ignored.
+are handled one by one without a shuffle; a null doc_id keeps its row; other columns are ignored. Very long texts are
+measured whole; empty tables give no rows.
 """
 
 from __future__ import annotations

@@ -8,7 +8,8 @@ Copies are folded before and after the shuffle by blob, so a group of copies cos
 join back carries ids and addresses only; Spark splits it where one blob has very many paths.
 
 A null text is the empty blob. Rows are handled one by one, repeated ones too; null ids keep their row; other
-columns are ignored. Spans are counted in code points of the whole text, the whole match, end exclusive.
+columns are ignored. Spans are counted in code points of the whole text, the whole match, end exclusive. Very long texts
+are scanned whole, one row at a time; empty tables give no rows.
 """
 
 from __future__ import annotations

@@ -14,7 +14,8 @@ over whole texts, no shuffle.
 
 An empty or null text has no sentence: score 0. Without labels every score is near 0. Labels that disagree about a
 document count as toxic; null labels are ignored. Repeated rows are scored one by one, null ids too (never held out);
-in the sample an id of several texts has the least one.
+in the sample an id of several texts has the least one. Very long texts are scored whole. Empty documents give no rows, empty
+labels scores near 0.
 """
 
 from __future__ import annotations
