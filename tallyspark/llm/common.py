@@ -63,6 +63,40 @@ def spread(rows: DataFrame, groups: DataFrame, keys: list[str], weight: Column |
     return salted.join(each, [*keys, "_salt"]).drop("_salt")
 
 
+#: A bitmap has so many bits a key, up to BITS (32 MiB, which are broadcast), in rows of PAGE bits.
+BITS_EACH, BITS, PAGE = 64, 1 << 28, 1 << 15
+#: So many keys are broadcast themselves.
+FEW = 16_384
+
+
+def may_be_in(rows: DataFrame, some: DataFrame, key: str) -> DataFrame:
+    """``rows`` with ``_may``: false only where ``key`` (not null) is surely not in ``some``. Rows aren't shuffled; a bounded bitmap is broadcast."""
+    bits = min(BITS, max(PAGE, 1 << (BITS_EACH * some.count()).bit_length()))
+    bit = F.pmod(F.xxhash64(F.lit(29), key), F.lit(bits))
+    pages = some.select((bit / PAGE).cast("int").alias("_page"), (bit % PAGE).alias("_bit")).groupBy("_page").agg(F.bitmap_construct_agg("_bit").alias("_bits"))
+    byte = F.conv(F.hex(F.substring("_bits", (F.col("_at") / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    told = rows.withColumn("_at", bit).withColumn("_page", (F.col("_at") / PAGE).cast("int")).withColumn("_at", (F.col("_at") % PAGE).cast("int"))
+    told = told.join(F.broadcast(pages), "_page", "left")
+    return told.select(*rows.columns, F.coalesce(F.getbit(byte, F.col("_at") % 8) == 1, F.lit(False)).alias("_may"))
+
+
+def meeting(rows: DataFrame, some: DataFrame, key: str) -> DataFrame:
+    """``rows`` joined with ``some`` (cut; one row a ``key``); of ``rows`` only those that may meet one are shuffled, none where ``some`` is small."""
+    if some.limit(FEW + 1).count() <= FEW:
+        return rows.join(F.broadcast(some), key)
+    return may_be_in(rows, some, key).filter("_may").drop("_may").join(some, key)
+
+
+def chosen(rows: DataFrame, good: DataFrame, bad: DataFrame, key: str) -> DataFrame:
+    """``rows`` whose ``key`` is in ``good``; every key is in one of ``good`` and ``bad`` (cut, a column, a row a key).
+
+    Rows that can't be bad stay where they are; the others meet the good keys that a bitmap of bad ones doesn't tell from those.
+    """
+    told = may_be_in(rows, bad, key)
+    unsure = cut(may_be_in(good, bad, key).filter("_may").select(key))
+    return told.filter("not _may").drop("_may").unionByName(meeting(told.filter("_may").drop("_may"), unsure, key))
+
+
 def held_out(doc_id: Column, parts: int, part: int) -> Column:
     """Whether a document belongs to the held-out fold; false for a null id."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % parts == part, F.lit(False))

@@ -4,8 +4,10 @@ Every version of every text is addressed by its content (SHA-256). The ledger ho
 blob and rule version with its findings; ``update`` scans only blobs that the ledger hasn't under the present
 ``RULES_VERSION``, once however many paths carry them, and ``findings_by_path`` joins the findings back to all paths.
 
-Copies are folded before and after the shuffle by blob, so a group of copies costs one text for each map task. The
-join back carries ids and addresses only; Spark splits it where one blob has very many paths.
+Texts are scanned where they lie. Only addresses are shuffled: each new blob chooses its first path, and texts that can't
+be copies by a bitmap of the other paths (``common.chosen``) are scanned in place; only where that bitmap errs for more than
+``common.FEW`` paths are those few texts shuffled. A row repeated whole is scanned where it stands and folded afterwards.
+The join back carries ids and addresses; Spark splits it where one blob has very many paths.
 
 A null text is the empty blob. Rows are handled one by one, repeated ones too; null ids keep their row; other
 columns are ignored. Spans are counted in code points of the whole text, the whole match, end exclusive. Very long texts
@@ -67,11 +69,15 @@ def paths(docs: DataFrame) -> DataFrame:
 def update(docs: DataFrame, ledger: DataFrame | None = None) -> DataFrame:
     """The ledger's new rows: blobs of ``docs`` that ``ledger`` hasn't under these rules, each scanned once."""
     common.prepare(docs.sparkSession)
-    blobs = paths(docs).groupBy("blob").agg(F.first("text").alias("text"))
+    rows = paths(docs).withColumn("at", F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), "blob"))
+    ids = common.cut(rows.select("at", "blob").distinct())
+    first = ids.groupBy("blob").agg(F.min("at").alias("at"))
     if ledger is not None:
-        blobs = blobs.join(ledger.filter(F.col("rules") == RULES_VERSION).select("blob"), "blob", "left_anti")
-    found = blobs.mapInArrow(_scan, "blob string, n_assign long, n_access long, n_hex long, base_sha256 string, spans string")
-    return found.withColumn("rules", F.lit(RULES_VERSION))
+        first = first.join(ledger.filter(F.col("rules") == RULES_VERSION).select("blob"), "blob", "left_anti")
+    first = common.cut(first.select("at"))
+    texts = common.chosen(rows.select("at", "blob", "text"), first, common.cut(ids.join(first, "at", "left_anti").select("at")), "at")
+    found = texts.select("blob", "text").mapInArrow(_scan, "blob string, n_assign long, n_access long, n_hex long, base_sha256 string, spans string")
+    return found.dropDuplicates(["blob"]).withColumn("rules", F.lit(RULES_VERSION))
 
 
 def findings_by_path(docs: DataFrame, ledger: DataFrame) -> DataFrame:

@@ -3,7 +3,7 @@ import re
 
 from pyspark.sql import functions as F
 
-from tallyspark.llm import secrets
+from tallyspark.llm import common, secrets
 
 RAW = {
     "assign": (re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A), lambda m: len(m[2]) >= 6),
@@ -49,3 +49,18 @@ def test_only_unseen_pairs_are_scanned(spark):
     assert new.count() == 1
     assert secrets.findings_by_path(more, ledger.unionByName(new)).count() == 4
     assert secrets.update(more, ledger.withColumn("rules", F.lit(0))).count() == 3
+
+
+def test_texts_that_a_bitmap_cannot_tell_are_scanned_once(spark, monkeypatch):
+    monkeypatch.setattr(common, "BITS", common.PAGE)  # full: nearly every key may be bad
+    monkeypatch.setattr(common, "FEW", 10)
+    docs = spark.range(0, 60_000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 3 == 0, F.lit("token=aaaaaaa")).otherwise(F.concat(F.lit("secret: abcdef"), F.col("id") % 20_000)).alias("text"))
+    ledger = secrets.update(docs)
+    assert ledger.count() == ledger.select("blob").distinct().count() == docs.select("text").distinct().count()
+    rows = spark.range(0, 100_000).select(F.col("id").cast("string").alias("k"))
+    some = rows.filter("k % 7 = 0")
+    assert common.may_be_in(rows, some, "k").filter("not _may and k % 7 = 0").count() == 0
+    assert sorted(r.k for r in common.meeting(rows, some, "k").collect()) == sorted(str(i) for i in range(0, 100_000, 7))
+    monkeypatch.setattr(common, "BITS", 1 << 28)
+    assert common.may_be_in(rows, some, "k").filter("_may and k % 7 <> 0").count() < 3000
+    assert secrets.update(docs, ledger).count() == 0
