@@ -19,20 +19,21 @@ fewer words is one shingle; no words: empty set, linked with nothing). Two texts
    share one of their rarest |X| - need + 1 differences, for each class of f that the partner may have. So near copies
    of one text, which share nearly all shingles but few differences, meet rarely. No pair within a component is made.
    Where more than ``SMALL`` meet in one difference, one of them becomes their hub in turn, in which that difference is
-   none any more, and the same join goes on among them, ``DEEPEST`` times at most before all pairs of the rest are made.
-   Any one order of differences is right; rarity comes from ``CELLS`` hashed counters, which are broadcast; what they show once nobody shares.
+   none any more, and the same join goes on among them until no difference meets that many: each level takes its hubs
+   away, so there is a last one. No key is ever paired with more than ``MANY`` meetings.
+   Any one order of differences is right; rarity comes from hashed counters, which are broadcast: ``CELLS``, more where there
+   are more than 16 differences to one, ``MOST_CELLS`` (32 MiB) at most. What they show once nobody shares.
    A first pass over the keys marks hashed cells that hold keys of several components; only such keys are joined.
 
 Null texts count as empty. A null doc_id links with nothing: its component is null and it is kept. Repeated rows
 give repeated results. Other columns are ignored. Very long texts are shingled whole; empty tables give no rows. Texts are
-told apart by 128 bits of their shingles, components within a cell by 31, so two of them are taken for one with a
-probability of about 5e-10 a pair that meets in a cell.
+told apart by 128 bits of their shingles. Whole texts are read where they lie; of those only the ones with candidates are
+shuffled, told by a bitmap (``common.meeting``).
 """
 
 from __future__ import annotations
 
 import math
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -42,13 +43,13 @@ from pyspark.sql import functions as F
 
 from . import common
 
-BANDS, ROWS, SMALL, SHINGLE, CLASS, CELLS, PARTS, MOST, MANY, DEEPEST = 24, 5, 48, 5, 5, 1 << 20, 64, 65_535, 1 << 14, 8
+BANDS, ROWS, SMALL, SHINGLE, CLASS, CELLS, MOST_CELLS, PARTS, MOST, MANY = 24, 5, 48, 5, 5, 1 << 20, 1 << 24, 64, 65_535, 1 << 14
 PLACES = BANDS * ROWS
 _rng = np.random.default_rng(7)
 _ORDER = _rng.integers(1, 1 << 63, SHINGLE, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _ROUND = _rng.integers(1, 1 << 63, 2 * PLACES, dtype=np.uint64)
 _BAND = _rng.integers(1, 1 << 63, (BANDS, ROWS), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_NONE, MIXED = np.uint64(2**64 - 1), np.uint32(2**32 - 1)
+_NONE = MIXED = np.uint64(2**64 - 1)
 MISS = 1e-6
 
 
@@ -167,58 +168,71 @@ def _differences(batches):
         yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(0), pa.array(n, pa.int64()), pa.array(diff, pa.binary())], ["hub", "id", "n", "d"])
 
 
-def _cells(hub: int, elements: np.ndarray) -> np.ndarray:
-    return (common.mix(elements ^ common.mix(np.array([hub & (2**64 - 1)], np.uint64))) % np.uint64(CELLS)).astype(np.int64)
+def _cells(hub: int, elements: np.ndarray, cells: int) -> np.ndarray:
+    return (common.mix(elements ^ common.mix(np.array([hub & (2**64 - 1)], np.uint64))) % np.uint64(cells)).astype(np.int64)
 
 
-def _tally(batches):
-    """(part, c): a task's counters in parts of CELLS / PARTS, as 16-bit numbers; parts without any are left out."""
-    counts = np.zeros(CELLS, np.int64)
-    for batch in batches:
-        for i in range(batch.num_rows):
-            np.add.at(counts, _cells(batch.column(0)[i].as_py(), np.frombuffer(batch.column(3)[i].as_buffer(), np.uint64)), 1)
-    parts = np.minimum(counts, MOST).astype("<u2").reshape(PARTS, -1)
-    some = np.flatnonzero(parts.any(axis=1))
-    yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array([parts[k].tobytes() for k in some], pa.binary())], ["part", "c"])
+def _tally(cells: int):
+    """(part, c): a task's counters in PARTS parts, as 16-bit numbers; parts without any are left out."""
+
+    def run(batches):
+        counts = np.zeros(cells, np.int64)
+        for batch in batches:
+            for i in range(batch.num_rows):
+                np.add.at(counts, _cells(batch.column(0)[i].as_py(), np.frombuffer(batch.column(3)[i].as_buffer(), np.uint64), cells), 1)
+        parts = np.minimum(counts, MOST).astype("<u2").reshape(PARTS, -1)
+        some = np.flatnonzero(parts.any(axis=1))
+        yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array([parts[k].tobytes() for k in some], pa.binary())], ["part", "c"])
+
+    return run
 
 
 def _added(table: pa.Table) -> pa.Table:
     """The sum of one part's counters: as many rows as there are tasks."""
-    total = np.zeros(CELLS // PARTS, np.int64)
+    total = 0
     for x in table.column("c"):
-        total += np.frombuffer(x.as_buffer(), "<u2")
+        total = total + np.frombuffer(x.as_buffer(), "<u2").astype(np.int64)
     return pa.table({"part": table.column("part").slice(0, 1), "c": pa.array([np.minimum(total, MOST).astype("<u2").tobytes()], pa.binary())})
 
 
 def _met(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """What two sides met in each cell: 0 none, MIXED different components, else the one component (by its hash)."""
+    """What two sides met in each cell: 0 none, MIXED different components, else the one component (its number and one)."""
     return np.where(a == 0, b, np.where((b == 0) | (a == b), a, MIXED))
 
 
 def _key_cells(percent: int, counts):
-    """(part, of): for each cell that a task's keys fall into, whose they are; in parts of CELLS / PARTS."""
+    """(part, at, of): of the cells that a task's keys fall into, the place within their part and whose they are."""
 
     def run(batches):
-        of = np.zeros(CELLS, np.uint32)
+        cells = len(counts.value)
+        of = np.zeros(cells, np.uint64)
         for batch in _prefixes(percent, counts)(batches):
-            cells = np.asarray(batch.column(0)).view(np.uint64) % np.uint64(CELLS)
-            comps, which = np.unique(np.asarray(batch.column(1)), return_inverse=True)
-            for k, comp in enumerate(comps.tolist()):
-                own = np.unique(cells[which == k]).astype(np.int64)
-                of[own] = _met(of[own], np.uint32(zlib.crc32(str(comp).encode()) >> 1 | 1))
-        of = of.astype("<u4").reshape(PARTS, -1)
+            at = (np.asarray(batch.column(0)).view(np.uint64) % np.uint64(cells)).astype(np.int64)
+            comp = np.asarray(batch.column(1)).view(np.uint64) + np.uint64(1)
+            order = np.lexsort((comp, at))
+            at, comp = at[order], comp[order]
+            begins = np.flatnonzero(np.r_[True, at[1:] != at[:-1]][: len(at)])
+            least, most = comp[begins], comp[np.r_[begins[1:], len(at)] - 1] if len(at) else comp
+            of[at[begins]] = _met(of[at[begins]], np.where(least == most, least, MIXED))
+        of = of.reshape(PARTS, -1)
         some = np.flatnonzero(of.any(axis=1))
-        yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array([of[k].tobytes() for k in some], pa.binary())], ["part", "of"])
+        held = [np.flatnonzero(of[k]) for k in some]
+        yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array([h.astype("<i4").tobytes() for h in held], pa.binary()), pa.array([of[k][h].astype("<u8").tobytes() for k, h in zip(some, held)], pa.binary())], ["part", "at", "of"])
 
     return run
 
 
-def _mixed(table: pa.Table) -> pa.Table:
+def _mixed(cells: int):
     """Bits of one part's cells in which keys of different components fall, over all tasks."""
-    of = np.zeros(CELLS // PARTS, np.uint32)
-    for x in table.column("of"):
-        of = _met(of, np.frombuffer(x.as_buffer(), "<u4"))
-    return pa.table({"part": table.column("part").slice(0, 1), "bits": pa.array([np.packbits(of == MIXED).tobytes()], pa.binary())})
+
+    def run(table: pa.Table) -> pa.Table:
+        of = np.zeros(cells // PARTS, np.uint64)
+        for x, y in zip(table.column("at"), table.column("of")):
+            at = np.frombuffer(x.as_buffer(), "<i4")
+            of[at] = _met(of[at], np.frombuffer(y.as_buffer(), "<u8"))
+        return pa.table({"part": table.column("part").slice(0, 1), "bits": pa.array([np.packbits(of == MIXED).tobytes()], pa.binary())})
+
+    return run
 
 
 def _prefixes(percent: int, counts, mixed=None):
@@ -236,7 +250,7 @@ def _prefixes(percent: int, counts, mixed=None):
                 hub, doc, n, comp = (batch.column(c)[i].as_py() for c in range(4))
                 able = [c["own"] for c in batch.column(5)[i].as_py() if not c["least"] == c["most"] == comp]
                 e = np.frombuffer(batch.column(4)[i].as_buffer(), np.uint64)
-                met = counts.value[_cells(hub, e)]
+                met = counts.value[_cells(hub, e, len(counts.value))]
                 ranked = e[np.lexsort((e, met))]
                 size, own_only = len(ranked), int((met < 2).sum())  # those stand first and nobody shares them
                 f, most = size - k * n, k * (n + n / t)  # two linked sets differ in no more than ``most``
@@ -255,7 +269,7 @@ def _prefixes(percent: int, counts, mixed=None):
             if keys:
                 comp, doc, side, f, top = (np.array(x) for x in zip(*per))
                 key = np.concatenate(keys)
-                use = np.ones(len(key), bool) if mixed is None else mixed.value[(key.view(np.uint64) % np.uint64(CELLS)).astype(np.int64)]
+                use = np.ones(len(key), bool) if mixed is None else mixed.value[(key.view(np.uint64) % np.uint64(len(mixed.value))).astype(np.int64)]
                 many = lambda x: np.repeat(x, top)[use]
                 yield pa.RecordBatch.from_arrays([
                     pa.array(key[use], pa.int64()), pa.array(many(comp), pa.int64()), pa.array(many(doc), pa.int64()),
@@ -292,7 +306,9 @@ def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
 
     wanted = first.select(F.col("u").alias("id")).union(first.select("v")).distinct()
     wanted = wanted.join(classes.select("id", "rep.*"), "id")
-    sets = common.cut(base.join(wanted, ["doc_id", "h"]).dropDuplicates(["doc_id", "h"]).select("id", "text").mapInArrow(_sets, "id long, s binary"))
+    at = F.concat(F.col("doc_id").cast("string"), F.lit(":"), F.col("h").cast("string")).alias("at")
+    texts = common.meeting(base.select(at, "text"), common.cut(wanted.select(at, "id")), "at")
+    sets = common.cut(texts.dropDuplicates(["at"]).select("id", "text").mapInArrow(_sets, "id long, s binary"))
     links = common.cut(_links(first, sets, percent))
     links = _rest(hubbed, sets, links, percent)
 
@@ -319,14 +335,16 @@ def _several(whole: DataFrame, classes: DataFrame) -> DataFrame:
     return common.cut(each.join(least, "doc_id").filter("id <> v").select(F.col("id").alias("u"), "v").distinct())
 
 
-def _rest(hubbed: DataFrame, sets: DataFrame, links: DataFrame, percent: int, depth: int = 0) -> DataFrame:
+def _rest(hubbed: DataFrame, sets: DataFrame, links: DataFrame, percent: int) -> DataFrame:
     """``links`` and all others between documents (u) of one hub (v), as far as components need them, exactly."""
     if hubbed.isEmpty():
         return links
     found = common.components(links).withColumnRenamed("node", "id")
     each = common.cut(_with_sets(hubbed, sets).mapInArrow(_differences, "hub long, id long, n long, d binary"))
-    told = each.mapInArrow(_tally, "part int, c binary").groupBy("part").applyInArrow(_added, "part int, c binary").toArrow()  # PARTS rows, 2 bytes a cell
-    counts = np.zeros((PARTS, CELLS // PARTS), np.uint16)
+    differ = each.agg(F.coalesce(F.sum(F.length("d")), F.lit(0))).first()[0] // 8
+    cells = min(MOST_CELLS, max(CELLS, 1 << (differ // 16).bit_length()))
+    told = each.mapInArrow(_tally(cells), "part int, c binary").groupBy("part").applyInArrow(_added, "part int, c binary").toArrow()  # PARTS rows, 2 bytes a cell
+    counts = np.zeros((PARTS, cells // PARTS), np.uint16)
     for part, c in zip(told.column(0).to_pylist(), told.column(1)):
         counts[part] = np.frombuffer(c.as_buffer(), "<u2")
     counts = counts.ravel()
@@ -337,8 +355,8 @@ def _rest(hubbed: DataFrame, sets: DataFrame, links: DataFrame, percent: int, de
     able = placed.groupBy("hub", own.alias("own")).agg(F.min("comp").alias("least"), F.max("comp").alias("most"), F.count("*").alias("size"))
     able = able.groupBy("hub").agg(F.sum("size").alias("size"), F.collect_list(F.struct("own", "least", "most")).alias("able"))  # classes of one hub
     placed = common.spread(placed, common.cut(able), ["hub"], 24 * F.size("able")).select("hub", "id", "n", "comp", "d", "able")
-    found_in = placed.mapInArrow(_key_cells(percent, shared), "part int, of binary").groupBy("part").applyInArrow(_mixed, "part int, bits binary").toArrow()  # PARTS rows, a bit for each cell
-    bits = np.zeros((PARTS, CELLS // PARTS), bool)
+    found_in = placed.mapInArrow(_key_cells(percent, shared), "part int, at binary, of binary").groupBy("part").applyInArrow(_mixed(cells), "part int, bits binary").toArrow()  # PARTS rows, a bit for each cell
+    bits = np.zeros((PARTS, cells // PARTS), bool)
     for part, x in zip(found_in.column(0).to_pylist(), found_in.column(1)):
         bits[part] = np.unpackbits(np.frombuffer(x.as_buffer(), np.uint8)).astype(bool)
     mixed_cells = each.sparkSession.sparkContext.broadcast(bits.ravel())
@@ -349,8 +367,7 @@ def _rest(hubbed: DataFrame, sets: DataFrame, links: DataFrame, percent: int, de
     mixed = keys.groupBy("key").agg(F.min("comp").alias("a"), F.max("comp").alias("b"), F.count("*").alias("size"), (low * high + alike * alike / 2).alias("meet"), F.min("id").alias("hub"))
     mixed = common.cut(mixed.filter("a <> b and meet > 0").select("key", "size", "meet", "hub"))
     left = common.cut(common.spread(keys, mixed, ["key"]))
-    few = left.filter(F.col("meet") < MANY) if depth < DEEPEST else left
-    few = few.select("key", "comp", "id", "side", "f", "after")
+    few = left.filter(F.col("meet") < MANY).select("key", "comp", "id", "side", "f", "after")
     right = few.select("key", *[F.col(c).alias(f"{c}2") for c in few.columns[1:]])
     sides = ((F.col("side") == 2) & (F.col("side2") == 2) & (F.col("comp") < F.col("comp2"))) | ((F.col("side") == 0) & (F.col("side2") == 1) & (F.col("comp") != F.col("comp2")))
     enough = 1 + F.least("after", "after2") >= (F.col("f") + F.col("f2")) / 2 - 1e-6
@@ -358,7 +375,7 @@ def _rest(hubbed: DataFrame, sets: DataFrame, links: DataFrame, percent: int, de
     many = common.cut(left.filter(F.col("meet") >= MANY).filter("id <> hub").select(F.col("id").alias("u"), F.col("hub").alias("v")).distinct())
     more = common.cut(_links(common.cut(pairs.unionByName(many).distinct()), sets, percent))
     links = links.unionByName(more)
-    return links if depth >= DEEPEST else _rest(many, sets, links, percent, depth + 1)
+    return _rest(many, sets, links, percent)
 
 
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:

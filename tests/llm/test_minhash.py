@@ -63,7 +63,6 @@ def test_large_bucket_of_near_copies_loses_no_link(spark, monkeypatch):
     assert got(minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 85)) == brute(rows)
     monkeypatch.setattr(minhash.common, "HOT", 3)
     monkeypatch.setattr(minhash, "MANY", 6)  # hubs within shared differences
-    monkeypatch.setattr(minhash, "DEEPEST", 2)
     assert got(minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 80)) == brute(rows, 80)
     monkeypatch.setattr(minhash, "MANY", 1 << 14)
     monkeypatch.setattr(minhash.common, "HOT_KEYS", 0)  # all joins salted
