@@ -7,7 +7,7 @@ blob and rule version with its findings; ``update`` scans only blobs that the le
 Texts are scanned where they lie. Only addresses are shuffled: each new blob chooses its first path, and texts that can't
 be copies by a bitmap of the other paths (``common.chosen``) are scanned in place; only where that bitmap errs for more than
 ``common.FEW`` paths are those few texts shuffled. A row repeated whole is scanned where it stands and folded afterwards.
-The join back carries ids and addresses; Spark splits it where one blob has very many paths.
+The join back carries ids and addresses and spreads blobs with very many paths.
 
 A null text is the empty blob. Rows are handled one by one, repeated ones too; null ids keep their row; other
 columns are ignored. Spans are counted in code points of the whole text, the whole match, end exclusive. Very long texts
@@ -81,8 +81,9 @@ def update(docs: DataFrame, ledger: DataFrame | None = None) -> DataFrame:
 
 
 def findings_by_path(docs: DataFrame, ledger: DataFrame) -> DataFrame:
-    found = ledger.filter(F.col("rules") == RULES_VERSION).drop("rules")
-    return paths(docs).select("doc_id", "blob").join(found, "blob")
+    rows = paths(docs).select("doc_id", "blob")
+    found = ledger.filter(F.col("rules") == RULES_VERSION).drop("rules").join(rows.groupBy("blob").agg(F.count("*").alias("size")), "blob")
+    return common.spread(rows, common.cut(found), ["blob"], F.length("spans"))
 
 
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
