@@ -21,7 +21,7 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -174,10 +174,16 @@ def _pass(automaton):
     return run
 
 
-def matched(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
+def _passed_on(automaton, then):
+    found = _pass(automaton)
+    return lambda batches: then(found(batches))
+
+
+def matched(docs: DataFrame, items: DataFrame, window: int = WINDOW, then: Callable | None = None, to: str | T.StructType | None = None) -> DataFrame:
     """``docs``'s columns with two more at their end: a bit for each word (null: none), and the sorted ids of the items found.
 
-    Their names are ``_hits`` and ``_items``, longer ones where ``docs`` has these.
+    Their names are ``_hits`` and ``_items``, longer ones where ``docs`` has these. ``then`` takes the batches of the last
+    pass, within the same Python worker, and gives those of schema ``to``: a pass of its own would take a second worker a task.
     """
     spark = docs.sparkSession
     common.prepare(spark)
@@ -185,11 +191,12 @@ def matched(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFram
     hits, listed = (next(n for k in range(len(taken) + 1) if (n := name + "_" * k) not in taken) for name in ("_hits", "_items"))
     out = docs.select("*", F.lit(None).cast("binary").alias(hits), F.array().cast("array<string>").alias(listed))
     schema = T.StructType([T.StructField(f.name, f.dataType, True) for f in out.schema])
-    for k, chunk in enumerate(_chunks(items, window)):
-        if k:
-            out = common.cut(out)
-        out = out.mapInArrow(_pass(spark.sparkContext.broadcast(Automaton(chunk, window))), schema)
-    return out
+    last = None
+    for chunk in _chunks(items, window):
+        if last is not None:
+            out = common.cut(out.mapInArrow(_pass(last), schema))
+        last = spark.sparkContext.broadcast(Automaton(chunk, window))
+    return out.mapInArrow(_passed_on(last, then), to) if then else out.mapInArrow(_pass(last), schema)
 
 
 def _digest(batches):
@@ -206,7 +213,7 @@ def _digest(batches):
 
 def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
     """A row for each document: its words, those inside windows of items, and the items."""
-    return matched(docs.select("doc_id", "text"), items, window).mapInArrow(_digest, "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean")
+    return matched(docs.select("doc_id", "text"), items, window, _digest, "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean")
 
 
 def _cut_out(covered: float, long: int, names: list[str]):
@@ -238,8 +245,7 @@ def _cut_out(covered: float, long: int, names: list[str]):
 
 def remove(docs: DataFrame, items: DataFrame, window: int = WINDOW, long: int = LONG, covered: float = COVERED) -> DataFrame:
     """``docs`` without the hit spans of at least ``long`` words, and without texts hit in more than the share ``covered``."""
-    found = matched(docs, items, window)
-    return found.mapInArrow(_cut_out(covered, long, docs.columns), T.StructType([T.StructField(f.name, f.dataType, True) for f in docs.schema]))
+    return matched(docs, items, window, _cut_out(covered, long, docs.columns), T.StructType([T.StructField(f.name, f.dataType, True) for f in docs.schema]))
 
 
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -75,3 +75,13 @@ def test_remove_cuts_short_items(spark):
     out = decontaminate.remove(docs, items)
     assert {r.doc_id: r.text for r in out.collect()} == {1: "Before, ! " + "more " * 20, 2: " " + "more " * 20, 3: "one two three " * 9}
     assert decontaminate.contamination(out, items).filter("contaminated").count() == 0
+
+
+def test_one_python_worker_a_task(spark, monkeypatch):
+    docs = spark.createDataFrame([(1, "a b c d x " * 9), (2, "e f"), (3, None)], "doc_id long, text string")
+    bench = spark.createDataFrame([(1, "a b c d"), (2, "e f")], "item_id long, text string")
+    for most in (decontaminate.MOST_WORDS, 4):  # one automaton; one each
+        monkeypatch.setattr(decontaminate, "MOST_WORDS", most)
+        for out, rows in ((decontaminate.contamination(docs, bench), 3), (decontaminate.remove(docs, bench), 1)):
+            assert out._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+            assert out.count() == rows
