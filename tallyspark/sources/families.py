@@ -2,6 +2,7 @@
 
 Fields are taken by typed projection, numbers only; what a line lacks is null. State within a file (its session, the
 turn that later lines belong to) is a window over the file's order; a file is one history, so windows are bounded.
+Envelope lines are counted and dealt by ``LINES``, so what a task sorts doesn't grow with the input, only with its largest file.
 """
 
 from __future__ import annotations
@@ -43,6 +44,8 @@ _ENVELOPE = f"""timestamp string, ordinal bigint, type string, payload struct<id
   previousSessionFiles: array<string>, originator: string, turn_id: string, model: string, response_id: string, thread_id: string, type: string, role: string, usage: {_USAGE}, info: struct<total_token_usage: {_USAGE}>,
   item: struct<id: string, type: string, name: string, started_at_ms: bigint, completed_at_ms: bigint>, internal_chat_message_metadata_passthrough: struct<content_item_kinds: array<string>>>"""
 CONTROLLER = 128
+#: About so many envelope lines are one task's. Parsed lines take some forty times the bytes they were shuffled in, by which Spark would size tasks.
+LINES = 100_000
 
 
 def _instant(text: Column) -> Column:
@@ -50,12 +53,17 @@ def _instant(text: Column) -> Column:
     return fields.instant(F.when(~text.rlike("^[0-9]+$"), text), F.when(text.rlike("^[0-9]{1,16}$"), text.cast("bigint")))
 
 
+def _dealt(lines: DataFrame) -> DataFrame:
+    """``lines`` by whole files, in as many parts as their number asks for; this counts them."""
+    return lines.repartition(max(lines.count() // LINES + 1, lines.sparkSession.sparkContext.defaultParallelism), "path")
+
+
 def envelopes(lines: DataFrame, rollouts: DataFrame | None = None) -> DataFrame:
     """Parsed lines with what those before them in the file say: session, the session it goes on, turn, model and folder.
 
     ``rollouts`` (path, session): which session an earlier file holds, so that a file naming it goes on that session.
     """
-    p = lines.select("path", "offset", F.from_json("line", _ENVELOPE).alias("r")).select("path", "offset", _instant(F.col("r.timestamp")).alias("at_ms"), "r.ordinal", "r.type", F.col("r.payload").alias("p"))
+    p = _dealt(lines).select("path", "offset", F.from_json("line", _ENVELOPE).alias("r")).select("path", "offset", _instant(F.col("r.timestamp")).alias("at_ms"), "r.ordinal", "r.type", F.col("r.payload").alias("p"))
     kind = F.col("type")
     turn = F.when(kind == "turn_context", F.struct(F.col("p.turn_id").alias("turn"), F.coalesce("p.model", F.lit("unknown")).alias("model")))
     before = F.coalesce("p.previousSessionFiles", F.array().cast("array<string>"))

@@ -90,6 +90,13 @@ def test_headed_families(spark):
     assert sorted((r.session, r.total, r.model) for r in out) == [("f", 10, "unknown"), ("r", 12, "unknown")]
 
 
+def test_tasks_take_a_bounded_number_of_envelope_lines(spark, monkeypatch):
+    monkeypatch.setattr(families, "LINES", 40)
+    rows = spark.range(960).select(F.concat(F.lit("/f"), F.col("id") % 96).alias("path"), "id", F.lit('{"type": "event_msg"}').alias("line")).withColumnRenamed("id", "offset")
+    parts = [r["count"] for r in families.envelopes(rows).groupBy(F.spark_partition_id().alias("part")).count().collect()]
+    assert sum(parts) == 960 and len(parts) > 12 and max(parts) <= 160
+
+
 def test_claims(spark):
     i = spark.createDataFrame([("x", "s", "1", None), ("x", "s", "2", "human"), ("x", "s", "3", "human"), ("x", "s", "4", None), ("x", "s", "4", None), ("x", "s", None, None), ("x", "s", "5", None)], "agent string, native_session string, native_input string, native_origin string")
     c = spark.createDataFrame([("x", "s", "1", "human", "a"), ("x", "s", "1", "human", "a"), ("x", "s", "2", "automated", None), ("x", "s", "4", "human", None), ("x", "s", "5", "human", None), ("x", "s", "5", "automated", None), ("x", "s", "9", "human", None)], "agent string, native_session string, native_input string, origin string, controller string")
